@@ -1,9 +1,8 @@
 """Local time, date parts and date text.
 
 Times are stored as UTC without a zone. A function that looks at the day on the wall
-takes a zone name and shifts the column first. Text with English names relies on
-date_format, whose names are English in every session; Indonesian names come from
-the lists below.
+takes a zone name and shifts the column first. date_format writes English names in
+every session; the other names come from the lists below.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Month and weekday names.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+SHORT_DATE_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec"]
 MONTHS_ID = [
     "Januari", "Februari", "Maret", "April", "Mei", "Juni",
     "Juli", "Agustus", "September", "Oktober", "November", "Desember",
@@ -59,12 +59,15 @@ def days_in_month(day: Column) -> Column:
 
 def iso_day(day: Column) -> Column:
     """2026-03-07"""
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("date").cast("string")
 
 
 def short_date(day: Column) -> Column:
     """07 Mar 2026; September is written Sept."""
-    return F.replace(F.date_format(day, "dd MMM yyyy"), F.lit(" Sep "), F.lit(" Sept "))
+    number = F.lpad(F.dayofmonth(day).cast("string"), 2, "0")
+    return F.concat(
+        number, F.lit(" "), _pick(SHORT_DATE_MONTHS, F.month(day)), F.lit(" "), F.year(day).cast("string")
+    )
 
 
 def day_stamp(day: Column) -> Column:

@@ -18,15 +18,10 @@ def net_revenue(total: str = "total_price", fee: str = "shipping_fee") -> Column
     return F.col(total) - or_zero(F.col(fee))
 
 
-def swap_separators(text: Column) -> Column:
-    """1,234.5 -> 1.234,5"""
-    return F.translate(text, ",.", ".,")
-
-
 def rupiah(amount: Column) -> Column:
     """Rp 15.000 with a no-break space: whole rupiah, dots between groups, null and NaN as 0."""
     whole = F.round(or_zero(amount.try_cast("decimal(30,6)")), 0)
-    digits = swap_separators(F.format_number(F.abs(whole), 0))
+    digits = F.replace(F.format_number(F.abs(whole), 0), F.lit(","), F.lit("."))
     sign = F.when(whole < 0, F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, F.lit("Rp" + NO_BREAK_SPACE), digits)
 
@@ -34,4 +29,4 @@ def rupiah(amount: Column) -> Column:
 def product_label(name: Column, price: Column) -> Column:
     """name — Rp 15.000,5: plain space, up to three decimals."""
     digits = F.call_function("format_number", price, F.lit("#,##0.###"))
-    return F.concat(name, F.lit(" — Rp "), swap_separators(digits))
+    return F.concat(name, F.lit(" — Rp "), F.translate(digits, ",.", ".,"))

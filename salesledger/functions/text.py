@@ -11,6 +11,9 @@ from ..sources.schema import MONEY
 # The label of a payment method in the order list.
 PAYMENT_NAMES = {"cash": "Cash", "tf": "Transfer"}
 
+# The label of a status in the order list.
+STATUS_NAMES = {"process": "In Progress", "done": "Done"}
+
 # What number input trims from both ends.
 BLANKS = (
     " \t\n\r\f\u000b\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -41,14 +44,23 @@ def payment_code(method: Column) -> Column:
     return dash_if_blank(F.upper(method))
 
 
-def payment_name(method: Column) -> Column:
-    """Cash or Transfer; null for any other value."""
+def _named(column: Column, names: dict[str, str]) -> Column:
     label = F.lit(None).cast("string")
-    for value, name in PAYMENT_NAMES.items():
-        label = F.when(method == value, F.lit(name)).otherwise(label)
+    for value, name in names.items():
+        label = F.when(column == value, F.lit(name)).otherwise(label)
     return label
 
 
+def payment_name(method: Column) -> Column:
+    """Cash or Transfer; null for any other value."""
+    return _named(method, PAYMENT_NAMES)
+
+
+def status_name(status: Column) -> Column:
+    """In Progress or Done in the order list; null for any other value."""
+    return _named(status, STATUS_NAMES)
+
+
 def number_from_text(text: Column, kind: DataType = MONEY) -> Column:
     """Number input: blank or missing text is 0, text that is no number is null."""
     bare = F.btrim(text, F.lit(BLANKS))

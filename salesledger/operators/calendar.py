@@ -65,6 +65,15 @@ def toggled(open_dates: DataFrame, toggles: DataFrame) -> DataFrame:
     )
 
 
+def unique_dates(open_dates: DataFrame) -> DataFrame:
+    """One row per date: the one with the lowest id, as the unique rule would have kept it."""
+    return (
+        open_dates.groupBy("date")
+        .agg(F.min(F.struct("id", "created_at")).alias("_first"))
+        .select("_first.id", "date", "_first.created_at")
+    )
+
+
 def duplicates(open_dates: DataFrame) -> DataFrame:
     """Dates that break the rule of one row per date, with their number of rows."""
     return open_dates.groupBy("date").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)

@@ -18,6 +18,9 @@ from ..sources.schema import TABLES, default_value
 from .ingest import typed
 from .lookup import priced
 
+# What the changes of one id come to; the highest of them decides.
+UPDATED, INSERTED, DELETED = 0, 1, 2
+
 
 def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per id: the last value given for each column and what happened to the row.
@@ -33,11 +36,8 @@ def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
         ).alias(name)
         for name in columns
     ]
-    return feed.groupBy("id").agg(
-        F.bool_or(F.col("op") == "insert").alias("_inserted"),
-        F.bool_or(F.col("op") == "delete").alias("_deleted"),
-        *last,
-    )
+    fate = F.when(F.col("op") == "delete", DELETED).when(F.col("op") == "insert", INSERTED).otherwise(UPDATED)
+    return feed.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(fate).alias("_fate"), *last)
 
 
 def apply_changes(
@@ -47,7 +47,8 @@ def apply_changes(
 
     The snapshot meets the folded feed in a left join, so a feed small enough to
     be broadcast never makes Spark shuffle the snapshot. New rows are added
-    by a union. Updates and deletes of unknown ids change nothing.
+    by a union; both sides read the same columns of the fold, so its shuffle is run once.
+    Updates and deletes of unknown ids change nothing.
     """
     schema: StructType = TABLES[table]
     names = [n for n in (columns or schema.names) if n != "id"]
@@ -59,7 +60,7 @@ def apply_changes(
     kept = (
         snapshot.alias("s")
         .join(changes.alias("c"), F.col("s.id") == F.col("c.id"), "left")
-        .where(~F.coalesce(F.col("c._deleted"), F.lit(False)))
+        .where(F.coalesce(F.col("c._fate"), F.lit(UPDATED)) != DELETED)
         .select(
             F.col("s.id"),
             *[
@@ -68,10 +69,11 @@ def apply_changes(
             ],
         )
     )
-    new = changes.where(F.col("_inserted") & ~F.col("_deleted"))
-    present = snapshot.select("id").join(new.select("id"), "id", "left_semi")
+    arriving = feed.where(F.col("op") == "insert").select("id")
+    present = snapshot.select("id").join(arriving, "id", "left_semi")
     added = (
-        new.join(present, "id", "left_anti")
+        changes.where(F.col("_fate") == INSERTED)
+        .join(present, "id", "left_anti")
         .alias("c")
         .select(
             F.col("c.id"),

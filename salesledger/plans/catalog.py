@@ -22,7 +22,7 @@ from ..session import shared_folder
 from ..sources.mapped import MappedTables
 from ..sources.schema import conform
 from ..sources.tables import append_rows, read_table
-from . import dashboard, financial, lists
+from . import dashboard, financial, lists, saving
 
 AS_OF = datetime(1998, 8, 15, 10, 0, 0)
 TODAY = periods.today(AS_OF)
@@ -305,6 +305,16 @@ def recent_orders_text(t: MappedTables) -> DataFrame:
     return dashboard.recent_text(recent(t))
 
 
+@query("order_table")
+def order_table(t: MappedTables) -> DataFrame:
+    return lists.order_table(lists.order_list(t.orders(period=WEEK), WEEK))
+
+
+@query("expense_table")
+def expense_table(t: MappedTables) -> DataFrame:
+    return lists.expense_table(lists.expense_list(t.expenses(period=MONTH), MONTH, ITEM_QUERY))
+
+
 # Open dates
 
 
@@ -318,6 +328,11 @@ def toggle_open_dates(t: MappedTables) -> DataFrame:
     return calendar.toggled(t.open_dates(), t.toggles())
 
 
+@query("unique_open_dates")
+def unique_open_dates(t: MappedTables) -> DataFrame:
+    return calendar.unique_dates(t.open_date_rows())
+
+
 @query("duplicate_open_dates")
 def duplicate_open_dates(t: MappedTables) -> DataFrame:
     return calendar.duplicates(t.open_date_rows())
@@ -442,6 +457,37 @@ def product_quarantine(t: MappedTables) -> DataFrame:
     return refused
 
 
+@query("save_orders")
+def save_orders(t: MappedTables) -> DataFrame:
+    return saving.save_orders(t.order_forms(), t.products(), AS_OF)[0]
+
+
+@query("save_orders_refused")
+def save_orders_refused(t: MappedTables) -> DataFrame:
+    return saving.save_orders(t.order_forms(), t.products(), AS_OF)[1]
+
+
+@query("save_expenses")
+def save_expenses(t: MappedTables) -> DataFrame:
+    return saving.save_expenses(t.expense_forms(), AS_OF, ZONE)[0]
+
+
+@query("save_expenses_refused")
+def save_expenses_refused(t: MappedTables) -> DataFrame:
+    return saving.save_expenses(t.expense_forms(), AS_OF, ZONE)[1]
+
+
+@query("save_products")
+def save_products(t: MappedTables) -> DataFrame:
+    return saving.save_products(t.product_forms(), AS_OF)[0]
+
+
+@query("edit_orders")
+def edit_orders(t: MappedTables) -> DataFrame:
+    """All orders after the accepted forms were saved over them."""
+    return changes.apply_changes(t.orders(), saving.order_edits(t.order_forms(), t.products()), "orders", AS_OF)
+
+
 # Reports
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import long_date, short_date, to_local
@@ -78,9 +78,11 @@ def dashboard_overview(orders: DataFrame, as_of: datetime, view: str = "month",
         series = by_day(sold, period, tz, measures)
     else:
         series = by_month(sold, tz, measures)
-    totals = series.agg(F.sum("pcs").alias("total_pcs"), F.sum("revenue").alias("total_revenue"))
-    return (
-        series.crossJoin(F.broadcast(totals))
-        .withColumn("header", long_date(ntz(now)))
-        .orderBy("bucket")
+    # The window holds the whole series, which has at most 31 rows.
+    whole = Window.partitionBy(F.lit(0))
+    return series.select(
+        "*",
+        F.sum("pcs").over(whole).alias("total_pcs"),
+        F.sum("revenue").over(whole).alias("total_revenue"),
+        long_date(ntz(now)).alias("header"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import short_date, to_local
 from ..functions.money import rupiah
-from ..functions.text import dash_if_blank, empty_if_null
+from ..functions.text import dash_if_blank, empty_if_null, payment_name, status_name
 from ..operators.ordering import with_ordinal
 from ..operators.periods import Period, filter_period
 from ..operators.search import search
@@ -21,6 +21,39 @@ def expense_list(expenses: DataFrame, period: Period | None, query: str = "", tz
     return search(filter_period(expenses, period, tz), "name", query)
 
 
+def order_table(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+    """The order list on the page, numbered and latest first."""
+    listed = listed.select(
+        "id", "created_at", "customer_name", "quantity", "total_price",
+        "payment_method", "shipping_fee", "notes", "status",
+    )
+    return with_ordinal(listed).select(
+        "no",
+        "id",
+        short_date(to_local(F.col("created_at"), tz)).alias("date"),
+        "customer_name",
+        "quantity",
+        rupiah(F.col("total_price")).alias("total"),
+        payment_name(F.col("payment_method")).alias("payment"),
+        rupiah(F.col("shipping_fee")).alias("shipping"),
+        dash_if_blank(F.col("notes")).alias("notes"),
+        status_name(F.col("status")).alias("status"),
+    )
+
+
+def expense_table(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+    """The expense list on the page."""
+    return with_ordinal(listed.select("id", "created_at", "name", "amount", "price", "notes")).select(
+        "no",
+        "id",
+        short_date(to_local(F.col("created_at"), tz)).alias("date"),
+        "name",
+        "amount",
+        rupiah(F.col("price")).alias("price"),
+        dash_if_blank(F.col("notes")).alias("notes"),
+    )
+
+
 def order_grid(listed: DataFrame, tz: str = "UTC") -> DataFrame:
     """The printed order list: numbered, latest first, all cells as text."""
     listed = listed.select(

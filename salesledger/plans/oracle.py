@@ -48,6 +48,24 @@ d_forms as (
          else cast(p_size as varchar) end as price_text
   from part
 ),
+d_order_forms as (
+  select o_orderkey as id, 'Customer ' || cast(o_custkey as varchar) as customer_name,
+    case when o_orderpriority = '5-LOW' then null else o_custkey * 2 end as product_id,
+    case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'P' then 'product_id is no number'
+         when o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'P' then 'quantity is no whole number'
+         when o_orderpriority = '2-HIGH' and o_orderstatus = 'O' then 'shipping_fee is no number'
+         when o_orderpriority <> '5-LOW' and p_partkey is null then 'product does not exist' end as reason,
+    cast(case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'O' then 0 else day(o_orderdate) end as integer)
+      as quantity,
+    cast(case when o_orderpriority = '1-URGENT' then 0 else o_orderkey % 20 * 1000 end as decimal(18,2))
+      as shipping_fee,
+    cast(coalesce(p_retailprice, 0) as decimal(18,2)) as unit_price,
+    case when o_custkey % 2 = 0 then 'cash' else 'tf' end as payment_method,
+    case when o_orderstatus = 'O' then o_orderpriority else '' end as notes,
+    case when o_orderstatus = 'F' then 'done' else 'process' end as status,
+    case when o_orderstatus = 'F' then o_orderdate end as chosen
+  from orders left join part on o_orderpriority <> '5-LOW' and p_partkey = o_custkey * 2
+),
 d_feed as (
   select o_orderkey * 10 as seq,
     case when o_orderpriority in ('4-NOT SPECIFIED', '5-LOW') then -o_orderkey - 1 else o_orderkey end as id,
@@ -178,6 +196,8 @@ PRICE_INPUT = (
     "else try_cast(trim(price_text) as decimal(18,2)) end"
 )
 
+FORM_TOTAL = "unit_price * quantity + shipping_fee"
+
 SQL = {
     "scan_products": f"select {PRODUCT_COLUMNS} from d_products",
     "scan_orders": f"select {ORDER_COLUMNS} from d_orders",
@@ -271,6 +291,15 @@ SQL = {
     "open_dates_sorted": "select date from d_open_dates order by date asc nulls last",
     "recent_orders": f"""select id, customer_name, quantity, {money('total_price', 'total_price')},
         created_at, status from {RECENT}""",
+    "order_table": f"""select row_number() over ({LATEST}) as no, id, {short_date()} as date, customer_name, quantity,
+        {rupiah('total_price')} as total,
+        case payment_method when 'cash' then 'Cash' when 'tf' then 'Transfer' end as payment,
+        {rupiah('shipping_fee')} as shipping, {dash('notes')} as notes,
+        case status when 'process' then 'In Progress' when 'done' then 'Done' end as status
+        from d_orders where {WEEK}""",
+    "expense_table": f"""select row_number() over ({LATEST}) as no, id, {short_date()} as date, name, amount,
+        {rupiah('price')} as price, {dash('notes')} as notes
+        from d_expenses where {MONTH} and {ITEM_SEARCH}""",
     "recent_orders_text": f"""select id, customer_name,
         {short_date()} || ' · ' || cast(quantity as varchar) || ' pcs' as detail,
         {rupiah('total_price')} as total, {STATUS} as status from {RECENT}""",
@@ -285,6 +314,9 @@ SQL = {
           select date from d_open_dates
           union all select strftime(o_orderdate, '%Y-%m-%d') from orders where o_orderpriority = '2-HIGH'
         ) u group by date having count(*) % 2 = 1""",
+    "unique_open_dates": """select min(o_orderkey) as id, strftime(o_orderdate, '%Y-%m-%d') as date,
+        arg_min(o_orderdate, o_orderkey) as created_at
+        from orders where o_orderpriority = '1-URGENT' group by strftime(o_orderdate, '%Y-%m-%d')""",
     "duplicate_open_dates": """select strftime(o_orderdate, '%Y-%m-%d') as date, count(*) as copies
         from orders where o_orderpriority = '1-URGENT' group by 1 having count(*) > 1""",
     "fmt_currency": f"""select id, {rupiah('total_price')} as total_text, {rupiah('shipping_fee')} as fee_text,
@@ -328,6 +360,30 @@ SQL = {
     "product_quarantine": """select id, name, price_text,
         case when name = '' then 'name is missing' else 'price is missing' end as reason
         from d_forms where name = '' or price_text = ''""",
+    "save_orders": f"""select id, customer_name, product_id, quantity,
+        {money(FORM_TOTAL, 'total_price')}, payment_method, {money('shipping_fee', 'shipping_fee')}, notes, status,
+        coalesce(chosen, timestamp '1998-08-15 10:00:00') as created_at from d_order_forms where reason is null""",
+    "save_orders_refused": "select id, reason from d_order_forms where reason is not null",
+    "save_expenses": f"""select l_orderkey * 10 + l_linenumber as id, 'Item ' || cast(l_linenumber as varchar) as name,
+        amount, cast(case when l_linenumber = 3 then 0 else price end as double) as price,
+        cast(null as varchar) as category, '' as notes,
+        case when l_linenumber = 4 then date_trunc('day', created_at) + to_hours(12 - 7)
+             else timestamp '1998-08-15 10:00:00' end as created_at
+        from bought where l_linenumber <> 2""",
+    "save_expenses_refused": """select l_orderkey * 10 + l_linenumber as id, 'amount is no whole number' as reason
+        from bought where l_linenumber = 2""",
+    "save_products": f"""select id, name, {money(PRICE_INPUT, 'price')}, cast(null as varchar) as description,
+        timestamp '1998-08-15 10:00:00' as created_at
+        from d_forms where name <> '' and price_text <> '' and price_text <> 'abc'""",
+    "edit_orders": f"""select o.id, coalesce(f.customer_name, o.customer_name) as customer_name,
+        case when f.id is null then o.product_id else f.product_id end as product_id,
+        coalesce(f.quantity, o.quantity) as quantity,
+        cast(coalesce(f.unit_price * f.quantity + f.shipping_fee, o.total_price) as double) as total_price,
+        coalesce(f.payment_method, o.payment_method) as payment_method,
+        cast(case when f.id is null then o.shipping_fee else f.shipping_fee end as double) as shipping_fee,
+        case when f.id is null then o.notes else f.notes end as notes,
+        coalesce(f.status, o.status) as status, coalesce(f.chosen, o.created_at) as created_at
+        from d_orders o left join (select * from d_order_forms where reason is null) f on o.id = f.id""",
     "report_summary_month": summary(MONTH, "Aug 1998"),
     "report_summary_year": summary(YEAR, "Year 1998"),
     "report_period_choice": summary(CHOSEN, "Mar 1997"),

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Rewriting some months of a stored table leaves the other months alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoints of row numbering go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -60,6 +60,7 @@ class MappedTables:
     def with_parents(self, rows: DataFrame, columns: tuple[str, ...], few: bool = False) -> DataFrame:
         """Add what customer and line items hold. `few` marks rows of a fixed small number:
         only their line items are aggregated then."""
+        picked = rows.select("id")
         if "customer_name" in columns:
             names = self.raw("customer").select(
                 F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer_name")
@@ -68,7 +69,7 @@ class MappedTables:
         if {"product_id", "quantity"} & set(columns):
             lines = self.raw("lineitem").withColumnRenamed("l_orderkey", "id")
             if few:
-                lines = lines.join(F.broadcast(rows.select("id")), "id", "left_semi")
+                lines = lines.join(F.broadcast(picked), "id", "left_semi")
             parts = lines.groupBy("id").agg(
                 F.min("l_partkey").alias("product_id"), F.sum("l_quantity").alias("_pieces")
             )
@@ -118,11 +119,15 @@ class MappedTables:
         return (
             self.raw("orders")
             .where(F.col("o_orderpriority") == priority)
-            .select(iso_day(F.col("o_orderdate")).alias("date"))
+            .select(
+                F.col("o_orderkey").alias("id"),
+                iso_day(F.col("o_orderdate")).alias("date"),
+                F.col("o_orderdate").alias("created_at"),
+            )
         )
 
     def open_date_rows(self) -> DataFrame:
-        """Dates as they were entered, before the unique rule: one per urgent order."""
+        """Dates as they were entered, before the unique rule: one row per urgent order."""
         return self._days_of("1-URGENT")
 
     def open_dates(self) -> DataFrame:
@@ -139,7 +144,7 @@ class MappedTables:
 
     def toggles(self) -> DataFrame:
         """Dates to toggle, repeats kept."""
-        return self._days_of("2-HIGH")
+        return self._days_of("2-HIGH").select("date")
 
     def change_snapshot(self) -> DataFrame:
         """The part of the order table that the change feed works on."""
@@ -200,6 +205,55 @@ class MappedTables:
             F.col("o_orderkey").alias("id"), F.map_from_entries(entries).alias("patch")
         )
 
+    def order_forms(self) -> DataFrame:
+        """An order form as typed for every order; some numbers and products are wrong."""
+        key, priority, state = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+        day = F.dayofmonth("o_orderdate").cast("string")
+        return self.raw("orders").select(
+            (key * 10).alias("seq"),
+            key.alias("id"),
+            F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
+            F.when(priority == "5-LOW", F.lit(None))
+            .when((priority == "3-MEDIUM") & (state == "P"), "")
+            .otherwise((F.col("o_custkey") * 2).cast("string"))
+            .alias("product_id"),
+            F.when((priority == "4-NOT SPECIFIED") & (state == "P"), "many")
+            .when((priority == "3-MEDIUM") & (state == "O"), "")
+            .otherwise(F.concat(F.lit(" "), day))
+            .alias("quantity"),
+            F.when(priority == "1-URGENT", F.lit(None))
+            .when((priority == "2-HIGH") & (state == "O"), "free")
+            .otherwise((key % 20 * 1000).cast("string"))
+            .alias("shipping_fee"),
+            F.when(F.col("o_custkey") % 2 == 0, "cash").otherwise("tf").alias("payment_method"),
+            F.when(state == "O", priority).otherwise("").alias("notes"),
+            order_status().alias("status"),
+            F.when(state == "F", iso_day(F.col("o_orderdate"))).otherwise("").alias("order_date"),
+        )
+
+    def expense_forms(self) -> DataFrame:
+        """An expense form as typed for every line item group."""
+        key, number = F.col("l_orderkey"), F.col("l_linenumber")
+        return (
+            self.raw("lineitem")
+            .groupBy(key, number)
+            .agg(
+                F.sum("l_quantity").cast("int").alias("_amount"),
+                F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("_price"),
+                F.min("l_shipdate").alias("_day"),
+            )
+            .select(
+                (key * 10 + number).alias("id"),
+                F.concat(F.lit("Item "), number.cast("string")).alias("name"),
+                F.when(number == 2, F.concat(F.col("_amount").cast("string"), F.lit(".5")))
+                .otherwise(F.col("_amount").cast("string"))
+                .alias("amount"),
+                F.when(number == 3, "").otherwise(F.concat(F.col("_price").cast("string"), F.lit(" "))).alias("price"),
+                F.when(number == 4, iso_day(F.col("_day"))).alias("expense_date"),
+                F.lit("").alias("notes"),
+            )
+        )
+
     def product_forms(self) -> DataFrame:
         """Raw product input: some names and prices are empty or no number."""
         key = F.col("p_partkey")

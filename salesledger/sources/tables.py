@@ -13,7 +13,7 @@ MONTH = "created_month"
 
 def month_key(created_at: Column) -> Column:
     """The partition value of a UTC time, as yyyy-MM text."""
-    return F.date_format(created_at.cast("date"), "yyyy-MM")
+    return F.substring(created_at.cast("date").cast("string"), 1, 7)
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
