@@ -41,6 +41,7 @@ def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists") -> None
     (
         df.write.mode(mode)
         .option("header", True)
+        .option("escape", '"')
         .option("nullValue", "")
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)

@@ -1,0 +1,139 @@
+from __future__ import annotations
+
+import csv
+from datetime import timedelta
+from pathlib import Path
+
+import pytest
+from conftest import at
+from salesledger.operators import periods
+from salesledger.operators.periods import filter_period
+from salesledger.plans import financial, lists
+from salesledger.session import shared_folder
+from salesledger.sources import sinks, tables
+
+
+def read_csv(folder) -> list[list[str]]:
+    """All files of a sheet in name order, the header once."""
+    lines: list[list[str]] = []
+    for part in sorted(Path(folder).glob("*.csv")):
+        with part.open(newline="", encoding="utf8") as file:
+            rows = list(csv.reader(file))
+        lines += rows if not lines else rows[1:]
+    return lines
+
+
+def test_stored_table_is_pruned_by_month(spark, make, tmp_path):
+    folder = str(tmp_path / "orders")
+    rows = [{"created_at": f"2026-{m:02d}-{d:02d} 23:59:59", "total_price": d} for m in range(1, 13) for d in (1, 28)]
+    tables.append_rows(make.orders(*rows, {"id": 100, "created_at": None}), folder)
+    stored = tables.read_table(spark, folder, "orders")
+    assert stored.count() == 25
+    for period, tz in [
+        (periods.month(2026, 3), "UTC"), (periods.month(2026, 3), "Asia/Jakarta"),
+        (periods.this_week(at("2026-03-01")), "UTC"), (periods.year(2026), "America/New_York"),
+    ]:
+        kept = filter_period(stored, period, tz)
+        plain = filter_period(stored.drop(tables.MONTH), period, tz)
+        assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in plain.collect())
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(created_month" in plan
+        assert "GreaterThanOrEqual(created_at" in plan
+    files = filter_period(stored, periods.month(2026, 3)).inputFiles()
+    assert files and filter_period(stored, None).count() == 25
+
+
+def test_appending_keeps_what_is_there(spark, make, tmp_path):
+    folder = str(tmp_path / "orders")
+    tables.append_rows(make.orders({"id": 1, "created_at": "2026-01-01"}), folder)
+    tables.append_rows(make.orders({"id": 2, "created_at": "2026-01-02"}), folder)
+    assert sorted(r.id for r in tables.read_table(spark, folder, "orders").collect()) == [1, 2]
+
+
+def test_hot_month_is_written_by_several_tasks(spark, tmp_path, setting):
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    rows = spark.range(0, 60000, 1, 8).selectExpr(
+        "id",
+        "timestamp_ntz'2026-03-01 00:00:00' + make_dt_interval(0, 0, 0, id % 1000) as created_at",
+        "uuid() as notes",
+    )
+    folder = tmp_path / "hot"
+    tables.write_table(rows, str(folder))
+    assert len(list((folder / "created_month=2026-03").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(folder)).count() == 60000
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_output_names():
+    assert sinks.list_file_name("orders", "This Month") == "orders_this_month"
+    assert sinks.list_file_name("expenses", "All") == "expenses_all"
+    assert sinks.report_file_name("Mar 2026") == "report_Mar_2026"
+    assert sinks.report_file_name("Year 2026") == "report_Year_2026"
+    assert sinks.list_title("orders", "This Week") == "Orders — This Week"
+    assert len(sinks.sheet_title("x" * 40)) == 31
+
+
+@pytest.fixture
+def few_orders(make):
+    return make.orders(
+        {"created_at": "2026-09-09 10:00:00", "customer_name": 'Ani "A", Bali', "total_price": 20000, "shipping_fee": 5000,
+         "payment_method": "tf", "status": "done", "quantity": 2},
+        {"created_at": "2026-09-10 10:00:00", "customer_name": "Budi", "total_price": 10000, "shipping_fee": None,
+         "payment_method": None, "status": None, "notes": ""},
+    )
+
+
+def test_order_sheet_and_grid(few_orders, tmp_path):
+    sinks.write_sheet(lists.order_sheet(few_orders), str(tmp_path / "sheet"))
+    assert read_csv(tmp_path / "sheet") == [
+        ["#", "Date", "Customer", "Qty", "Total", "Payment", "Shipping", "Notes", "Status"],
+        ["1", "10 Sept 2026", "Budi", "1", "10000.00", "", "", "", ""],
+        ["2", "09 Sept 2026", 'Ani "A", Bali', "2", "20000.00", "tf", "5000.00", "", "done"],
+    ]
+    grid = [tuple(r) for r in lists.order_grid(few_orders).collect()]
+    assert grid == [
+        (1, "10 Sept 2026", "Budi", "1", "Rp 10.000", "", "Rp 0", ""),
+        (2, "09 Sept 2026", 'Ani "A", Bali', "2", "Rp 20.000", "TF", "Rp 5.000", "done"),
+    ]
+
+
+def test_report_export(few_orders, make, tmp_path):
+    expenses = make.expenses({"created_at": "2026-09-01", "name": "Flour", "price": 30000, "amount": 3})
+    period = periods.month(2026, 9)
+    target = Path(financial.export_report(few_orders, expenses, period, str(tmp_path)))
+    assert target.name == "report_Sep_2026"
+    assert read_csv(target / "Summary") == [
+        ["metric", "value"],
+        ["Financial Report — Sep 2026", ""],
+        ["", ""],
+        ["Metric", "Value"],
+        ["Period", "Sep 2026"],
+        ["Total Revenue (excl. shipping)", "25000.00"],
+        ["Total Expenses", "30000.00"],
+        ["Net Profit", "-5000.00"],
+    ]
+    orders = read_csv(target / "Orders")
+    assert orders[0] == [
+        "#", "Date", "Customer", "Qty", "Revenue (excl. shipping)", "Shipping", "Total", "Payment", "Status", "Notes",
+    ]
+    assert orders[1] == ["1", "10 Sept 2026", "Budi", "1", "10000.00", "0.00", "10000.00", "-", "In Progress", ""]
+    assert read_csv(target / "Expenses")[1] == ["1", "01 Sept 2026", "Flour", "3", "30000.00", ""]
+    report = financial.financial_report(few_orders, expenses, period)
+    printed = [(r.metric, r.value) for r in financial.summary_grid(report.totals).collect()]
+    assert printed[0] == ("Period", "Sep 2026") and printed[3] == ("Net Profit", "-Rp 5.000")
+    header = financial.header_line(report.totals, period, at("2026-12-01")).first()
+    assert header == ("Financial Report — Sep 2026", "Generated: 01/12/2026")
+
+
+def test_large_sheet_is_written_in_order(spark, make, tmp_path, setting):
+    """Numbered rows stay in order over the files of several tasks."""
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    start = at("2026-01-01")
+    orders = make.orders(*[{"created_at": start + timedelta(minutes=i * 37 % 2000)} for i in range(2000)]).repartition(4)
+    sinks.write_sheet(lists.order_sheet(orders), str(tmp_path / "sheet"))
+    lines = read_csv(tmp_path / "sheet")
+    assert len(list((tmp_path / "sheet").glob("*.csv"))) > 1
+    assert [int(line[0]) for line in lines[1:]] == list(range(1, 2001))
