@@ -14,16 +14,17 @@ from .periods import Period
 def month_grid(open_dates: DataFrame, period: Period, now: datetime) -> DataFrame:
     """One row per day of a month with its place in a Sunday-first grid and its marks.
 
-    Only the dates of the month, at most 31 after distinct, take part in the join.
+    Only the dates of the month, looked up by name in the scan and hence at most 31 after
+    distinct, take part in the join.
     """
-    first, last = period.start.date(), (period.following - timedelta(days=1)).date()
+    month_days = [(period.start + timedelta(days=n)).date().isoformat() for n in range(period.days)]
     marks = (
-        open_dates.where(F.col("date").between(first.isoformat(), last.isoformat()))
+        open_dates.where(F.col("date").isin(month_days))
         .select("date")
         .distinct()
         .withColumn("_open", F.lit(True))
     )
-    first_day = F.lit(first.isoformat()).cast("date")
+    first_day = F.lit(month_days[0]).cast("date")
     days = open_dates.sparkSession.range(1, period.days + 1, 1, 1).select(
         F.col("id").cast("int").alias("day"),
         F.date_add(first_day, (F.col("id") - 1).cast("int")).alias("_day"),
