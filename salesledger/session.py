@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Checkpoints of row numbering go once nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Building a column does not look up the Python line it comes from.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

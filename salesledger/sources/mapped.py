@@ -8,18 +8,27 @@ not change the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import iso_day
 from ..operators.periods import Period, bounds, filter_period
-from .schema import EXPENSES, MONEY, ORDERS, PRODUCTS
+from .schema import EXPENSES, ORDERS, PRODUCTS
 
-DAY_SECONDS = 86400
+# The columns of the test tables that the mapping reads. Given to the reader, they spare
+# it the look into a file that finds the schema out.
+RAW = {
+    "customer": "c_custkey bigint, c_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double",
+}
 
 
-def order_status() -> Column:
-    return F.when(F.col("o_orderstatus") == "F", "done").otherwise("process")
+STATUS = "case when o_orderstatus = 'F' then 'done' else 'process' end as status"
+PAYMENT = "case when o_custkey % 2 = 0 then 'cash' else 'tf' end as payment_method"
+ORDER_DAY = "cast(cast(o_orderdate as date) as string)"
 
 
 class MappedTables:
@@ -30,7 +39,7 @@ class MappedTables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def order_rows(self, period: Period | None = None, tz: str = "UTC") -> DataFrame:
         """The columns an order holds itself, with o_custkey to find the customer.
@@ -43,16 +52,14 @@ class MappedTables:
             first, last = bounds(period, tz)
             day_before = F.timestamp_add("DAY", F.lit(-1), first)
             raw = raw.where(F.col("o_orderdate").between(day_before, last))
-        key = F.col("o_orderkey")
-        priority = F.col("o_orderpriority")
-        rows = raw.select(
-            key.alias("id"),
-            F.col("o_totalprice").cast(MONEY).alias("total_price"),
-            F.when(F.col("o_custkey") % 2 == 0, "cash").otherwise("tf").alias("payment_method"),
-            F.when(priority == "5-LOW", F.lit(None)).otherwise((key % 20 * 1000).cast(MONEY)).alias("shipping_fee"),
-            F.when(key % 3 == 1, "").when(key % 3 == 2, priority).alias("notes"),
-            order_status().alias("status"),
-            F.timestamp_add("SECOND", key * 7919 % DAY_SECONDS, F.col("o_orderdate")).alias("created_at"),
+        rows = raw.selectExpr(
+            "o_orderkey as id",
+            "cast(o_totalprice as decimal(18,2)) as total_price",
+            PAYMENT,
+            "case when o_orderpriority <> '5-LOW' then cast(o_orderkey % 20 * 1000 as decimal(18,2)) end as shipping_fee",
+            "case o_orderkey % 3 when 1 then '' when 2 then o_orderpriority end as notes",
+            STATUS,
+            "timestampadd(second, o_orderkey * 7919 % 86400, o_orderdate) as created_at",
             "o_custkey",
         )
         return filter_period(rows, period, tz)
@@ -62,9 +69,7 @@ class MappedTables:
         only their line items are aggregated then."""
         picked = rows.select("id")
         if "customer_name" in columns:
-            names = self.raw("customer").select(
-                F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer_name")
-            )
+            names = self.raw("customer").selectExpr("c_custkey as o_custkey", "c_name as customer_name")
             rows = rows.join(names, "o_custkey")
         if {"product_id", "quantity"} & set(columns):
             lines = self.raw("lineitem").withColumnRenamed("l_orderkey", "id")
@@ -73,86 +78,75 @@ class MappedTables:
             parts = lines.groupBy("id").agg(
                 F.min("l_partkey").alias("product_id"), F.sum("l_quantity").alias("_pieces")
             )
-            rows = rows.join(parts, "id", "left").withColumn(
-                "quantity", F.coalesce(F.col("_pieces"), F.lit(1)).cast("int")
-            )
+            rows = rows.join(parts, "id", "left").withColumn("quantity", F.expr("cast(coalesce(_pieces, 1) as int)"))
         return rows.select(*columns)
 
     def orders(self, *columns: str, period: Period | None = None, tz: str = "UTC") -> DataFrame:
         """Orders with the named columns, all by default."""
         return self.with_parents(self.order_rows(period, tz), columns or tuple(ORDERS.names))
 
-    def expenses(self, *columns: str, period: Period | None = None, tz: str = "UTC") -> DataFrame:
-        """Line items grouped by order and line number, with the part as the item bought."""
-        columns = columns or tuple(EXPENSES.names)
-        rows = (
+    def _line_groups(self) -> DataFrame:
+        """Line items of one order and line number as one purchase."""
+        return (
             self.raw("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(
                 F.min("l_partkey").alias("p_partkey"),
-                F.sum("l_quantity").cast("int").alias("amount"),
-                F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("price"),
+                F.expr("cast(sum(l_quantity) as int) as amount"),
+                F.expr("cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(18,2)) as price"),
                 F.min("l_shipdate").alias("created_at"),
             )
-            .withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-            .withColumn("notes", F.lit(None).cast("string"))
+        )
+
+    def expenses(self, *columns: str, period: Period | None = None, tz: str = "UTC") -> DataFrame:
+        """Purchases with the part as the item bought."""
+        columns = columns or tuple(EXPENSES.names)
+        rows = self._line_groups().selectExpr(
+            "l_orderkey * 10 + l_linenumber as id",
+            "p_partkey", "amount", "price", "created_at",
+            "cast(null as string) as notes",
         )
         rows = filter_period(rows, period, tz)
         if {"name", "category"} & set(columns):
-            items = self.raw("part").select(
-                "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("category")
-            )
+            items = self.raw("part").selectExpr("p_partkey", "p_name as name", "p_type as category")
             rows = rows.join(items, "p_partkey")
         return rows.select(*columns)
 
     def products(self, *columns: str) -> DataFrame:
-        rows = self.raw("part").select(
-            F.col("p_partkey").alias("id"),
-            F.col("p_name").alias("name"),
-            F.col("p_retailprice").cast(MONEY).alias("price"),
-            F.col("p_type").alias("description"),
-            F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        rows = self.raw("part").selectExpr(
+            "p_partkey as id",
+            "p_name as name",
+            "cast(p_retailprice as decimal(18,2)) as price",
+            "p_type as description",
+            "cast(null as timestamp_ntz) as created_at",
         )
         return rows.select(*(columns or PRODUCTS.names))
 
-    def _days_of(self, priority: str) -> DataFrame:
+    def open_date_rows(self) -> DataFrame:
+        """Dates as they were entered, before the unique rule: one row per urgent order."""
         return (
             self.raw("orders")
-            .where(F.col("o_orderpriority") == priority)
-            .select(
-                F.col("o_orderkey").alias("id"),
-                iso_day(F.col("o_orderdate")).alias("date"),
-                F.col("o_orderdate").alias("created_at"),
-            )
+            .where("o_orderpriority = '1-URGENT'")
+            .selectExpr("o_orderkey as id", f"{ORDER_DAY} as date", "o_orderdate as created_at")
         )
 
-    def open_date_rows(self) -> DataFrame:
-        """Dates as they were entered, before the unique rule: one row per urgent order."""
-        return self._days_of("1-URGENT")
-
     def open_dates(self) -> DataFrame:
         """Days with more urgent than low orders."""
-        priority = F.col("o_orderpriority")
-        lead = F.count_if(priority == "1-URGENT") - F.count_if(priority == "5-LOW")
         return (
             self.raw("orders")
-            .groupBy(iso_day(F.col("o_orderdate")).alias("date"))
-            .agg(lead.alias("_lead"))
-            .where(F.col("_lead") > 0)
+            .groupBy(F.expr(f"{ORDER_DAY} as date"))
+            .agg(F.expr("count_if(o_orderpriority = '1-URGENT') - count_if(o_orderpriority = '5-LOW') as _lead"))
+            .where("_lead > 0")
             .select("date")
         )
 
     def toggles(self) -> DataFrame:
         """Dates to toggle, repeats kept."""
-        return self._days_of("2-HIGH").select("date")
+        return self.raw("orders").where("o_orderpriority = '2-HIGH'").selectExpr(f"{ORDER_DAY} as date")
 
     def change_snapshot(self) -> DataFrame:
         """The part of the order table that the change feed works on."""
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("id"),
-            order_status().alias("status"),
-            F.col("o_orderpriority").alias("notes"),
-        )
+        return self.raw("orders").selectExpr("o_orderkey as id", STATUS, "o_orderpriority as notes")
 
     def change_feed(self) -> DataFrame:
         """Changes to the snapshot, chosen by the priority of each order.
@@ -160,108 +154,78 @@ class MappedTables:
         Every order yields the array of its changes, so the orders are read once.
         New and unknown ids are negative, hence never those of an order.
         """
-        key = F.col("o_orderkey")
-        priority = F.col("o_orderpriority")
-        other_id = -key - 1
-
-        def change(when: Column, offset: int, id_: Column, op: str, **patch: str | None) -> Column:
-            entries = F.create_map(*[F.lit(x).cast("string") for pair in patch.items() for x in pair])
-            return F.when(when, F.struct(
-                (key * 10 + offset).alias("seq"),
-                id_.alias("id"),
-                F.lit(op).alias("op"),
-                (entries if patch else F.lit(None)).cast("map<string,string>").alias("patch"),
-            ))
-
-        changes = F.array_compact(F.array(
-            change(priority == "1-URGENT", 0, key, "update", status="done"),
-            change((priority == "1-URGENT") & (F.col("o_orderstatus") == "P"), 1, key, "update", status="process"),
-            change(priority == "2-HIGH", 0, key, "update", notes=None),
-            change(priority == "3-MEDIUM", 0, key, "delete"),
-            change(priority == "4-NOT SPECIFIED", 0, other_id, "insert", notes="new"),
-            change(priority == "5-LOW", 0, other_id, "update", status="done"),
-        ))
-        return self.raw("orders").select(F.inline(changes))
+
+        def change(when: str, offset: int, id_: str, op: str, patch: str) -> str:
+            return f"""case when {when} then named_struct('seq', o_orderkey * 10 + {offset}, 'id', {id_},
+                'op', '{op}', 'patch', cast({patch} as map<string,string>)) end"""
+
+        changes = ", ".join([
+            change("o_orderpriority = '1-URGENT'", 0, "o_orderkey", "update", "map('status', 'done')"),
+            change("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'", 1, "o_orderkey", "update", "map('status', 'process')"),
+            change("o_orderpriority = '2-HIGH'", 0, "o_orderkey", "update", "map('notes', cast(null as string))"),
+            change("o_orderpriority = '3-MEDIUM'", 0, "o_orderkey", "delete", "null"),
+            change("o_orderpriority = '4-NOT SPECIFIED'", 0, "-o_orderkey - 1", "insert", "map('notes', 'new')"),
+            change("o_orderpriority = '5-LOW'", 0, "-o_orderkey - 1", "update", "map('status', 'done')"),
+        ])
+        return self.raw("orders").selectExpr(f"inline(array_compact(array({changes})))")
 
     def order_payloads(self) -> DataFrame:
         """New orders as maps that leave some columns out and set others to null."""
-        priority, state = F.col("o_orderpriority"), F.col("o_orderstatus")
-
-        def entry(name: str, value: Column, when: Column | None = None) -> Column:
-            pair = F.struct(F.lit(name).alias("key"), value.cast("string").alias("value"))
-            return pair if when is None else F.when(when, pair)
-
-        entries = F.array_compact(F.array(
-            entry("customer_name", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"))),
-            entry("quantity", F.concat(F.lit(" "), F.dayofmonth("o_orderdate").cast("string")), priority != "5-LOW"),
-            entry("total_price", F.col("o_totalprice").cast(MONEY), priority != "4-NOT SPECIFIED"),
-            entry("payment_method", F.lit("tf"), state == "F"),
-            entry("shipping_fee", F.lit(None), priority == "1-URGENT"),
-            entry("notes", priority, state != "O"),
-            entry("status", F.lit(None), state == "P"),
-            entry("created_at", F.col("o_orderdate"), state != "P"),
-        ))
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("id"), F.map_from_entries(entries).alias("patch")
+
+        def entry(name: str, value: str, when: str = "true") -> str:
+            return f"case when {when} then named_struct('key', '{name}', 'value', cast({value} as string)) end"
+
+        entries = ", ".join([
+            entry("customer_name", "concat('Customer ', o_custkey)"),
+            entry("quantity", "concat(' ', day(o_orderdate))", "o_orderpriority <> '5-LOW'"),
+            entry("total_price", "cast(o_totalprice as decimal(18,2))", "o_orderpriority <> '4-NOT SPECIFIED'"),
+            entry("payment_method", "'tf'", "o_orderstatus = 'F'"),
+            entry("shipping_fee", "null", "o_orderpriority = '1-URGENT'"),
+            entry("notes", "o_orderpriority", "o_orderstatus <> 'O'"),
+            entry("status", "null", "o_orderstatus = 'P'"),
+            entry("created_at", "o_orderdate", "o_orderstatus <> 'P'"),
+        ])
+        return self.raw("orders").selectExpr(
+            "o_orderkey as id", f"map_from_entries(array_compact(array({entries}))) as patch"
         )
 
     def order_forms(self) -> DataFrame:
         """An order form as typed for every order; some numbers and products are wrong."""
-        key, priority, state = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
-        day = F.dayofmonth("o_orderdate").cast("string")
-        return self.raw("orders").select(
-            (key * 10).alias("seq"),
-            key.alias("id"),
-            F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("customer_name"),
-            F.when(priority == "5-LOW", F.lit(None))
-            .when((priority == "3-MEDIUM") & (state == "P"), "")
-            .otherwise((F.col("o_custkey") * 2).cast("string"))
-            .alias("product_id"),
-            F.when((priority == "4-NOT SPECIFIED") & (state == "P"), "many")
-            .when((priority == "3-MEDIUM") & (state == "O"), "")
-            .otherwise(F.concat(F.lit(" "), day))
-            .alias("quantity"),
-            F.when(priority == "1-URGENT", F.lit(None))
-            .when((priority == "2-HIGH") & (state == "O"), "free")
-            .otherwise((key % 20 * 1000).cast("string"))
-            .alias("shipping_fee"),
-            F.when(F.col("o_custkey") % 2 == 0, "cash").otherwise("tf").alias("payment_method"),
-            F.when(state == "O", priority).otherwise("").alias("notes"),
-            order_status().alias("status"),
-            F.when(state == "F", iso_day(F.col("o_orderdate"))).otherwise("").alias("order_date"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey * 10 as seq",
+            "o_orderkey as id",
+            "concat('Customer ', o_custkey) as customer_name",
+            """case when o_orderpriority = '5-LOW' then null
+                when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'P' then ''
+                else cast(o_custkey * 2 as string) end as product_id""",
+            """case when o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'P' then 'many'
+                when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'O' then ''
+                else concat(' ', day(o_orderdate)) end as quantity""",
+            """case when o_orderpriority = '1-URGENT' then null
+                when o_orderpriority = '2-HIGH' and o_orderstatus = 'O' then 'free'
+                else cast(o_orderkey % 20 * 1000 as string) end as shipping_fee""",
+            PAYMENT,
+            "case when o_orderstatus = 'O' then o_orderpriority else '' end as notes",
+            STATUS,
+            f"case when o_orderstatus = 'F' then {ORDER_DAY} else '' end as order_date",
         )
 
     def expense_forms(self) -> DataFrame:
-        """An expense form as typed for every line item group."""
-        key, number = F.col("l_orderkey"), F.col("l_linenumber")
-        return (
-            self.raw("lineitem")
-            .groupBy(key, number)
-            .agg(
-                F.sum("l_quantity").cast("int").alias("_amount"),
-                F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("_price"),
-                F.min("l_shipdate").alias("_day"),
-            )
-            .select(
-                (key * 10 + number).alias("id"),
-                F.concat(F.lit("Item "), number.cast("string")).alias("name"),
-                F.when(number == 2, F.concat(F.col("_amount").cast("string"), F.lit(".5")))
-                .otherwise(F.col("_amount").cast("string"))
-                .alias("amount"),
-                F.when(number == 3, "").otherwise(F.concat(F.col("_price").cast("string"), F.lit(" "))).alias("price"),
-                F.when(number == 4, iso_day(F.col("_day"))).alias("expense_date"),
-                F.lit("").alias("notes"),
-            )
+        """An expense form as typed for every purchase."""
+        return self._line_groups().selectExpr(
+            "l_orderkey * 10 + l_linenumber as id",
+            "concat('Item ', l_linenumber) as name",
+            "if(l_linenumber = 2, concat(amount, '.5'), cast(amount as string)) as amount",
+            "if(l_linenumber = 3, '', concat(price, ' ')) as price",
+            "if(l_linenumber = 4, cast(cast(created_at as date) as string), null) as expense_date",
+            "'' as notes",
         )
 
     def product_forms(self) -> DataFrame:
         """Raw product input: some names and prices are empty or no number."""
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            key.alias("id"),
-            F.when(key % 7 == 0, "").otherwise(F.col("p_name")).alias("name"),
-            F.when(key % 11 == 0, "")
-            .when(key % 13 == 0, "abc")
-            .otherwise(F.col("p_size").cast("string"))
-            .alias("price_text"),
+        return self.raw("part").selectExpr(
+            "p_partkey as id",
+            "if(p_partkey % 7 = 0, '', p_name) as name",
+            """case when p_partkey % 11 = 0 then '' when p_partkey % 13 = 0 then 'abc'
+                else cast(p_size as string) end as price_text""",
         )
