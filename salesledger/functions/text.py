@@ -20,6 +20,9 @@ BLANKS = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+# Fixed value: the notations of a decimal number.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 
 def contains_text(column: Column, query: str) -> Column:
     """Literal substring search without regard to case. Null never matches."""
@@ -62,10 +65,17 @@ def status_name(status: Column) -> Column:
 
 
 def number_from_text(text: Column, kind: DataType = MONEY) -> Column:
-    """Number input: blank or missing text is 0, text that is no number is null."""
+    """Number input: blank or missing text is 0, text that is no number is null.
+
+    Blank text and ordinary numbers are settled first, without trimming. A failed cast is
+    dear, so only text that looks like a number in another notation (3.0, 1e2) is cast again.
+    """
+    zero = F.lit(0).cast(kind)
     bare = F.btrim(text, F.lit(BLANKS))
     number = bare.try_cast(kind)
     if isinstance(kind, IntegralType):
         exact = bare.try_cast("decimal(38,6)")
         number = F.when(exact == F.floor(exact), exact.try_cast(kind))
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit(0).cast(kind)).otherwise(number)
+    other = F.when(bare == "", zero).when(bare.rlike(NUMBER), number)
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.when(blank, zero).otherwise(F.coalesce(text.try_cast(kind), other))
