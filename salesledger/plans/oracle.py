@@ -74,7 +74,6 @@ d_feed as (
 )
 """
 
-MONEY = "cast({0} as double)"
 REV = "(total_price - coalesce(shipping_fee, 0))"
 
 
