@@ -1,0 +1,56 @@
+import random
+
+import numpy as np
+import pytest
+
+from salesledger.llm import queries, suffix
+from tests.llm import brute
+from tests.llm.data import FOLDER
+
+FIELDS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_query(spark, rows):
+    out = {r["doc_id"]: r for r in queries.op7_suffix_dedup(spark, FOLDER).collect()}
+    for (d, *_), expect in zip(rows, brute.suffixes([r[:2] for r in rows], 100)):
+        assert tuple(out[d][c] for c in FIELDS) == expect
+
+
+@pytest.mark.parametrize("hot, block", [(20_000, 12 << 20), (3, 2000), (1, 700)])
+def test_shared_passages(spark, hot, block):
+    """Passages, periodic and overlapping repeats; small blocks and hot anchors give the same result."""
+    r = random.Random(hot)
+    passages = ["".join(r.choice("ab c") for _ in range(r.randint(60, 260))) for _ in range(6)]
+    texts = []
+    for i in range(60):
+        parts = [r.choice(passages)[r.randint(0, 30) :] if r.random() < 0.6 else "".join(r.choice("abcd e") for _ in range(r.randint(0, 150))) for _ in range(r.randint(0, 5))]
+        texts.append((i, "".join(parts) if i % 9 else "xy" * 150))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    out = {x["doc_id"]: x for x in suffix.remove_repeats(frame, hot=hot, block_bytes=block).collect()}
+    for (d, _), expect in zip(texts, brute.suffixes(texts, 100)):
+        assert tuple(out[d][c] for c in FIELDS) == expect
+
+
+def test_odd_rows(odd):
+    out = suffix.remove_repeats(odd, keep_text=True).collect()
+    assert len(out) == odd.count()
+    # without ties in the order, ids make the order plain
+    frame = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = sorted((r["doc_id"], r["text"]) for r in frame.fillna("").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(frame).collect()}
+    for (d, _), expect in zip(rows, brute.suffixes(rows, 100)):
+        assert tuple(got[d][c] for c in FIELDS) == expect
+    assert suffix.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_equal_rows_leave_one(spark):
+    text = "some words that are long enough to be found again " * 4
+    out = suffix.remove_repeats(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in out)[1:] == [len(text)] * 2
+
+
+def test_multikey_sort():
+    r = np.random.default_rng(2)
+    words = r.integers(0, 3, (500, 6)).astype(np.uint64)
+    order = suffix.multikey_sort(words)
+    assert [tuple(x) for x in words[order]] == sorted(map(tuple, words))
