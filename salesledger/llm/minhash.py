@@ -7,7 +7,7 @@
 3. A pair's signatures are compared batch by batch. After each batch the pair is dropped if the posterior probability
    that its similarity reaches the threshold (uniform prior, so a binomial tail) is below the chosen miss probability.
 4. Survivors are verified on their full sets.
-5. Members that ended outside their centre's component are compared with the other members of the bucket, in square
+5. Members that ended outside their centre's component are compared with all members of the centre's buckets, in square
    tiles, by the same batches and the same verification; so no link inside a bucket is lost, while only the few
    outsiders cost more than one comparison.
 6. Components of the verified links give each document its class.
@@ -35,7 +35,8 @@ from salesledger.llm.graph import components
 from salesledger.llm.storage import checkpointed, written
 
 PIECE_BYTES = 1 << 20
-TILE = 256
+#: Most outsiders and most members in a tile, about.
+TILE = 128
 
 
 @dataclass(frozen=True)
@@ -180,34 +181,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs of an outsider and another member of its bucket that no batch prunes. members: band, node, label, centre, middle."""
+def _inner_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """Links (u, v) between an outsider and another member of its star. members: centre, node, label, middle.
+
+    Outsiders and members of a star are dealt to blocks, and each pair of blocks is a tile: no task sees a whole star. A tile
+    prunes by signatures, verifies on full sets and returns links only.
+    """
     out = F.col("label") != F.col("middle")
-    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(out.cast("long")).alias("n_out"))
-    counts = counts.where((F.col("n_out") > 0) & (F.col("n") > 2)).select(F.col("band").alias("_band"), "n", "n_out")
-    rows = members.join(counts, F.col("band") == F.col("_band")).join(nodes.select(F.col("_digest").alias("_d"), "_sig"), F.col("node") == F.col("_d"))
+    counts = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum(out.cast("long")).alias("n_out"))
+    counts = counts.where((F.col("n_out") > 0) & (F.col("n") > 2)).select(F.col("centre").alias("_c"), "n", "n_out")
+    rows = members.where(F.col("node") != F.col("centre")).join(counts, F.col("centre") == F.col("_c"))
+    rows = rows.join(nodes.select(F.col("_digest").alias("_d"), "_sig"), F.col("node") == F.col("_d"))
+    rows = rows.join(texts.select(F.col("_digest").alias("_t"), "_text"), F.col("node") == F.col("_t"))
     blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    left = rows.where(out).select("band", mine("n_out").alias("o"), every("n").alias("m"), F.lit(True).alias("outsider"), "node", "label", "centre", "_sig")
-    right = rows.select("band", every("n_out").alias("o"), mine("n").alias("m"), F.lit(False).alias("outsider"), "node", "label", "centre", "_sig")
-    steps = plan.least_matches()
+    left = rows.where(out).select("centre", mine("n_out").alias("o"), every("n").alias("m"), F.lit(True).alias("outsider"), "node", "label", "_sig", "_text")
+    right = rows.select("centre", every("n_out").alias("o"), mine("n").alias("m"), F.lit(False).alias("outsider"), "node", "label", "_sig", "_text")
+    steps, n = plan.least_matches(), plan.words
+    num, den = plan.threshold.numerator, plan.threshold.denominator
 
     def compare(table: pa.Table) -> pa.Table:
         side = np.array(table.column("outsider").to_pylist(), bool)
         node, label = (np.array(table.column(c).to_pylist(), object) for c in ("node", "label"))
         sig = _signatures(table.column("_sig"))
-        centre = table.column("centre")[0].as_py()
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        us, vs = [], []
-        for k in a:
-            rest = b[(label[b] != label[k]) & (node[b] != centre) & (node[k] != centre)]
-            for j in rest[go_on(np.broadcast_to(sig[k], (len(rest), sig.shape[1])), sig[rest], steps)] if len(rest) else ():
-                us.append(max(node[k], node[j]))
-                vs.append(min(node[k], node[j]))
-        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
-
-    return left.unionAll(right).groupBy("band", "o", "m").applyInArrow(compare, "u binary, v binary").distinct()
+        keys, offs = shingles(*ops.flat(table.column("_text")), n)
+        size = np.diff(offs)
+        inside, links = np.flatnonzero(~side), set()
+        for k in np.flatnonzero(side):
+            rest = inside[label[inside] != label[k]]
+            rest = rest[go_on(np.broadcast_to(sig[k], (len(rest), sig.shape[1])), sig[rest], steps)] if len(rest) else rest
+            if not len(rest):
+                continue
+            mine = keys[offs[k] : offs[k + 1]]
+            theirs = np.concatenate([keys[offs[j] : offs[j + 1]] for j in rest])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            for j in rest[den * both >= num * (size[k] + size[rest] - both)]:
+                links.add((max(node[k], node[j]), min(node[k], node[j])))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+
+    return left.unionAll(right).groupBy("centre", "o", "m").applyInArrow(compare, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") -> DataFrame:
@@ -240,10 +254,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") ->
     links = checkpointed(_verified(_pruned(pairs, plan), texts, plan))
     labels = components(links)
 
-    known = _labelled(_labelled(starred, labels, "node", "label"), labels, "centre", "middle")
-    late = checkpointed(_tiles(known, nodes, plan))
+    stars = starred.select("centre", "node").distinct()
+    known = _labelled(_labelled(stars, labels, "node", "label"), labels, "centre", "middle")
+    late = checkpointed(_inner_links(known, nodes, texts, plan))
     if not late.isEmpty():
-        labels = components(links.unionAll(_verified(late, texts, plan)))
+        labels = components(links.unionAll(late))
 
     named = _labelled(first, labels, "_digest", "_label")
     smallest = named.groupBy("_label").agg(F.min("first_id").alias("component_id"))
