@@ -42,8 +42,10 @@ GRAM = 32
 #: Places of one anchor beyond which its strings are dealt out one by one.
 HOT = 20_000
 FLAG_BYTES = 4
+PIECE_BYTES = 1 << 17
 LAST_ID = (1 << 63) - 1
-CONTEXT = "lead binary, doc long, block int, row int, at long, part_doc long, part_block int, part_row int, part_at long, before binary, after binary"
+#: A suffix at an anchor has the reversed bytes before it; a string of a hot anchor has none (null).
+CONTEXT = "doc long, block int, row int, at long, before binary, after binary"
 RUNS = "kind string, block int, row int, start long, stop long, bucket int, string binary"
 
 
@@ -53,13 +55,15 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     h = gram_hashes(data, gram)
     if len(data) < length:
         return np.zeros(0, np.int64), h[:0]
-    packed = ops.mix(h) & np.uint64(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64)
-    least = (ops.sliding_min(packed, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    packed = h & np.uint64(0xFFFFFFFF00000000)
+    packed |= np.arange(len(h), dtype=np.uint64)
+    least = ops.sliding_min(packed, w).astype(np.uint32)
     inside = np.zeros(len(least) + 1, np.int64)
     long = np.diff(offs) >= length
     np.add.at(inside, offs[:-1][long], 1)
     np.add.at(inside, offs[1:][long] - length + 1, -1)
-    found = np.unique(least[np.cumsum(inside)[:-1] > 0])
+    found = least[np.cumsum(inside)[:-1] > 0].astype(np.int64)  # never decreases from string to string
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
     return found, h[found]
 
 
@@ -128,10 +132,19 @@ def repeated_strings(before: pa.Array, after: pa.Array, length: int = LENGTH, gr
     return rows, most[rows], length - least[rows]
 
 
+def _slices(data: np.ndarray, at: np.ndarray, size: np.ndarray, step: int) -> pa.Array:
+    """Runs of bytes that begin at `at` and go forwards or backwards."""
+    width = int(size.max()) if len(size) else 0
+    index = at[:, None] + step * np.arange(width)
+    inside = np.arange(width) < size[:, None]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[index[inside]])])
+
+
 def _texts(table: pa.Table):
     """Pieces of a block: first row, bytes and offsets."""
     data, offs = ops.flat(table.column("text"))
-    for a, b in ops.pieces(offs):
+    for a, b in ops.pieces(offs, PIECE_BYTES):
         yield a, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
@@ -143,6 +156,8 @@ def _all_anchors(table: pa.Table, length: int, gram: int):
 def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> DataFrame:
     """Covered runs (block, row, start, stop), and the first and last strings of hot buckets."""
     n_parts = blocks.parts(n_blocks)
+    names = ["doc", "block", "row", "at", "before", "after"]
+    kinds = pa.schema(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]))
 
     def send(table: pa.Table) -> pa.Table:
         _, keys = _all_anchors(blocks.ordered(table), length, gram)
@@ -168,27 +183,27 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
         place = blocks.deal(keys, n_parts)[1]
         flags = np.frombuffer(b"".join(answers.column("flags").to_pylist()), np.uint8)
         flag = flags[place] if len(place) else np.zeros(0, np.uint8)
-        ids = table.column("doc_id").to_pylist()
+        ids = pc.fill_null(table.column("doc_id"), LAST_ID).to_numpy()
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        out: list[tuple] = []
-        done = 0
-        for a, data, offs, at, h in found:
+        out, done = [], 0
+        for a, data, offs, at, _ in found:
             mine, done = flag[done : done + len(at)], done + len(at)
+            at, mine = at[mine > 0], mine[mine > 0]
             text = np.searchsorted(offs, at, "right") - 1
-            raw = data.tobytes()
-            for k in np.flatnonzero(mine).tolist():
-                t, p = int(text[k]), int(at[k])
-                lo, hi = int(offs[t]), int(offs[t + 1])
-                left, right = max(lo, p - length + gram), min(hi, p + length)
-                doc = ids[a + t] if ids[a + t] is not None else LAST_ID
-                if mine[k] == 1:
-                    out.append((raw[p : p + gram], doc, block, a + t, p - lo, None, None, None, None, raw[left:p][::-1], raw[p:right]))
-                else:
-                    for s in range(left, min(p, hi - length) + 1):
-                        out.append((raw[s : s + length], doc, block, a + t, s - lo, doc, block, a + t, s - lo, None, raw[s : s + length]))
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        names = [c.split()[0] for c in CONTEXT.split(", ")]
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(names, zip(*out) if out else [()] * len(names), kinds)})
+            for k in (1, 2):
+                p, t = at[mine == k], text[mine == k]
+                if k == 2:  # each string over the anchor
+                    first = np.maximum(offs[t], p - length + gram)
+                    n = np.maximum(0, np.minimum(p, offs[t + 1] - length) + 1 - first)
+                    p = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else p
+                    t = np.repeat(t, n)
+                for lo in range(0, len(p), 1 << 14):
+                    q, r = p[lo : lo + (1 << 14)], t[lo : lo + (1 << 14)]
+                    before = _slices(data, q - 1, np.minimum(q - offs[r], length - gram), -1) if k == 1 else pa.nulls(len(q), pa.binary())
+                    after = _slices(data, q, np.minimum(offs[r + 1] - q, length), 1)
+                    cols = [pa.array(ids[a + r]), pa.array(np.full(len(q), block, np.int32)), pa.array((a + r).astype(np.int32)), pa.array(q - offs[r])]
+                    out.append(pa.RecordBatch.from_arrays([*cols, before, after], names))
+        return pa.Table.from_batches(out, kinds)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,7 +234,9 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
     sent = rows.groupBy("block").applyInArrow(send, "part int, block int, keys binary, n binary")
     flags = sent.groupBy("part").applyInArrow(answer, "block int, part int, flags binary")
     suffixes = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(contexts, CONTEXT)
-    split = suffixes.repartitionByRange("lead", "part_doc", "part_block", "part_row", "part_at")
+    dealt = F.col("before").isNull()
+    lead = F.when(dealt, F.col("after")).otherwise(F.substring("after", 1, gram))
+    split = suffixes.repartitionByRange(lead, F.when(dealt, F.col("doc")), F.when(dealt, F.col("at")))
     return split.mapInArrow(bucket, RUNS)
 
 
