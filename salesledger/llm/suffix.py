@@ -5,8 +5,9 @@ the next GRAM bytes is least (the first such place); equal strings have equal an
 anchors, with the bytes before them, finds every repeated string.
 
 1. Blocks of documents send the hashes of their anchors (packed, distinct); the answers say which occur twice or more, and which
-   are in more than HOT places.
-2. Each suffix at a repeated anchor is sent with its context. Sampled splitters range-partition the suffixes by their
+   have more than HOT contexts.
+2. A suffix at a repeated anchor is sent with its context, the bytes that any string over it can reach; of equal contexts in one block
+   only the first is sent, since the others repeat whatever it holds. Sampled splitters range-partition the suffixes by their
    leading tokens (the GRAM bytes at the anchor). A bucket sorts suffixes by multikey quicksort, eight bytes at a time, and the
    texts before them likewise; runs of common prefixes in both orders give, for each way to place a string over the
    anchor, the classes of equal strings, of which only the first member stays.
@@ -39,13 +40,13 @@ from salesledger.llm.storage import written
 
 LENGTH = 100
 GRAM = 32
-#: Places of one anchor beyond which its strings are dealt out one by one.
+#: Contexts of one anchor, added up over blocks, beyond which its strings are dealt out one by one.
 HOT = 20_000
 FLAG_BYTES = 4
 PIECE_BYTES = 1 << 17
 LAST_ID = (1 << 63) - 1
-#: A suffix at an anchor has the reversed bytes before it; a string of a hot anchor has none (null).
-CONTEXT = "doc long, block int, row int, at long, before binary, after binary"
+#: A suffix at an anchor has the reversed bytes before it, a string of a hot anchor has none (null), a run known to repeat has neither.
+CONTEXT = "doc long, block int, row int, at long, stop long, before binary, after binary"
 RUNS = "kind string, block int, row int, start long, stop long, bucket int, string binary"
 
 
@@ -148,21 +149,45 @@ def _texts(table: pa.Table):
         yield a, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
+def _contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """A hash of the bytes that strings over each anchor can reach; 0 where the text ends before them."""
+    text = np.searchsorted(offs, at, "right") - 1
+    full = np.flatnonzero((at - length + gram >= offs[text]) & (at + length <= offs[text + 1]))
+    out = np.zeros(len(at), np.uint64)
+    if len(full):
+        start = at[full] - length + gram
+        out[full] = ops.hashes(data, start, start + 2 * length - gram) | np.uint64(1)
+    return out
+
+
 def _all_anchors(table: pa.Table, length: int, gram: int):
-    found = [(a, d, o, *anchors(d, o, length, gram)) for a, d, o in _texts(table)]
-    return found, np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in found)])
+    """Pieces (first row, bytes, offsets, anchors) of a block, and the key and context of every anchor."""
+    found, keys, contexts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for a, data, offs in _texts(table):
+        at, h = anchors(data, offs, length, gram)
+        found.append((a, data, offs, at))
+        keys.append(h)
+        contexts.append(_contexts(data, offs, at, length, gram))
+    return found, np.concatenate(keys), np.concatenate(contexts)
+
+
+def _again(contexts: np.ndarray) -> np.ndarray:
+    """Which contexts are equal to an earlier one."""
+    return ops.repeated(contexts)[1] & (contexts > 0)
 
 
 def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> DataFrame:
     """Covered runs (block, row, start, stop), and the first and last strings of hot buckets."""
     n_parts = blocks.parts(n_blocks)
-    names = ["doc", "block", "row", "at", "before", "after"]
-    kinds = pa.schema(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]))
+    names = ["doc", "block", "row", "at", "stop", "before", "after"]
+    kinds = pa.schema(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]))
 
     def send(table: pa.Table) -> pa.Table:
-        _, keys = _all_anchors(blocks.ordered(table), length, gram)
+        _, keys, context = _all_anchors(blocks.ordered(table), length, gram)
         unique, place, _, bounds = blocks.deal(keys, n_parts)
-        count = np.bincount(place, minlength=len(unique)).astype(np.uint32)
+        again = _again(context)
+        count = np.bincount(place, ~again, len(unique)) + (np.bincount(place, again, len(unique)) > 0)
+        count = count.astype(np.uint32)
         used = np.flatnonzero(np.diff(bounds))
         cut = [(bounds[p], bounds[p + 1]) for p in used]
         return pa.table({
@@ -179,19 +204,37 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
 
     def contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, answers = blocks.ordered(table), answers.sort_by("part")
-        found, keys = _all_anchors(table, length, gram)
+        found, keys, context = _all_anchors(table, length, gram)
         place = blocks.deal(keys, n_parts)[1]
         flags = np.frombuffer(b"".join(answers.column("flags").to_pylist()), np.uint8)
         flag = flags[place] if len(place) else np.zeros(0, np.uint8)
+        again = _again(context)
         ids = pc.fill_null(table.column("doc_id"), LAST_ID).to_numpy()
         block = table.column("block")[0].as_py() if table.num_rows else 0
         out, done = [], 0
-        for a, data, offs, at, _ in found:
-            mine, done = flag[done : done + len(at)], done + len(at)
-            at, mine = at[mine > 0], mine[mine > 0]
+
+        def add(rows: np.ndarray, at: np.ndarray, stop: np.ndarray | None, before: pa.Array | None, after: pa.Array | None) -> None:
+            none = pa.nulls(len(rows), pa.binary())
+            cols = [pa.array(ids[rows]), pa.array(np.full(len(rows), block, np.int32)), pa.array(rows.astype(np.int32)), pa.array(at)]
+            cols += [pa.nulls(len(rows), pa.int64()) if stop is None else pa.array(stop), none if before is None else before, none if after is None else after]
+            out.append(pa.RecordBatch.from_arrays(cols, names))
+
+        for a, data, offs, at in found:
+            mine, known = flag[done : done + len(at)], again[done : done + len(at)]
+            done += len(at)
             text = np.searchsorted(offs, at, "right") - 1
+            p, t = at[known], text[known]
+            runs = merged(p - length + gram, p + length)  # no context crosses a text, so runs of two texts at most touch
+            if runs:
+                start, stop = np.array(runs).T
+                cuts = np.setdiff1d(offs[1:-1], np.concatenate([start, stop]))
+                cuts = cuts[np.searchsorted(start, cuts) > np.searchsorted(stop, cuts)]
+                start, stop = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([stop, cuts]))
+                row = np.searchsorted(offs, start, "right") - 1
+                add(a + row, start - offs[row], stop - offs[row], None, None)
             for k in (1, 2):
-                p, t = at[mine == k], text[mine == k]
+                use = (mine == k) & ~known
+                p, t = at[use], text[use]
                 if k == 2:  # each string over the anchor
                     first = np.maximum(offs[t], p - length + gram)
                     n = np.maximum(0, np.minimum(p, offs[t + 1] - length) + 1 - first)
@@ -199,10 +242,8 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
                     t = np.repeat(t, n)
                 for lo in range(0, len(p), 1 << 14):
                     q, r = p[lo : lo + (1 << 14)], t[lo : lo + (1 << 14)]
-                    before = _slices(data, q - 1, np.minimum(q - offs[r], length - gram), -1) if k == 1 else pa.nulls(len(q), pa.binary())
-                    after = _slices(data, q, np.minimum(offs[r + 1] - q, length), 1)
-                    cols = [pa.array(ids[a + r]), pa.array(np.full(len(q), block, np.int32)), pa.array((a + r).astype(np.int32)), pa.array(q - offs[r])]
-                    out.append(pa.RecordBatch.from_arrays([*cols, before, after], names))
+                    before = _slices(data, q - 1, np.minimum(q - offs[r], length - gram), -1) if k == 1 else None
+                    add(a + r, q - offs[r], None, before, _slices(data, q, np.minimum(offs[r + 1] - q, length), 1))
         return pa.Table.from_batches(out, kinds)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +259,10 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
             rows, before, after = repeated_strings(plain.column("before").combine_chunks(), plain.column("after").combine_chunks(), length, gram)
             at = plain.column("at").to_numpy()[rows]
             yield _result("run", plain, rows, at - before, at + after, number)
-        dealt = table.filter(pc.is_null(table.column("before"))).sort_by([(c, "ascending") for c in ("after", "doc", "block", "row", "at")])
+        known = table.filter(pc.is_null(table.column("after")))
+        if known.num_rows:
+            yield _result("run", known, np.arange(known.num_rows), known.column("at").to_numpy(), known.column("stop").to_numpy(), number)
+        dealt = table.filter(pc.and_(pc.is_null(table.column("before")), pc.is_valid(table.column("after")))).sort_by([(c, "ascending") for c in ("after", "doc", "block", "row", "at")])
         if dealt.num_rows:
             strings = dealt.column("after").combine_chunks()
             same = np.concatenate([[False], pc.equal(strings[1:], strings[:-1]).to_numpy(zero_copy_only=False)])
