@@ -31,18 +31,17 @@ def parts(n_blocks: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, n_blocks * block_bytes // PART_BYTES)
 
 
-def deal(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in the order of (part, key), the place of each key in them, and the bounds of the parts."""
-    part = ops.mix(keys) % np.uint64(n_parts)
-    order = np.lexsort((keys, part))
-    k, p = keys[order], part[order]
+def deal(keys: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key in them, and the bounds of the parts (equal ranges of hashes)."""
+    order = np.argsort(keys)
+    k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    rank = np.cumsum(new) - 1
     place = np.empty(len(k), np.int64)
-    place[order] = rank
-    unique, owner = k[new], p[new].astype(np.int64)
-    return unique, place, owner, np.searchsorted(owner, np.arange(n_parts + 1))
+    place[order] = np.cumsum(new) - 1
+    unique = k[new]
+    edges = np.array([(p << 64) // n_parts for p in range(n_parts)], np.uint64)
+    return unique, place, np.append(np.searchsorted(unique, edges), len(unique))
 
 
 def packed(keys: np.ndarray, size: int) -> bytes:

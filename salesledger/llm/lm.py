@@ -79,7 +79,7 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
         out = {c: [] for c in ("part", "block", "words", "word_n", "pairs", "pair_n")}
         sides = []
         for keys in (token, pair):
-            unique, place, _, bounds = blocks.deal(keys, n_parts)
+            unique, place, bounds = blocks.deal(keys, n_parts)
             sides.append((unique, np.bincount(place, trains, len(unique)).astype(np.uint32), bounds))
         for p in range(n_parts):
             (w, wn, wb), (x, xn, xb) = sides
@@ -142,12 +142,12 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     u[1:] = w[:-1]
     full = first[:-1][first[:-1] < first[1:]]
     u[full] = w[first[1:][first[:-1] < first[1:]] - 1]  # a text begins after the boundary sign, which is as frequent as the end
-    return w, u, x, first
+    return w, u, np.minimum(x, np.minimum(u, w)), first
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     """0 for a context never seen, else one more than the power of two below its count."""
-    return np.minimum(BUCKETS - 1, np.frexp(context.astype(float))[1])
+    return np.minimum(BUCKETS - 1, np.frexp(context.astype(float))[1].astype(np.int64))
 
 
 def _cells(counts: DataFrame, tokens: int) -> list[tuple[int, int, int, int]]:

@@ -184,7 +184,7 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
 
     def send(table: pa.Table) -> pa.Table:
         _, keys, context = _all_anchors(blocks.ordered(table), length, gram)
-        unique, place, _, bounds = blocks.deal(keys, n_parts)
+        unique, place, bounds = blocks.deal(keys, n_parts)
         again = _again(context)
         count = np.bincount(place, ~again, len(unique)) + (np.bincount(place, again, len(unique)) > 0)
         count = count.astype(np.uint32)

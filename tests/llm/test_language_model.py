@@ -32,6 +32,7 @@ def test_score_is_the_mixture(spark, rows):
     counts = lm.count_tokens(frame).cache()
     weights = lm.learn_weights(lm._cells(counts, n), v)
     assert weights.sum(axis=1) == pytest.approx(1) and weights[0, 0] == 0 and (weights > 0)[1:].all()
+    assert abs(weights[2] - weights[9]).max() > 0.01
 
     def score(tokens):
         total = 0.0
@@ -57,3 +58,16 @@ def test_odd_rows(odd):
     compare(out, [(r["doc_id"], r["text"]) for r in odd.collect()])
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in out)
     assert lm.score_documents(odd.limit(0)).count() == 0
+
+
+def test_parts_cover_all_keys():
+    import numpy as np
+
+    from salesledger.llm import blocks
+
+    keys = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    keys = np.concatenate([keys, keys[:700]])
+    unique, place, bounds = blocks.deal(keys, 7)
+    assert (unique[place] == keys).all() and len(unique) == 5000 and bounds[0] == 0 and bounds[-1] == 5000 and (np.diff(bounds) > 500).all()
+    assert (blocks.unpacked(blocks.packed(unique, 5), 5) == unique & np.uint64((1 << 40) - 1)).all()
+    assert [s.tolist() for s in blocks.summed([unique[:3], unique[1:2]], [np.array([1, 2, 3]), np.array([5])])] == [[1, 7, 3], [7]]
