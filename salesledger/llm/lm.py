@@ -8,8 +8,8 @@ counts from which it has been taken out.
 Words and word pairs are counted over all training documents with the packed exchange of blocks.py: one shuffle of the
 documents, one of the distinct keys of each block, one of the counts back. The counts of each token are then written
 to the shared folder, so that learning weights (a histogram on a fixed grid) and scoring read them without a shuffle.
-Words travel as 64-bit hashes; word pairs as 40-bit hashes inside one of many parts, where two pairs meet by chance about once
-in a million.
+Words travel as 48 bits of a hash and word pairs as 40, besides the bits that name one of many parts of a bounded size: two words of a
+corpus meet by chance hardly ever, a pair meets another about once in a million, and then counts at most as often as its words.
 
 Defined cases: a null or empty text is one end token; rows may repeat and count as often as they stand there; a null id counts as the empty text
 and so trains; without training documents every token gets 1 / (V + 1) = 1; an empty table gives an empty table.
@@ -33,7 +33,8 @@ BUCKETS = 48
 #: Cells of the weight histogram for each power of ten of a probability.
 GRID = 20
 ROUNDS = 60
-PAIR_BYTES = 5
+#: Bytes of a hash that travel; a part is a range of hashes, so the leading bits go without saying.
+WORD_BYTES, PAIR_BYTES = 6, 5
 COUNTS = "doc_id long, held_out boolean, word_counts array<int>, pair_counts array<int>, vocabulary long"
 
 
@@ -86,7 +87,7 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
             wa, we, xa, xe = wb[p], wb[p + 1], xb[p], xb[p + 1]
             if wa < we or xa < xe:
                 out["part"].append(p)
-                out["words"].append(w[wa:we].tobytes())
+                out["words"].append(blocks.packed(w[wa:we], WORD_BYTES))
                 out["word_n"].append(wn[wa:we].tobytes())
                 out["pairs"].append(blocks.packed(x[xa:xe], PAIR_BYTES))
                 out["pair_n"].append(xn[xa:xe].tobytes())
@@ -96,7 +97,7 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         read = lambda c: [np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]
-        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        words = [blocks.unpacked(x, WORD_BYTES) for x in table.column("words").to_pylist()]
         pairs = [blocks.unpacked(x, PAIR_BYTES) for x in table.column("pairs").to_pylist()]
         back = [blocks.summed(words, read("word_n")), blocks.summed(pairs, read("pair_n"))]
         known = len(np.unique(np.concatenate([w[c > 0] for w, c in zip(words, back[0])])))
