@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from salesledger.llm import textops as ops
 
-Q = 12
-EDIT_RATE = 0.06
+Q = 10
+EDIT_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 PIECE_CHARS = 1 << 20
 FILTER_BITS = 22
