@@ -5,7 +5,7 @@ Four sources of evidence are added up as log probabilities for each language:
   markup    the declared language (a lang attribute in the text, else the column), through a confusion table;
   suffix    the last label of the host, or of the source that stands for it;
   host      a prior of the host, smoothed towards its suffix, which is smoothed towards the whole corpus.
-Trigram tables are fitted on a sample of at most SAMPLE labelled documents, the ones with the smallest hashes. Confusions and
+Trigram tables are fitted on a sample of at most SAMPLE different labelled texts, the ones with the smallest hashes. Confusions and
 priors come from a grouped aggregation over all documents (of what their text alone says), so they grow with the data and not
 with a task. Priors are sent to all tasks while there are at most MAX_HOSTS hosts, else joined by a shuffle.
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesledger.llm import textops as ops
+from salesledger.llm.storage import checkpointed, sampled
 
 SAMPLE = 4000
 #: Characters of all sampled texts, at most; a longer sample ends with the document that crosses it.
@@ -82,7 +83,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
     rows = known.where(F.col(lang).isin(languages)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     table = np.full((len(languages), SLOTS), 0.5)
     used = 0
-    for r in rows.orderBy("h", "l", "t").limit(sample).toLocalIterator():
+    few = sampled(rows, "h", sample).groupBy("h", "l").agg(F.min("t").alias("t"))
+    for r in few.orderBy("h", "l").toLocalIterator():
         raw = np.frombuffer(r["t"].encode("utf-8", "replace"), np.uint8)
         slot, _ = _slots(raw, np.array([0, len(raw)]))
         table[languages.index(r["l"])] += np.bincount(slot, minlength=SLOTS)
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", lang: str |
     rows = rows.withColumn("text_language", best_of(F.col("_ll")))
     voters = rows.where(F.col("text_language").isNotNull())
     # one row for each host, suffix and pair of languages: what the text says against what is declared
-    votes = voters.groupBy("_host", "_suffix", "_said", "text_language").agg(F.count(F.lit(1)).alias("n"))
+    votes = checkpointed(voters.groupBy("_host", "_suffix", "_said", "text_language").agg(F.count(F.lit(1)).alias("n")))
     said_rows = votes.groupBy("_said", "text_language").agg(F.sum("n").alias("n")).collect()  # at most (languages + 1) * languages rows
     confusion = {x: {} for x in names}
     total = dict.fromkeys(names, 0.0)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,10 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def sampled(frame: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows whose 64-bit hash in column `key` is small, for at most about `size` different keys: the same rows on every run."""
+    n = frame.select(key).distinct().count()
+    share = min(1.0, max(1.0, size - 6 * size**0.5) / max(n, 1))
+    return frame.where(F.shiftrightunsigned(F.col(key), 1) <= F.lit(int(share * (2**63 - 1))))

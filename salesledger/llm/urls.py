@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Features: lengths, path depth, digit share, entropy, parameters, hyphens, labels, and the smoothed block rate of the
-host's suffix, aggregated over every labelled URL. The trees are fitted on a sample of at most `SAMPLE` labelled URLs,
+host's suffix, aggregated over every labelled URL. The trees are fitted on a sample of at most SAMPLE different labelled URLs,
 the ones with the smallest hashes; everything else covers all rows.
 
 Defined cases: a null URL or one without `://` has an empty host and path, fits no rule and goes to the trees; the
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesledger.llm.storage import sampled
+
 #: Labelled URLs that the trees are fitted on, at most.
 SAMPLE = 8000
 #: Suffix rates are pulled towards the overall rate with the weight of this many URLs.
@@ -152,7 +154,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, **how) -> tuple[Trees, DataFr
     rates, overall = suffix_rates(labelled)
     url = F.col("url")
     rows = labelled.select("url", F.col("label").cast("int").alias("label"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = _rated(rows, rates, overall).orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()
+    rows = sampled(rows.distinct().withColumn("h", F.xxhash64("url")), "h", sample)
+    rows = sorted(_rated(rows, rates, overall).collect(), key=lambda r: (r["h"], r["label"]))
     x = np.array([features(r["url"], r["host"], r["path"], r["_rate"]) for r in rows]).reshape(len(rows), len(FEATURES))
     return fit_trees(x, np.array([r["label"] for r in rows], float), **how), rates, overall
 
