@@ -50,4 +50,4 @@ def sampled(frame: DataFrame, key: str, size: int) -> DataFrame:
     """Rows whose 64-bit hash in column `key` is small, for at most about `size` different keys: the same rows on every run."""
     n = frame.select(key).distinct().count()
     share = min(1.0, max(1.0, size - 6 * size**0.5) / max(n, 1))
-    return frame.where(F.shiftrightunsigned(F.col(key), 1) <= F.lit(int(share * (2**63 - 1))))
+    return frame.where(F.shiftrightunsigned(F.col(key), 1) <= F.lit(min(2**63 - 1, int(share * 2**63))))
