@@ -19,8 +19,10 @@ def net_revenue(total: str = "total_price", fee: str = "shipping_fee") -> Column
 
 
 def rupiah(amount: Column) -> Column:
-    """Rp 15.000 with a no-break space: whole rupiah, dots between groups, null and NaN as 0."""
-    whole = F.round(or_zero(amount.try_cast("decimal(30,6)")), 0)
+    """Rp 15.000 with a no-break space: whole rupiah, dots between groups, null and NaN as 0.
+    An amount beyond 24 digits raises."""
+    known = F.when(~F.isnan(amount.cast("double")), amount)
+    whole = F.round(or_zero(known.cast("decimal(30,6)")), 0)
     digits = F.replace(F.format_number(F.abs(whole), 0), F.lit(","), F.lit("."))
     sign = F.when(whole < 0, F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, F.lit("Rp" + NO_BREAK_SPACE), digits)

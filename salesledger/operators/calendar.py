@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import iso_day, weekday
+from ..sources.schema import ntz
 from .periods import Period
 
 
@@ -50,19 +51,25 @@ def month_grid(open_dates: DataFrame, period: Period, now: datetime) -> DataFram
     )
 
 
-def toggled(open_dates: DataFrame, toggles: DataFrame) -> DataFrame:
-    """The set after each toggle removed its date if present and added it if absent.
+def toggled(open_dates: DataFrame, toggles: DataFrame, now: datetime) -> DataFrame:
+    """The set after each toggle (id, date) removed its date if present and added it if absent.
 
-    A date stays when it was met an odd number of times. The counts are folded in
+    A date stays when it was met an odd number of times. A stored date keeps its id and time; a new
+    one gets the lowest id of its toggles and the time of the write. The counts are folded in
     every task first, so a date toggled very often does not load one task.
     """
+    stored = open_dates.select("date", "id", "created_at", F.lit(None).cast("bigint").alias("_new"))
+    asked = toggles.select("date", F.lit(None).cast("bigint"), F.lit(None).cast("timestamp_ntz"), "id")
     return (
-        open_dates.select("date")
-        .unionAll(toggles.select("date"))
+        stored.unionAll(asked)
         .groupBy("date")
-        .count()
-        .where(F.col("count") % 2 == 1)
-        .select("date")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"), F.min("created_at").alias("created_at"), F.min("_new").alias("_new"))
+        .where(F.col("_n") % 2 == 1)
+        .select(
+            F.coalesce("id", "_new").alias("id"),
+            "date",
+            F.when(F.col("id").isNull(), ntz(now)).otherwise(F.col("created_at")).alias("created_at"),
+        )
     )
 
 
@@ -70,8 +77,8 @@ def unique_dates(open_dates: DataFrame) -> DataFrame:
     """One row per date: the one with the lowest id, as the unique rule would have kept it."""
     return (
         open_dates.groupBy("date")
-        .agg(F.min(F.struct("id", "created_at")).alias("_first"))
-        .select("_first.id", "date", "_first.created_at")
+        .agg(F.min("id").alias("_id"), F.min_by("created_at", "id").alias("created_at"))
+        .select(F.col("_id").alias("id"), "date", "created_at")
     )
 
 

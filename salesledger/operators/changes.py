@@ -1,7 +1,8 @@
 """Batches of inserts, updates and deletes applied to a table.
 
 A change has seq, id, op (insert, update or delete) and patch, a map from column
-name to text. Ids are identities: an insert brings a new id, and a deleted id does not
+name to text. A change that the table could not take (no id or seq, another op, an unknown column, a value that
+cannot be read, null where the table forbids it) is not applied; refused_changes gives it with a reason. Ids are identities: an insert brings a new id, and a deleted id does not
 come back. Giving an id that exists to an insert changes the row, so a batch may be
 applied again after a failure with the same result.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.schema import TABLES, default_value
-from .ingest import typed
+from .ingest import patch_problem, typed
 from .lookup import priced
 
 # What the changes of one id come to; the highest of them decides.
@@ -37,7 +38,62 @@ def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
         for name in columns
     ]
     fate = F.when(F.col("op") == "delete", DELETED).when(F.col("op") == "insert", INSERTED).otherwise(UPDATED)
-    return feed.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(fate).alias("_fate"), *last)
+    return feed.groupBy("id").agg(F.max(fate).alias("_fate"), *last)
+
+
+OPS = ("insert", "update", "delete")
+
+
+def judged(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
+    """The feed with a reason, null for a change that can be applied."""
+    op = F.col("op")
+    patch = patch_problem(table, F.col("patch"), op == "insert", names)
+    reason = (
+        F.when(F.col("id").isNull(), "id is null")
+        .when(F.col("seq").isNull(), "seq is null")
+        .when(~F.coalesce(op.isin(*OPS), F.lit(False)), "unknown op")
+        .when(op != "delete", patch)
+    )
+    return feed.withColumn("reason", reason)
+
+
+def refused_changes(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
+    """The changes that apply_changes leaves out, and why."""
+    return judged(feed, table, names).where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
+
+
+def accepted_changes(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
+    return judged(feed, table, names).where(F.col("reason").isNull()).drop("reason")
+
+
+def split_deletes(feed: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes to products that may be applied, and deletes of products that orders name, with a reason.
+
+    The products that orders name are made distinct first, so a hot product is sent once by each task.
+    """
+    used = orders.select(F.col("product_id").alias("_used")).where(F.col("_used").isNotNull()).distinct()
+    met = feed.join(used, F.col("id") == F.col("_used"), "left")
+    refused = (F.col("op") == "delete") & F.col("_used").isNotNull()
+    kept = met.where(~F.coalesce(refused, F.lit(False))).select(*feed.columns)
+    return kept, met.where(refused).select("seq", "id", F.lit("orders name this product").alias("reason"))
+
+
+def apply_rows(snapshot: DataFrame, edits: DataFrame, table: str) -> DataFrame:
+    """The snapshot with the last edit of each id over it.
+
+    An edit has seq, id and typed columns of the table. A column that edits lack keeps its stored value, and so
+    does created_at where an edit has none. Edits of unknown ids change nothing.
+    """
+    names = [n for n in TABLES[table].names if n in edits.columns and n != "id"]
+    last = edits.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("_new"))
+    new = {n: F.col(f"_new.{n}") for n in names}
+    if "created_at" in new:
+        new["created_at"] = F.coalesce(new["created_at"], F.col("created_at"))
+    rows = snapshot.join(last, "id", "left")
+    return rows.select(*[
+        F.when(F.col("_new").isNotNull(), new[n]).otherwise(F.col(n)).alias(n) if n in new else F.col(n)
+        for n in snapshot.columns
+    ])
 
 
 def apply_changes(
@@ -52,6 +108,7 @@ def apply_changes(
     """
     schema: StructType = TABLES[table]
     names = [n for n in (columns or schema.names) if n != "id"]
+    feed = accepted_changes(feed, table, names)
     changes = folded(feed, names)
 
     def value(name: str):
@@ -90,5 +147,5 @@ def apply_changes(
 
 def repriced(orders: DataFrame, products: DataFrame, feed: DataFrame) -> DataFrame:
     """Orders that the feed updates, with the total worked out anew from today's price."""
-    edited = feed.where(F.col("op") == "update").select("id").distinct()
+    edited = accepted_changes(feed, "orders").where(F.col("op") == "update").select("id").distinct()
     return priced(orders.join(edited, "id", "left_semi"), products)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StringType
 
 from ..functions.text import number_from_text
-from ..sources.schema import TABLES, default_value, required
+from ..sources.schema import DEFAULTS, TABLES, default_value, required
 
 
 def typed(text: Column, kind: DataType) -> Column:
@@ -29,11 +29,46 @@ def with_defaults(df: DataFrame, table: str, now: datetime) -> DataFrame:
     ])
 
 
+def patch_problem(table: str, values: Column, new: Column, names: list[str] | None = None) -> Column:
+    """Why a map of column values cannot be written; null for one that can.
+
+    `new` is true for a row that does not exist yet, which must bring what has no default.
+    """
+    fields = [f for f in TABLES[table].fields if f.name != "id" and (names is None or f.name in names)]
+    known = F.array(*[F.lit(f.name) for f in fields])
+    stray = F.get(F.array_except(F.coalesce(F.map_keys(values), F.array().cast("array<string>")), known), F.lit(0))
+    reasons = [F.when(stray.isNotNull(), F.concat(F.lit("unknown column "), stray))]
+    for field in fields:
+        given = F.coalesce(F.map_contains_key(values, field.name), F.lit(False))
+        text = F.try_element_at(values, F.lit(field.name))
+        if not isinstance(field.dataType, StringType):
+            reasons.append(F.when(text.isNotNull() & typed(text, field.dataType).isNull(), F.lit(f"{field.name} cannot be read")))
+        if not field.nullable:
+            lacking = given & text.isNull()
+            if field.name not in DEFAULTS[table]:
+                lacking = lacking | (new & ~given)
+            reasons.append(F.when(lacking, F.lit(f"{field.name} is null")))
+    return F.coalesce(*reasons)
+
+
+def judged_patches(df: DataFrame, table: str, patch: str = "patch", key: str = "id") -> DataFrame:
+    """The rows with a reason, null where the map of column values makes a complete row."""
+    problem = patch_problem(table, F.col(patch), F.lit(True))
+    return df.withColumn("reason", F.when(F.col(key).isNull(), "id is null").otherwise(problem))
+
+
+def refused_patches(df: DataFrame, table: str, patch: str = "patch", key: str = "id") -> DataFrame:
+    """The rows that from_patch leaves out, and why."""
+    return judged_patches(df, table, patch, key).where(F.col("reason").isNotNull()).select(key, "reason")
+
+
 def from_patch(df: DataFrame, table: str, now: datetime, patch: str = "patch", key: str = "id") -> DataFrame:
     """Complete rows from one map of column values per row.
 
-    A column missing from the map takes its default; a null in the map stays null.
+    A column missing from the map takes its default; a null in the map stays null. Rows that the
+    table could not take are left to refused_patches.
     """
+    df = judged_patches(df, table, patch, key).where(F.col("reason").isNull())
     values = F.col(patch)
     columns = [F.col(key).cast("bigint").alias("id")]
     for field in TABLES[table].fields[1:]:

@@ -28,16 +28,23 @@ def order_total(price: Column, quantity: Column, fee: Column) -> Column:
     return or_zero(price * quantity) + or_zero(fee)
 
 
-def priced(orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Orders with subtotal and total worked out from the current product price."""
+def priced(orders: DataFrame, products: DataFrame, strict: bool = True) -> DataFrame:
+    """Orders with subtotal and total worked out from the current product price.
+
+    A total that does not fit raises, or is null where the caller refuses such rows (strict=False).
+    """
+
+    def fit(amount: Column) -> Column:
+        return amount.cast(money) if strict else amount.try_cast(money)
+
     prices = products.select(F.col("id").alias("product_id"), F.col("price").alias("unit_price"))
     money = "decimal(18,2)"
     return (
         orders.join(prices, "product_id", "left")
-        .withColumn("subtotal", or_zero(F.col("unit_price") * F.col("quantity")).cast(money))
+        .withColumn("subtotal", fit(or_zero(F.col("unit_price") * F.col("quantity"))))
         .withColumn(
             "computed_total",
-            order_total(F.col("unit_price"), F.col("quantity"), F.col("shipping_fee")).cast(money),
+            fit(order_total(F.col("unit_price"), F.col("quantity"), F.col("shipping_fee"))),
         )
     )
 

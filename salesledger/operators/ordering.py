@@ -6,14 +6,13 @@ open; id settles them here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-# monotonically_increasing_id keeps the partition number above the lowest 33 bits
-# and the place of the row in its partition below.
-PLACE_BITS = 33
+# Rows of one second are numbered in runs of so many neighbouring ids.
+ID_RUN = 1 << 20
 
 
 def latest_keys() -> list[Column]:
@@ -37,32 +36,38 @@ def latest(df: DataFrame, count: int = 5) -> DataFrame:
     return latest_first(df).limit(count)
 
 
-def with_ordinal(df: DataFrame, keys: list[Column] | None = None, name: str = "no") -> DataFrame:
-    """Number the rows 1..n over a total order, and return them in that order.
-
-    A window over all rows would put the table into one task. Here a range sort spreads
-    the rows evenly (id is part of the key, so a time shared by many rows is
-    split as well), each row takes its place inside its partition, and the rows of the
-    partitions before it are added. Only one number per partition is broadcast.
+def with_ordinal(df: DataFrame, name: str = "no") -> DataFrame:
+    """Number the rows 1..n in the order of latest_keys.
 
-    The sorted rows are checkpointed before they are counted. Range bounds are sampled,
-    and a second run of the sort could cut them elsewhere than the counts assume.
+    A window over all rows would put the table into one task. Here rows are counted by day, by second
+    of the day and by run of ids, and each row's number is what its day, second and run begin with,
+    plus its place in the run. Every window is bounded: one over days, one over the seconds of a day,
+    one over the runs of a second, and one over a run, so a day or a time that many rows share is
+    dealt over many tasks. Counting reads created_at and id only, nothing is
+    stored, and building the plan starts no job.
     """
-    shared_folder(df.sparkSession)
-    placed = (
-        df.orderBy(*(keys or latest_keys()))
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    partition = F.shiftrightunsigned("_place", PLACE_BITS)
-    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-    earlier = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(partition.alias("_partition"))
-        .count()
-        .select("_partition", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
-    )
-    return (
-        placed.join(F.broadcast(offsets), partition == F.col("_partition"))
-        .select((F.col("_before") + place + 1).alias(name), *df.columns)
-    )
+    day = F.to_date("created_at")
+    second = F.hour("created_at") * 3600 + F.minute("created_at") * 60 + F.second("created_at")
+    run = F.floor(F.col("id") / ID_RUN).cast("long")
+    steps = [day.alias("_day"), second.alias("_second"), run.alias("_run")]
+    counts = df.groupBy(*steps).agg(F.count(F.lit(1)).alias("_n"))
+
+    def before(by: list[str], step: str) -> Column:
+        order = Window.partitionBy(*by).orderBy(F.desc_nulls_first(step)) if by else Window.orderBy(F.desc_nulls_first(step))
+        return F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    runs = counts.withColumn("_before", before(["_day", "_second"], "_run"))
+    seconds = counts.groupBy("_day", "_second").agg(F.sum("_n").alias("_n"))
+    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    for part, keys in (
+        (seconds.withColumn("_more", before(["_day"], "_second")), ["_day", "_second"]),
+        (days.withColumn("_more", before([], "_day")), ["_day"]),
+    ):
+        part = part.select(*[F.col(k).alias(f"{k}_") for k in keys], "_more")
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+        runs = runs.join(part, same).withColumn("_before", F.col("_before") + F.col("_more")).select(*counts.columns[:3], "_before")
+    runs = runs.select(*[F.col(k).alias(f"{k}_") for k in counts.columns[:3]], "_before")
+    place = F.row_number().over(Window.partitionBy("_day", "_second", "_run").orderBy(*latest_keys()))
+    placed = df.select("*", *steps).withColumn("_place", place)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in counts.columns[:3]])
+    return placed.join(runs, same, "left").select((F.col("_before") + F.col("_place")).alias(name), *df.columns)

@@ -18,7 +18,7 @@ from pyspark.sql.types import DecimalType
 from ..functions import dates, money, text
 from ..operators import calendar, changes, ingest, lookup, metrics, ordering, periods, series
 from ..operators.search import search
-from ..session import shared_folder
+from ..session import drop_at_exit, shared_folder
 from ..sources.mapped import MappedTables
 from ..sources.schema import conform
 from ..sources.tables import append_rows, read_table
@@ -91,10 +91,22 @@ def scan_projected(t: MappedTables) -> DataFrame:
 
 @query("sink_roundtrip")
 def sink_roundtrip(t: MappedTables) -> DataFrame:
-    """All orders written to month partitions, and one year of them read back."""
-    folder = f"{shared_folder(t.spark).rstrip('/')}/orders-{uuid4().hex}"
+    """All orders written to month partitions and read back."""
+    return read_table(t.spark, stored_orders(t), "orders")
+
+
+@query("sink_one_month")
+def sink_one_month(t: MappedTables) -> DataFrame:
+    """One month of the stored orders: the scan is pruned to its partition."""
+    return periods.filter_period(read_table(t.spark, stored_orders(t), "orders"), CHOSEN)
+
+
+def stored_orders(t: MappedTables) -> str:
+    """A folder with all orders, deleted when the process ends. A sink has to write before it is read."""
+    folder = f"{shared_folder(t.spark)}/orders-{uuid4().hex}"
+    drop_at_exit(t.spark, folder)
     append_rows(t.orders(), folder)
-    return periods.filter_period(read_table(t.spark, folder, "orders"), YEAR)
+    return folder
 
 
 @query("ingest_defaults")
@@ -102,6 +114,22 @@ def ingest_defaults(t: MappedTables) -> DataFrame:
     return ingest.from_patch(t.order_payloads(), "orders", AS_OF)
 
 
+@query("ingest_refused")
+def ingest_refused(t: MappedTables) -> DataFrame:
+    return ingest.refused_patches(t.order_payloads(), "orders")
+
+
+@query("export_list_head")
+def export_list_head(t: MappedTables) -> DataFrame:
+    listed = lists.order_list(t.orders("customer_name", "created_at", period=MONTH), None)
+    return lists.list_head(listed, "orders", "This Month", AS_OF)
+
+
+@query("report_head")
+def report_head(t: MappedTables) -> DataFrame:
+    return financial.report_head(report_summary_month(t), MONTH, AS_OF)
+
+
 @query("export_orders_pdf")
 def export_orders_pdf(t: MappedTables) -> DataFrame:
     return lists.order_grid(lists.order_list(t.orders(), None))
@@ -227,7 +255,7 @@ def dashboard_kpis_year(t: MappedTables) -> DataFrame:
 
 @query("order_list_kpis")
 def order_list_kpis(t: MappedTables) -> DataFrame:
-    return metrics.order_list_kpis(lists.order_list(t.orders("customer_name", *SOLD_PCS), None, CUSTOMER_QUERY))
+    return metrics.order_list_kpis(t.orders(*SOLD_PCS, query=CUSTOMER_QUERY))
 
 
 @query("expense_list_kpis")
@@ -286,7 +314,7 @@ def products_sorted(t: MappedTables) -> DataFrame:
 
 @query("open_dates_sorted")
 def open_dates_sorted(t: MappedTables) -> DataFrame:
-    return ordering.dates_ascending(t.open_dates())
+    return ordering.dates_ascending(t.open_dates().select("date"))
 
 
 RECENT_COLUMNS = ("id", "customer_name", "quantity", "total_price", "created_at", "status")
@@ -294,7 +322,7 @@ RECENT_COLUMNS = ("id", "customer_name", "quantity", "total_price", "created_at"
 
 def recent(t: MappedTables) -> DataFrame:
     """The latest five are picked first; customer and quantity are looked up for them only."""
-    return t.with_parents(ordering.latest(t.order_rows(), dashboard.RECENT), RECENT_COLUMNS, few=True)
+    return t.with_parents(ordering.latest(t.order_rows(), dashboard.RECENT), RECENT_COLUMNS, picked=True)
 
 
 query("recent_orders")(recent)
@@ -307,12 +335,12 @@ def recent_orders_text(t: MappedTables) -> DataFrame:
 
 @query("order_table")
 def order_table(t: MappedTables) -> DataFrame:
-    return lists.order_table(lists.order_list(t.orders(period=WEEK), WEEK))
+    return lists.order_table(lists.order_list(t.orders(), None))
 
 
 @query("expense_table")
 def expense_table(t: MappedTables) -> DataFrame:
-    return lists.expense_table(lists.expense_list(t.expenses(period=MONTH), MONTH, ITEM_QUERY))
+    return lists.expense_table(lists.expense_list(t.expenses(), None))
 
 
 # Open dates
@@ -320,12 +348,12 @@ def expense_table(t: MappedTables) -> DataFrame:
 
 @query("po_calendar")
 def po_calendar(t: MappedTables) -> DataFrame:
-    return calendar.month_grid(t.open_dates(), MONTH, AS_OF)
+    return calendar.month_grid(t.open_dates(MONTH), MONTH, AS_OF)
 
 
 @query("toggle_open_dates")
 def toggle_open_dates(t: MappedTables) -> DataFrame:
-    return calendar.toggled(t.open_dates(), t.toggles())
+    return calendar.toggled(t.open_dates(), t.toggles(), AS_OF)
 
 
 @query("unique_open_dates")
@@ -438,7 +466,19 @@ def expense_date_to_ts(t: MappedTables) -> DataFrame:
 
 @query("apply_changes")
 def apply_changes(t: MappedTables) -> DataFrame:
-    return changes.apply_changes(t.change_snapshot(), t.change_feed(), "orders", AS_OF, ["status", "notes"])
+    return changes.apply_changes(t.orders(), t.change_feed(), "orders", AS_OF)
+
+
+@query("refused_changes")
+def refused_changes(t: MappedTables) -> DataFrame:
+    return changes.refused_changes(t.change_feed(), "orders")
+
+
+@query("delete_products_refused")
+def delete_products_refused(t: MappedTables) -> DataFrame:
+    """A delete of every product: those that orders name stay."""
+    feed = t.products("id").select(F.col("id").alias("seq"), "id", F.lit("delete").alias("op"))
+    return changes.split_deletes(feed, t.orders("product_id"))[1]
 
 
 @query("reprice_touched")
@@ -454,7 +494,7 @@ def product_quarantine(t: MappedTables) -> DataFrame:
     _, refused = ingest.split(
         t.product_forms(), ingest.product_form_problem(F.col("name"), F.col("price_text"))
     )
-    return refused
+    return refused.select("id", "name", "price_text", "reason")
 
 
 @query("save_orders")
@@ -467,6 +507,12 @@ def save_orders_refused(t: MappedTables) -> DataFrame:
     return saving.save_orders(t.order_forms(), t.products(), AS_OF)[1]
 
 
+@query("save_orders_closed_date")
+def save_orders_closed_date(t: MappedTables) -> DataFrame:
+    """The forms refused where a chosen date has to be open."""
+    return saving.save_orders(t.order_forms(), t.products(), AS_OF, t.open_dates())[1]
+
+
 @query("save_expenses")
 def save_expenses(t: MappedTables) -> DataFrame:
     return saving.save_expenses(t.expense_forms(), AS_OF, ZONE)[0]
@@ -485,7 +531,17 @@ def save_products(t: MappedTables) -> DataFrame:
 @query("edit_orders")
 def edit_orders(t: MappedTables) -> DataFrame:
     """All orders after the accepted forms were saved over them."""
-    return changes.apply_changes(t.orders(), saving.order_edits(t.order_forms(), t.products()), "orders", AS_OF)
+    return changes.apply_rows(t.orders(), saving.order_edits(t.order_forms(), t.products()), "orders")
+
+
+@query("edit_expenses")
+def edit_expenses(t: MappedTables) -> DataFrame:
+    return changes.apply_rows(t.expenses(), saving.expense_edits(t.expense_forms(), ZONE), "expenses")
+
+
+@query("edit_products")
+def edit_products(t: MappedTables) -> DataFrame:
+    return changes.apply_rows(t.products(), saving.product_edits(t.product_forms()), "products")
 
 
 # Reports
@@ -507,6 +563,12 @@ def report_period_choice(t: MappedTables) -> DataFrame:
     return metrics.report_totals(flows(t, CHOSEN)).withColumn("period", F.lit(CHOSEN.label))
 
 
+@query("report_overview")
+def report_overview(t: MappedTables) -> DataFrame:
+    orders, expenses = t.orders("id", *SOLD, period=YEAR), t.expenses("id", *SPENT, period=YEAR)
+    return financial.report_overview(orders, expenses, YEAR)
+
+
 @query("report_counts")
 def report_counts(t: MappedTables) -> DataFrame:
     return metrics.report_counts(flows(t, YEAR))

@@ -5,18 +5,17 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_stamp, short_date, to_local
+from ..functions.dates import short_date, to_local
 from ..functions.money import net_revenue, or_zero, rupiah
 from ..functions.text import dash_if_blank, empty_if_null, payment_code, status_label
 from ..operators.metrics import money_flows, report_totals
 from ..operators.ordering import with_ordinal
 from ..operators.periods import Period, filter_period
 from ..operators.series import report_series
-from ..sources.schema import ntz
-from ..sources.sinks import report_title, write_report
+from ..sources.sinks import head_lines, report_title, write_report
 
 
 class FinancialReport(NamedTuple):
@@ -131,22 +130,38 @@ def expense_detail(expenses: DataFrame, tz: str = "UTC", printed: bool = True) -
     )
 
 
-def header_line(totals: DataFrame, period: Period, now: datetime) -> DataFrame:
-    """Title and day of printing."""
-    stamp = F.concat(F.lit("Generated: "), day_stamp(ntz(now)))
-    return totals.select(F.lit(report_title(period.label)).alias("title"), stamp.alias("generated"))
+def report_head(totals: DataFrame, period: Period, now: datetime) -> DataFrame:
+    """Title and day of printing, above the printed report."""
+    return head_lines(totals, report_title(period.label), now)
+
+
+def report_overview(orders: DataFrame, expenses: DataFrame, period: Period, tz: str = "UTC") -> DataFrame:
+    """The series of the report with its totals beside each bucket: one pass over orders and expenses.
+    The window runs over the buckets, at most twelve."""
+    rows = report_series(flows_of(orders, expenses, period, tz), period, tz)
+    whole = Window.partitionBy()
+    sums = {n: F.sum(n).over(whole) for n in ("revenue", "expenses")}
+    return rows.select("*", *[e.alias(f"total_{n}") for n, e in sums.items()], (sums["revenue"] - sums["expenses"]).alias("profit"))
 
 
 def export_report(
-    orders: DataFrame, expenses: DataFrame, period: Period, folder: str, tz: str = "UTC", printed: bool = False
+    orders: DataFrame, expenses: DataFrame, period: Period, folder: str, tz: str = "UTC", printed: bool = False,
+    now: datetime | None = None,
 ) -> str:
-    """Write the three sections and return the report folder."""
+    """Write the three sections and return the report folder. A printed report begins with title and day, and needs now."""
     report = financial_report(orders, expenses, period, tz)
     order_rows = order_detail_grid if printed else order_detail_sheet
-    summary = summary_grid(report.totals) if printed else summary_sheet(report.totals, period)
+    head = {}
+    if printed:
+        if now is None:
+            raise ValueError("a printed report needs the time of printing")
+        head = {"Head": report_head(report.totals, period, now)}
+        summary = summary_grid(report.totals).coalesce(1).select(F.col("metric").alias("Metric"), F.col("value").alias("Value"))
+    else:
+        summary = summary_sheet(report.totals, period)
     return write_report(
-        {
-            "Summary": summary.drop("line"),
+        head | {
+            "Summary": summary,
             "Orders": order_rows(report.orders, tz),
             "Expenses": expense_detail(report.expenses, tz, printed),
         },

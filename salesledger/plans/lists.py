@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..functions.text import dash_if_blank, empty_if_null, payment_name, status_
 from ..operators.ordering import with_ordinal
 from ..operators.periods import Period, filter_period
 from ..operators.search import search
+from ..sources.sinks import head_lines, list_file_name, list_title, sheet_title, write_sheet
 
 
 def order_list(orders: DataFrame, period: Period | None, query: str = "", tz: str = "UTC") -> DataFrame:
@@ -113,3 +116,23 @@ def expense_sheet(listed: DataFrame, tz: str = "UTC") -> DataFrame:
         F.col("price").alias("Price"),
         empty_if_null(F.col("notes")).alias("Notes"),
     )
+
+
+def list_head(listed: DataFrame, table: str, period_name: str, now: datetime) -> DataFrame:
+    """Title and day of printing, above a printed list."""
+    return head_lines(listed.agg(F.count(F.lit(1)).alias("rows")), list_title(table, period_name), now)
+
+
+def export_list(
+    listed: DataFrame, table: str, period_name: str, folder: str, now: datetime, tz: str = "UTC", printed: bool = False
+) -> str:
+    """Write a list as one job: a folder with the name of table and period, that holds the sheet Orders or Expenses, or, printed,
+    the head and the grid. Returns the folder."""
+    target = f"{folder.rstrip('/')}/{list_file_name(table, period_name)}"
+    grid, sheet = {"orders": (order_grid, order_sheet), "expenses": (expense_grid, expense_sheet)}[table]
+    if printed:
+        write_sheet(list_head(listed, table, period_name, now), f"{target}/Head")
+        write_sheet(grid(listed, tz), f"{target}/List")
+    else:
+        write_sheet(sheet(listed, tz), f"{target}/{sheet_title(table.capitalize())}")
+    return target

@@ -17,27 +17,29 @@ d_orders as (
     case o_orderkey % 3 when 0 then null when 1 then '' else o_orderpriority end as notes,
     case when o_orderstatus = 'F' then 'done' else 'process' end as status,
     o_orderdate + to_seconds((o_orderkey * 7919) % 86400) as created_at
-  from orders join customer on o_custkey = c_custkey
+  from orders left join customer on o_custkey = c_custkey
   left join line_totals on l_orderkey = o_orderkey
 ),
 bought as (
   select l_orderkey, l_linenumber, min(l_partkey) as part_id, cast(sum(l_quantity) as integer) as amount,
     cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(18,2)) as price,
-    min(l_shipdate) as created_at
-  from lineitem group by l_orderkey, l_linenumber
+    l_shipdate as created_at, (l_orderkey * 10 + l_linenumber) * 100000
+      + date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as purchase
+  from lineitem group by l_orderkey, l_linenumber, l_shipdate
 ),
 d_expenses as (
-  select l_orderkey * 10 + l_linenumber as id, p_name as name, amount, price, p_type as category,
+  select purchase as id, p_name as name, amount, price, p_type as category,
     cast(null as varchar) as notes, created_at
-  from bought join part on part_id = p_partkey
+  from bought left join part on part_id = p_partkey
 ),
 d_products as (
   select p_partkey as id, p_name as name, cast(p_retailprice as decimal(18,2)) as price,
-    p_type as description, cast(null as timestamp) as created_at
+    p_type as description,
+    case when p_partkey % 10 <> 0 then timestamp '1995-01-01 00:00:00' + to_days(cast(p_partkey % 1000 as integer)) end as created_at
   from part
 ),
 d_open_dates as (
-  select strftime(o_orderdate, '%Y-%m-%d') as date
+  select strftime(o_orderdate, '%Y-%m-%d') as date, min(o_orderkey) as id, min(o_orderdate) as created_at
   from orders group by strftime(o_orderdate, '%Y-%m-%d')
   having count(*) filter (where o_orderpriority = '1-URGENT')
        > count(*) filter (where o_orderpriority = '5-LOW')
@@ -54,7 +56,9 @@ d_order_forms as (
     case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'P' then 'product_id is no number'
          when o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'P' then 'quantity is no whole number'
          when o_orderpriority = '2-HIGH' and o_orderstatus = 'O' then 'shipping_fee is no number'
-         when o_orderpriority <> '5-LOW' and p_partkey is null then 'product does not exist' end as reason,
+         when o_orderstatus <> 'F' and o_orderkey % 23 = 0 then 'order_date is no date'
+         when o_orderpriority <> '5-LOW' and p_partkey is null then 'product does not exist'
+         when o_orderpriority = '2-HIGH' and o_orderkey % 5 = 0 then 'total is too large' end as reason,
     cast(case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'O' then 0 else day(o_orderdate) end as integer)
       as quantity,
     cast(case when o_orderpriority = '1-URGENT' then 0 else o_orderkey % 20 * 1000 end as decimal(18,2))
@@ -71,6 +75,12 @@ d_feed as (
     case when o_orderpriority in ('4-NOT SPECIFIED', '5-LOW') then -o_orderkey - 1 else o_orderkey end as id,
     case o_orderpriority when '3-MEDIUM' then 'delete' when '4-NOT SPECIFIED' then 'insert' else 'update' end as op
   from orders
+),
+d_payloads as (
+  select *, case when o_orderkey % 17 = 0 then 'unknown column colour'
+      when o_orderkey % 13 = 0 then 'customer_name is null'
+      when o_orderkey % 11 = 0 and o_orderpriority <> '5-LOW' then 'quantity cannot be read' end as reason
+  from orders
 )
 """
 
@@ -203,8 +213,9 @@ SQL = {
     "scan_expenses": f"select {EXPENSE_COLUMNS} from d_expenses",
     "scan_projected": f"""select {money('total_price', 'total_price')}, {money('shipping_fee', 'shipping_fee')},
         quantity, created_at from d_orders""",
-    "sink_roundtrip": f"""select {ORDER_COLUMNS}, strftime(created_at, '%Y-%m') as created_month
-        from d_orders where {YEAR}""",
+    "sink_roundtrip": f"select {ORDER_COLUMNS}, strftime(created_at, '%Y-%m') as created_month from d_orders",
+    "sink_one_month": f"""select {ORDER_COLUMNS}, strftime(created_at, '%Y-%m') as created_month
+        from d_orders where {CHOSEN}""",
     "ingest_defaults": """select o_orderkey as id, 'Customer ' || cast(o_custkey as varchar) as customer_name,
         cast(null as bigint) as product_id,
         cast(case when o_orderpriority = '5-LOW' then 1 else day(o_orderdate) end as integer) as quantity,
@@ -215,7 +226,12 @@ SQL = {
         case when o_orderstatus = 'O' then null else o_orderpriority end as notes,
         case when o_orderstatus = 'P' then null else 'process' end as status,
         case when o_orderstatus = 'P' then timestamp '1998-08-15 10:00:00' else o_orderdate end as created_at
-        from orders""",
+        from d_payloads where reason is null""",
+    "ingest_refused": "select o_orderkey as id, reason from d_payloads where reason is not null",
+    "export_list_head": """select cast(unnest([1, 2]) as integer) as line,
+        unnest(['Orders — This Month', 'Generated: 15/08/1998']) as text from (select count(*) from d_orders) c""",
+    "report_head": """select cast(unnest([1, 2]) as integer) as line,
+        unnest(['Financial Report — Aug 1998', 'Generated: 15/08/1998']) as text from (select count(*) from d_orders) c""",
     "export_orders_pdf": f"""select {NUMBER}, {short_date()} as "Date", customer_name as "Customer",
         cast(quantity as varchar) as "Qty", {rupiah('total_price')} as "Total",
         coalesce(upper(payment_method), '') as "Payment", {rupiah('shipping_fee')} as "Shipping",
@@ -295,10 +311,9 @@ SQL = {
         case payment_method when 'cash' then 'Cash' when 'tf' then 'Transfer' end as payment,
         {rupiah('shipping_fee')} as shipping, {dash('notes')} as notes,
         case status when 'process' then 'In Progress' when 'done' then 'Done' end as status
-        from d_orders where {WEEK}""",
+        from d_orders""",
     "expense_table": f"""select row_number() over ({LATEST}) as no, id, {short_date()} as date, name, amount,
-        {rupiah('price')} as price, {dash('notes')} as notes
-        from d_expenses where {MONTH} and {ITEM_SEARCH}""",
+        {rupiah('price')} as price, {dash('notes')} as notes from d_expenses""",
     "recent_orders_text": f"""select id, customer_name,
         {short_date()} || ' · ' || cast(quantity as varchar) || ' pcs' as detail,
         {rupiah('total_price')} as total, {STATUS} as status from {RECENT}""",
@@ -309,9 +324,11 @@ SQL = {
         case when o.date is not null then 'open' when d = date '1998-08-15' then 'today' else 'plain' end as style
         from (select date '1998-08-01' + cast(range as integer) as d from range(31)) c
         left join d_open_dates o on o.date = strftime(d, '%Y-%m-%d')""",
-    "toggle_open_dates": """select date from (
-          select date from d_open_dates
-          union all select strftime(o_orderdate, '%Y-%m-%d') from orders where o_orderpriority = '2-HIGH'
+    "toggle_open_dates": """select coalesce(min(id), min(new_id)) as id, date,
+          coalesce(min(created_at), timestamp '1998-08-15 10:00:00') as created_at from (
+          select id, cast(null as bigint) as new_id, date, created_at from d_open_dates
+          union all select null, -o_orderkey - 1, strftime(o_orderdate, '%Y-%m-%d'), null
+          from orders where o_orderpriority = '2-HIGH'
         ) u group by date having count(*) % 2 = 1""",
     "unique_open_dates": """select min(o_orderkey) as id, strftime(o_orderdate, '%Y-%m-%d') as date,
         arg_min(o_orderdate, o_orderkey) as created_at
@@ -345,13 +362,25 @@ SQL = {
     "coerce_numbers": f"select id, {money(PRICE_INPUT, 'price')} from d_forms",
     "order_date_to_ts": "select date, cast(date as timestamp) as created_at from d_open_dates",
     "expense_date_to_ts": "select date, cast(date as timestamp) + to_hours(12 - 7) as created_at from d_open_dates",
-    "apply_changes": """select o_orderkey as id,
+    "apply_changes": f"""select id, customer_name, product_id,
+        case when o_orderpriority = '1-URGENT' then cast(o_orderkey % 50 as integer) else quantity end as quantity,
+        cast(case when o_orderpriority = '1-URGENT' and o_orderstatus = 'P' then 12.50 else total_price end as double) as total_price,
+        payment_method, cast(case when o_orderpriority = '2-HIGH' then null else shipping_fee end as double) as shipping_fee,
+        case when o_orderpriority = '2-HIGH' then null else notes end as notes,
         case when o_orderpriority = '1-URGENT' then case when o_orderstatus = 'P' then 'process' else 'done' end
-             when o_orderstatus = 'F' then 'done' else 'process' end as status,
-        case when o_orderpriority = '2-HIGH' then null else o_orderpriority end as notes
-        from orders where o_orderpriority <> '3-MEDIUM'
+             else status end as status, created_at
+        from d_orders join orders on id = o_orderkey where o_orderpriority <> '3-MEDIUM'
         union all
-        select id, 'process', 'new' from d_feed where op = 'insert'""",
+        select id, 'New', null, 3, 0, 'cash', 0, 'new', 'process', timestamp '1998-01-02 03:04:05'
+        from d_feed where op = 'insert'""",
+    "refused_changes": """select o_orderkey * 10 + 5 as seq,
+        case o_orderkey % 6 when 4 then null when 5 then -o_orderkey - 1 else o_orderkey end as id,
+        case o_orderkey % 6 when 2 then 'DELETE' when 4 then 'delete' when 5 then 'insert' else 'update' end as op,
+        case o_orderkey % 6 when 0 then 'quantity cannot be read' when 2 then 'unknown op'
+          when 3 then 'unknown column colour' when 4 then 'id is null' else 'customer_name is null' end as reason
+        from orders where o_orderstatus = 'O'""",
+    "delete_products_refused": """select id as seq, id, 'orders name this product' as reason from d_products p
+        where exists (select 1 from d_orders o where o.product_id = p.id)""",
     "reprice_touched": f"""select o.id, {money('o.total_price', 'total_price')},
         {money('coalesce(p.price * o.quantity, 0) + coalesce(o.shipping_fee, 0)', 'computed_total')}
         from d_orders o left join d_products p on o.product_id = p.id
@@ -363,14 +392,26 @@ SQL = {
         {money(FORM_TOTAL, 'total_price')}, payment_method, {money('shipping_fee', 'shipping_fee')}, notes, status,
         coalesce(chosen, timestamp '1998-08-15 10:00:00') as created_at from d_order_forms where reason is null""",
     "save_orders_refused": "select id, reason from d_order_forms where reason is not null",
-    "save_expenses": f"""select l_orderkey * 10 + l_linenumber as id, 'Item ' || cast(l_linenumber as varchar) as name,
+    "save_orders_closed_date": """select id, coalesce(reason, 'order_date is not open') as reason from d_order_forms
+        where reason is not null or (chosen is not null
+          and strftime(chosen, '%Y-%m-%d') not in (select date from d_open_dates))""",
+    "save_expenses": f"""select purchase as id, 'Item ' || cast(l_linenumber as varchar) as name,
         amount, cast(case when l_linenumber = 3 then 0 else price end as double) as price,
         cast(null as varchar) as category, '' as notes,
         case when l_linenumber = 4 then date_trunc('day', created_at) + to_hours(12 - 7)
              else timestamp '1998-08-15 10:00:00' end as created_at
-        from bought where l_linenumber <> 2""",
-    "save_expenses_refused": """select l_orderkey * 10 + l_linenumber as id, 'amount is no whole number' as reason
-        from bought where l_linenumber = 2""",
+        from bought where l_linenumber not in (2, 5)""",
+    "save_expenses_refused": """select purchase as id,
+        case l_linenumber when 2 then 'amount is no whole number' else 'expense_date is no date' end as reason
+        from bought where l_linenumber in (2, 5)""",
+    "edit_expenses": """select id, case when l_linenumber in (2, 5) then name else 'Item ' || cast(l_linenumber as varchar) end as name,
+        e.amount, cast(case when l_linenumber = 3 then 0 else e.price end as double) as price, category,
+        case when l_linenumber in (2, 5) then null else '' end as notes,
+        case when l_linenumber = 4 then date_trunc('day', e.created_at) + to_hours(12 - 7) else e.created_at end as created_at
+        from d_expenses e join bought on purchase = id""",
+    "edit_products": f"""select p.id, case when f.id is null then p.name else f.name end as name,
+        cast(case when f.id is null then p.price else {PRICE_INPUT} end as double) as price, description, created_at
+        from d_products p left join (select * from d_forms where name <> '' and price_text not in ('', 'abc')) f on f.id = p.id""",
     "save_products": f"""select id, name, {money(PRICE_INPUT, 'price')}, cast(null as varchar) as description,
         timestamp '1998-08-15 10:00:00' as created_at
         from d_forms where name <> '' and price_text <> '' and price_text <> 'abc'""",
@@ -386,6 +427,13 @@ SQL = {
     "report_summary_month": summary(MONTH, "Aug 1998"),
     "report_summary_year": summary(YEAR, "Year 1998"),
     "report_period_choice": summary(CHOSEN, "Mar 1997"),
+    "report_overview": f"""select bucket, name, {money('revenue', 'revenue')}, {money('expenses', 'expenses')},
+        cast(sum(revenue) over () as double) as total_revenue, cast(sum(expenses) over () as double) as total_expenses,
+        cast(sum(revenue) over () - sum(expenses) over () as double) as profit
+        from (select bucket, {MONTH_NAME} as name, coalesce(r, 0) as revenue, coalesce(e, 0) as expenses
+          from (select cast(range as integer) as bucket from range(1, 13)) s
+          left join (select cast(month(created_at) as integer) as bucket, sum(revenue) as r, sum(expenses) as e
+                     from {flows(YEAR)} group by 1) a using (bucket)) x""",
     "report_counts": f"""select (select count(*) from d_orders where {YEAR}) as order_rows,
         (select count(*) from d_expenses where {YEAR}) as expense_rows""",
     "report_summary_rows": f"""select cast(line as integer) as line, metric, value from (

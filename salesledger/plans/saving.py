@@ -12,20 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from ..functions.dates import expense_instant, order_instant
+from ..functions.dates import expense_instant, iso_day, order_instant
 from ..functions.text import number_from_text
-from ..operators.ingest import product_form_problem, split, with_defaults
+from ..operators.ingest import product_form_problem, with_defaults
 from ..operators.lookup import priced
 from ..sources.schema import conform, ntz
 
+
 def _is_null(column: str, reason: str) -> Column:
     return F.when(F.col(column).isNull(), F.lit(reason))
 
 
-def priced_orders(forms: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Order forms with typed values and the total from the product price.
+def _no_date(text: str, instant: str, reason: str) -> Column:
+    """A date was typed that cannot be read."""
+    return F.when((F.coalesce(F.col(text), F.lit("")) != "") & F.col(instant).isNull(), F.lit(reason))
+
+
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows, and ids of the others with a reason."""
+    good = rows.where(F.col("reason").isNull()).drop("reason")
+    return good, rows.where(F.col("reason").isNotNull()).select("id", "reason")
 
-    An order without a product costs its shipping fee. created_at is null where no date was chosen.
+
+def judged_orders(forms: DataFrame, products: DataFrame, open_dates: DataFrame | None = None) -> DataFrame:
+    """Order forms with typed values, the total from the product price, and a reason, null for a form that can be saved.
+
+    An order without a product costs its shipping fee. created_at is null where no date was chosen. With
+    open_dates, a chosen date has to be one of them. A caller who needs both halves can store this frame and split it.
     """
     typed = forms.select(
         *[name for name in ("seq", "id") if name in forms.columns],
@@ -37,74 +50,103 @@ def priced_orders(forms: DataFrame, products: DataFrame) -> tuple[DataFrame, Dat
         number_from_text(F.col("shipping_fee")).alias("shipping_fee"),
         "notes",
         "status",
+        F.col("order_date").alias("_date_text"),
         order_instant(F.nullif(F.col("order_date"), F.lit(""))).alias("created_at"),
     )
     product = F.col("product_id")
+    rows = priced(typed, products, strict=False).withColumn("total_price", F.col("computed_total"))
+    closed = F.lit(None).cast("string")
+    if open_dates is not None:
+        days = open_dates.select(F.col("date").alias("_open")).distinct()
+        rows = rows.join(days, iso_day(F.col("created_at")) == F.col("_open"), "left")
+        closed = F.when(F.col("created_at").isNotNull() & F.col("_open").isNull(), F.lit("order_date is not open"))
     problem = F.coalesce(
+        _is_null("id", "id is null"),
         _is_null("customer_name", "customer_name is missing"),
         F.when(F.col("_product_text").isNotNull() & product.isNull(), "product_id is no number"),
         _is_null("quantity", "quantity is no whole number"),
         _is_null("shipping_fee", "shipping_fee is no number"),
+        _no_date("_date_text", "created_at", "order_date is no date"),
         F.when(product.isNotNull() & F.col("unit_price").isNull(), "product does not exist"),
+        _is_null("computed_total", "total is too large"),
+        closed,
     )
-    rows = priced(typed, products).withColumn("total_price", F.col("computed_total"))
-    accepted, refused = split(rows, problem)
-    return accepted, refused.select("id", "reason")
+    return rows.withColumn("reason", problem)
 
 
-def save_orders(forms: DataFrame, products: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+def save_orders(
+    forms: DataFrame, products: DataFrame, now: datetime, open_dates: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """New order rows, and the refused forms. Without a date an order gets the time of the write."""
-    accepted, refused = priced_orders(forms, products)
+    accepted, refused = _halves(judged_orders(forms, products, open_dates))
     dated = accepted.withColumn("created_at", F.coalesce(F.col("created_at"), ntz(now)))
     return conform(dated, "orders"), refused
 
 
-def order_edits(forms: DataFrame, products: DataFrame) -> DataFrame:
-    """Changes that rewrite an order from its form; seq is taken from the forms.
+ORDER_EDIT = [
+    "customer_name", "product_id", "quantity", "total_price", "payment_method", "shipping_fee", "notes", "status", "created_at",
+]
 
-    The total follows today's product price. The stored time stays unless a date was chosen.
-    """
-    accepted, _ = priced_orders(forms, products)
-    edited = [
-        "customer_name", "product_id", "quantity", "total_price",
-        "payment_method", "shipping_fee", "notes", "status",
-    ]
 
-    def entries(names: list[str]) -> Column:
-        return F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
+def order_edits(forms: DataFrame, products: DataFrame, open_dates: DataFrame | None = None) -> DataFrame:
+    """Typed edits that rewrite an order from its form (see changes.apply_rows); seq is taken from the forms.
 
-    dated = F.map_concat(entries(edited), entries(["created_at"]))
-    patch = F.when(F.col("created_at").isNull(), entries(edited)).otherwise(dated)
-    return accepted.select("seq", "id", F.lit("update").alias("op"), patch.alias("patch"))
+    The total follows today's product price. The stored time stays unless a date was chosen.
+    """
+    return _halves(judged_orders(forms, products, open_dates))[0].select("seq", "id", *ORDER_EDIT)
 
 
-def save_expenses(forms: DataFrame, now: datetime, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """New expense rows, and the refused forms. price is the total of the row as typed."""
-    day = expense_instant(F.nullif(F.col("expense_date"), F.lit("")), tz)
+def judged_expenses(forms: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Expense forms with typed values and a reason. price is the total of the row as typed."""
     rows = forms.select(
-        "id",
+        *[name for name in ("seq", "id") if name in forms.columns],
         "name",
         number_from_text(F.col("amount"), IntegerType()).alias("amount"),
         number_from_text(F.col("price")).alias("price"),
-        F.lit(None).cast("string").alias("category"),
         "notes",
-        F.coalesce(day, ntz(now)).alias("created_at"),
+        F.col("expense_date").alias("_date_text"),
+        expense_instant(F.nullif(F.col("expense_date"), F.lit("")), tz).alias("created_at"),
     )
     problem = F.coalesce(
+        _is_null("id", "id is null"),
         _is_null("name", "name is missing"),
         _is_null("amount", "amount is no whole number"),
         _is_null("price", "price is no number"),
+        _no_date("_date_text", "created_at", "expense_date is no date"),
     )
-    accepted, refused = split(rows, problem)
-    return conform(accepted, "expenses"), refused.select("id", "reason")
+    return rows.withColumn("reason", problem)
 
 
-def save_products(forms: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """New product rows, and the refused forms. The form itself asks for a name and a price."""
+def save_expenses(forms: DataFrame, now: datetime, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """New expense rows, and the refused forms."""
+    accepted, refused = _halves(judged_expenses(forms, tz))
+    dated = accepted.withColumn("created_at", F.coalesce(F.col("created_at"), ntz(now)))
+    return conform(dated.withColumn("category", F.lit(None).cast("string")), "expenses"), refused
+
+
+def expense_edits(forms: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Typed edits of expenses. The stored time stays unless a date was chosen; the category is not on the form."""
+    return _halves(judged_expenses(forms, tz))[0].select("seq", "id", "name", "amount", "price", "notes", "created_at")
+
+
+def judged_products(forms: DataFrame) -> DataFrame:
+    """Product forms with a price and a reason. The form itself asks for a name and a price."""
     rows = forms.withColumn("price", number_from_text(F.col("price_text")))
     problem = F.coalesce(
+        _is_null("id", "id is null"),
         product_form_problem(F.col("name"), F.col("price_text")),
         _is_null("price", "price is no number"),
     )
-    accepted, refused = split(rows, problem)
-    return with_defaults(accepted, "products", now), refused.select("id", "reason")
+    return rows.withColumn("reason", problem)
+
+
+def save_products(forms: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """New product rows, and the refused forms."""
+    accepted, refused = _halves(judged_products(forms))
+    return with_defaults(accepted, "products", now), refused
+
+
+def product_edits(forms: DataFrame) -> DataFrame:
+    """Typed edits of products: what the form has, and nothing else."""
+    accepted = _halves(judged_products(forms))[0]
+    return accepted.select("seq", "id", "name", "price", *[c for c in ("description",) if c in forms.columns])

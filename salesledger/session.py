@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -16,8 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Rewriting some months of a stored table leaves the other months alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Checkpoints of row numbering go once nothing refers to them any more.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Building a column does not look up the Python line it comes from.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -38,15 +36,21 @@ def session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which every executor can reach.
 
-    The session's own setting is used where there is one. Only a local session,
-    whose executors share the driver's disk, gets a temporary folder instead.
+    Without that setting there is no such folder, on one machine as on many.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="salesledger-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
+
+
+def drop_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a staged folder when the process ends, if the session still lives then."""
+
+    def drop() -> None:
+        context = spark.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)

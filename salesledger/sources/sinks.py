@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dates import day_stamp
+from .schema import ntz
 
 # Fixed value: a sheet title holds at most this many characters.
 SHEET_TITLE_LENGTH = 31
@@ -33,14 +38,19 @@ def sheet_title(title: str) -> str:
 
 
 def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
-    """Write ordered columns under a header row; a null becomes an empty cell.
+    """Write columns under a header row; a null becomes an empty cell.
 
-    Every partition writes its own file. Numbered rows arrive in order (see
-    operators.ordering.with_ordinal), so the files in name order hold the sheet in order.
+    Every partition writes its own file. Numbered rows are sorted by their number, so the files in
+    name order hold the sheet in order. A frame of lines is written without a header.
     """
+    lines = "line" in df.columns
+    if lines:
+        df = df.orderBy("line").coalesce(1).drop("line")
+    elif "#" in df.columns:
+        df = df.orderBy("#")
     (
         df.write.mode(mode)
-        .option("header", True)
+        .option("header", not lines)
         .option("escape", '"')
         .option("nullValue", "")
         .option("emptyValue", "")
@@ -50,6 +60,13 @@ def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists") -> None
     )
 
 
+def head_lines(counted: DataFrame, title: str, now: datetime) -> DataFrame:
+    """The two lines above a printed grid: title and day of printing. counted has one row."""
+    stamp = F.concat(F.lit("Generated: "), day_stamp(ntz(now)))
+    lines = [F.struct(F.lit(i).alias("line"), text.alias("text")) for i, text in ((1, F.lit(title)), (2, stamp))]
+    return counted.select(F.inline(F.array(*lines)))
+
+
 def write_report(sections: Mapping[str, DataFrame], folder: str, period_label: str) -> str:
     """Write each section as a sheet under one report folder and return that folder."""
     target = f"{folder.rstrip('/')}/{report_file_name(period_label)}"

@@ -23,7 +23,8 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, folder: str, mode: str = "append") -> None:
-    """Write rows into their month partitions.
+    """Write rows into their month partitions. An overwrite leaves months without new rows alone,
+    whatever the session is set to.
 
     The rebalance hint lets AQE cut a hot month into several files and join small
     months, where a plain repartition by month would leave one task per month.
@@ -35,6 +36,7 @@ def write_table(df: DataFrame, folder: str, mode: str = "append") -> None:
         .hint("rebalance", MONTH)
         .sortWithinPartitions(MONTH, "created_at")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)
         .parquet(folder)
     )

@@ -34,8 +34,9 @@ def test_calendar_rows_and_open_today(make):
 def test_toggles(make):
     base = make.dates("2026-02-01", "2026-02-02")
     toggles = make.dates("2026-02-02", "2026-02-03", "2026-02-04", "2026-02-04")
-    assert sorted(r.date for r in calendar.toggled(base, toggles).collect()) == ["2026-02-01", "2026-02-03"]
-    twice = calendar.toggled(calendar.toggled(base, toggles), toggles)
+    assert sorted(r.date for r in calendar.toggled(base, toggles, datetime(2026, 3, 1)).collect()) == ["2026-02-01", "2026-02-03"]
+    twice = calendar.toggled(calendar.toggled(base, toggles, datetime(2026, 3, 1)), toggles, datetime(2026, 3, 1))
+    assert twice.columns == ["id", "date", "created_at"]
     assert sorted(r.date for r in twice.collect()) == ["2026-02-01", "2026-02-02"]
 
 
@@ -186,8 +187,8 @@ def test_editing_orders(spark, make):
     stored = make.orders(
         *[{"id": i, "product_id": 1, "total_price": 1, "notes": "old", "created_at": "2026-01-01"} for i in range(11, 14)]
     )
-    feed = saving.order_edits(order_forms(spark).withColumn("seq", F.col("id")), products)
-    rows = {r.id: r for r in changes.apply_changes(stored, feed, "orders", NOW).collect()}
+    edits = saving.order_edits(order_forms(spark).withColumn("seq", F.col("id")), products)
+    rows = {r.id: r for r in changes.apply_rows(stored, edits, "orders").collect()}
     assert (rows[11].total_price, rows[11].notes, rows[11].created_at) == (30000, "", at("2026-01-01"))
     assert (rows[12].product_id, rows[12].total_price, rows[12].created_at) == (None, 5000, at("2026-03-07"))
     assert (rows[13].total_price, rows[13].notes) == (1, "old")  # its form was refused
@@ -213,3 +214,61 @@ def test_saving_expenses_and_products(spark):
     assert {r.id: r.reason for r in refused.collect()} == {
         2: "name is missing", 3: "price is missing", 4: "price is no number",
     }
+
+
+def test_refused_changes(make):
+    """Nothing that the table forbids is written, and every refusal has a reason."""
+    snapshot = make.orders({"customer_name": "a"}, {"customer_name": "b"})
+    bad = [
+        (1, None, "update", {"status": "done"}), (None, 1, "update", {"status": "done"}), (3, 1, "DELETE", None), (4, 1, None, None),
+        (5, 1, "update", {"colour": "red"}), (6, 1, "update", {"quantity": "abc"}), (7, 1, "update", {"customer_name": None}),
+        (8, 5, "insert", {"notes": "x"}), (9, 1, "update", {"created_at": "2026-13-45"}), (10, 5, "insert", None),
+    ]
+    feed = make.feed(*bad, (11, 2, "update", {"status": "done"}))
+    reasons = {r.seq: r.reason for r in changes.refused_changes(feed, "orders").collect()}
+    assert reasons == {
+        1: "id is null", None: "seq is null", 3: "unknown op", 4: "unknown op", 5: "unknown column colour", 6: "quantity cannot be read",
+        7: "customer_name is null", 8: "customer_name is null", 9: "created_at cannot be read", 10: "customer_name is null",
+    }
+    after = sorted(changes.apply_changes(snapshot, feed, "orders", NOW).collect())
+    assert [(r.id, r.customer_name, r.status) for r in after] == [(1, "a", "process"), (2, "b", "done")]
+    assert ingest.from_patch(make.feed(*bad[7:8]), "orders", NOW).count() == 0
+    assert [r.reason for r in ingest.refused_patches(make.feed(*bad[7:8]), "orders").collect()] == ["customer_name is null"]
+
+
+def test_bad_dates_and_totals_are_refused(spark, make):
+    products = make.products({"price": 99999999})
+    forms = spark.createDataFrame(
+        [
+            (1, "A", "1", "1", "0", "tf", "", "done", "not a date"), (2, "A", "1", "1", "0", "tf", "", "done", "2026-13-45"),
+            (3, "A", "1", "2147483647", "0", "tf", "", "done", ""), (4, "A", "1", "1", "0", "tf", "", "done", "2026-03-07"),
+        ],
+        ORDER_FORM,
+    )
+    rows, refused = saving.save_orders(forms, products, NOW)
+    assert [r.id for r in rows.collect()] == [4]
+    assert {r.id: r.reason for r in refused.collect()} == {1: "order_date is no date", 2: "order_date is no date", 3: "total is too large"}
+    closed = saving.save_orders(forms, products, NOW, make.dates("2026-03-08"))[1]
+    assert {r.id: r.reason for r in closed.collect()}[4] == "order_date is not open"
+    expenses = spark.createDataFrame([(1, 1, "F", "1", "1", "31/12/2026", "")], "seq long, id long, name string, amount string, price string, expense_date string, notes string")
+    assert saving.save_expenses(expenses, NOW)[1].first().reason == "expense_date is no date"
+
+
+def test_products_that_orders_name_stay(make):
+    feed = make.feed((1, 1, "delete", None), (2, 2, "delete", None), (3, 1, "update", {"name": "x"}))
+    kept, refused = changes.split_deletes(feed, make.orders({"product_id": 1}, {"product_id": 1}, {"product_id": None}))
+    assert sorted(r.seq for r in kept.collect()) == [2, 3]
+    assert [(r.seq, r.reason) for r in refused.collect()] == [(1, "orders name this product")]
+
+
+def test_parents_may_be_missing(spark, tmp_path):
+    """Rows of a table do not hang on the columns chosen."""
+    from salesledger.sources.mapped import MappedTables
+
+    for name in ("orders", "lineitem", "customer", "part"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        key = {"customer": "c_custkey", "part": "p_partkey"}.get(name)
+        (rows.where(f"{key} % 2 = 0") if key else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = MappedTables(spark, str(tmp_path))
+    assert t.orders().count() == t.orders("id").count() == spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    assert t.expenses().count() == t.expenses("id").count()

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import re
 
-import __spark_entry__ as contract
 import pytest
 
+from salesledger.plans.catalog import QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 
 
 def plan_of(spark, name: str) -> str:
-    return contract.queries()[name](spark, FOLDER)._jdf.queryExecution().explainString(
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(spark, name)
     assert not re.search(r"Python|Pandas|Arrow", plan)
@@ -47,8 +48,38 @@ def test_aggregates_fold_before_the_shuffle(spark, name):
 
 
 def test_numbering_uses_no_single_task(spark):
-    """The only single partition holds one count per partition of the sorted rows."""
+    """The only single partition holds one count for each day."""
     plan = plan_of(spark, "order_ordinals")
-    single = plan.split("SinglePartition")[0]
-    assert plan.count("SinglePartition") == 1
-    assert "Results [2]: [" in single and "count(1)" in single
+    assert plan.count("SinglePartition") == 1 and "Checkpoint" not in plan
+    assert re.search(r"hashpartitioning\(_day#\d+, \d+\)", plan.split("SinglePartition")[0])
+
+
+@pytest.mark.parametrize("name", ["expenses_today", "report_by_week", "report_expense_rows", "report_summary_month"])
+def test_expense_period_reaches_the_scan(spark, name):
+    assert "GreaterThanOrEqual(l_shipdate" in plan_of(spark, name)
+
+
+def test_open_dates_of_a_month_reach_the_scan(spark):
+    assert "GreaterThanOrEqual(o_orderdate" in plan_of(spark, "po_calendar")
+
+
+@pytest.mark.parametrize("name", ["dashboard_kpis_month", "dashboard_overview", "order_list_kpis", "recent_orders"])
+def test_line_items_are_picked_before_they_are_added_up(spark, name):
+    logical = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    tree = logical[logical.index("l_quantity") :]
+    assert re.search(r"Aggregate \[id#\d+L?\][^\n]*sum\(l_quantity[^\n]*\n(?:[^\n]*Project[^\n]*\n)?[^\n]*Join LeftSemi", logical), tree
+
+
+def test_first_open_dates_fold_in_a_hash(spark):
+    assert "SortAggregate" not in plan_of(spark, "unique_open_dates")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"sink_roundtrip", "sink_one_month"}))
+def test_building_a_query_starts_no_job(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", name)
+    try:
+        QUERIES[name](spark, FOLDER)
+        assert not context.statusTracker().getJobIdsForGroup(f"build-{name}")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)

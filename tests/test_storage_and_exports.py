@@ -93,7 +93,7 @@ def test_order_sheet_and_grid(few_orders, tmp_path):
         ["1", "10 Sept 2026", "Budi", "1", "10000.00", "", "", "", ""],
         ["2", "09 Sept 2026", 'Ani "A", Bali', "2", "20000.00", "tf", "5000.00", "", "done"],
     ]
-    grid = [tuple(r) for r in lists.order_grid(few_orders).collect()]
+    grid = sorted(tuple(r) for r in lists.order_grid(few_orders).collect())
     assert grid == [
         (1, "10 Sept 2026", "Budi", "1", "Rp 10.000", "", "Rp 0", ""),
         (2, "09 Sept 2026", 'Ani "A", Bali', "2", "Rp 20.000", "TF", "Rp 5.000", "done"),
@@ -106,7 +106,6 @@ def test_report_export(few_orders, make, tmp_path):
     target = Path(financial.export_report(few_orders, expenses, period, str(tmp_path)))
     assert target.name == "report_Sep_2026"
     assert read_csv(target / "Summary") == [
-        ["metric", "value"],
         ["Financial Report — Sep 2026", ""],
         ["", ""],
         ["Metric", "Value"],
@@ -124,8 +123,44 @@ def test_report_export(few_orders, make, tmp_path):
     report = financial.financial_report(few_orders, expenses, period)
     printed = [(r.metric, r.value) for r in financial.summary_grid(report.totals).collect()]
     assert printed[0] == ("Period", "Sep 2026") and printed[3] == ("Net Profit", "-Rp 5.000")
-    header = financial.header_line(report.totals, period, at("2026-12-01")).first()
-    assert header == ("Financial Report — Sep 2026", "Generated: 01/12/2026")
+    paper = Path(financial.export_report(few_orders, expenses, period, str(tmp_path / "p"), printed=True, now=at("2026-12-01")))
+    assert read_csv(paper / "Head") == [["Financial Report — Sep 2026"], ["Generated: 01/12/2026"]]
+    assert read_csv(paper / "Summary")[:2] == [["Metric", "Value"], ["Period", "Sep 2026"]]
+    with pytest.raises(ValueError):
+        financial.export_report(few_orders, expenses, period, str(tmp_path / "q"), printed=True)
+
+
+def test_list_export(few_orders, tmp_path):
+    target = Path(lists.export_list(few_orders, "orders", "This Month", str(tmp_path), at("2026-12-01")))
+    assert target.name == "orders_this_month" and read_csv(target / "Orders")[1][:3] == ["1", "10 Sept 2026", "Budi"]
+    paper = Path(lists.export_list(few_orders, "orders", "All", str(tmp_path), at("2026-12-01"), printed=True))
+    assert read_csv(paper / "Head") == [["Orders — All"], ["Generated: 01/12/2026"]]
+    assert [r[0] for r in read_csv(paper / "List")] == ["#", "1", "2"]
+
+
+def test_overwrite_leaves_other_months(spark, make, tmp_path, setting):
+    setting("spark.sql.sources.partitionOverwriteMode", "static")
+    folder = str(tmp_path / "orders")
+    tables.append_rows(make.orders({"created_at": "2026-01-05"}, {"created_at": "2026-02-05"}), folder)
+    tables.write_table(make.orders({"id": 9, "created_at": "2026-02-06"}), folder, "overwrite")
+    assert sorted(r.id for r in tables.read_table(spark, folder, "orders").collect()) == [1, 9]
+
+
+def test_no_shared_folder_raises():
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
 
 
 def test_large_sheet_is_written_in_order(spark, make, tmp_path, setting):
