@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") ->
 
     stars = starred.select("centre", "node").distinct()
     known = _labelled(_labelled(stars, labels, "node", "label"), labels, "centre", "middle")
+    known = known.repartition("node")  # a large star is not left with the task that looked its centre up
     late = checkpointed(_inner_links(known, nodes, texts, plan))
     if not late.isEmpty():
         labels = components(links.unionAll(late))
