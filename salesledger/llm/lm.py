@@ -33,6 +33,7 @@ BUCKETS = 48
 #: Cells of the weight histogram for each power of ten of a probability.
 GRID = 20
 ROUNDS = 60
+SLICE = 1 << 18
 #: Bytes of a hash that travel; a part is a range of hashes, so the leading bits go without saying.
 WORD_BYTES, PAIR_BYTES = 6, 5
 COUNTS = "doc_id long, held_out boolean, word_counts array<int>, pair_counts array<int>, vocabulary long"
@@ -131,6 +132,14 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
     return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(receive, COUNTS)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of whole documents of about SLICE tokens, so that what a task works on stays small."""
+    for batch in batches:
+        offs = batch.column(batch.schema.get_field_index("word_counts")).offsets.to_numpy().astype(np.int64)
+        for a, b in ops.pieces(offs, SLICE):
+            yield batch.slice(a, b - a)
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """c(w), c(u) and c(u w) of all tokens of a batch, and the first token of each text."""
     words, pairs = (batch.column(batch.schema.get_field_index(c)) for c in ("word_counts", "pair_counts"))
@@ -156,7 +165,7 @@ def _cells(counts: DataFrame, tokens: int) -> list[tuple[int, int, int, int]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        for b in batches:
+        for b in _slices(batches):
             w, u, x, first = _arrays(b)
             use = np.repeat(~np.array(b.column(0).to_pylist(), bool), np.diff(first))
             w, u, x = w[use] - 1, u[use] - 1, x[use] - 1
@@ -202,7 +211,7 @@ def score_documents(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> D
     fields = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             w, u, x, first = _arrays(b)
             total = lambda v: np.add.reduceat(v, first[:-1]) if len(v) else np.zeros(0)
             base = total(np.log10((w + 0.5) / (tokens + 0.5 * (vocabulary + 1))))

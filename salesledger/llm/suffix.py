@@ -44,6 +44,7 @@ GRAM = 32
 HOT = 20_000
 FLAG_BYTES = 4
 PIECE_BYTES = 1 << 17
+BLOCK_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 #: A suffix at an anchor has the reversed bytes before it, a string of a hot anchor has none (null), a run known to repeat has neither.
 CONTEXT = "doc long, block int, row int, at long, stop long, before binary, after binary"
@@ -178,7 +179,7 @@ def _again(contexts: np.ndarray) -> np.ndarray:
 
 def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> DataFrame:
     """Covered runs (block, row, start, stop), and the first and last strings of hot buckets."""
-    n_parts = blocks.parts(n_blocks)
+    n_parts = blocks.parts(n_blocks, BLOCK_BYTES)
     names = ["doc", "block", "row", "at", "stop", "before", "after"]
     kinds = pa.schema(zip(names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]))
 
@@ -302,7 +303,7 @@ def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), stop[np.append(new[1:], len(start)) - 1].tolist())) if len(start) else []
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = blocks.BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """For each document: n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes that stay) if asked for."""
     rows, n_blocks = blocks.blocked(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"], block_bytes)
     found = written(_runs(rows, n_blocks, length, gram, hot), "runs")
