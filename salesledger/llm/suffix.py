@@ -104,8 +104,10 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     data, offs = ops.flat(column)
     size = np.diff(offs)
     out = np.zeros((len(size), -(-width // 8) * 8), np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    out[row, np.arange(len(data)) - offs[:-1][row]] = data
+    for a in range(0, len(size), 1 << 13):  # the indexes of all rows would be eight times the bytes
+        part = size[a : a + (1 << 13)]
+        inside = np.arange(out.shape[1]) < part[:, None]
+        out[a : a + len(part)][inside] = data[offs[a] : offs[a + len(part)]]
     return out, size
 
 
@@ -254,6 +256,7 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
         if not held:
             return
         table = pa.Table.from_batches(held)
+        del held
         number = TaskContext.get().partitionId()
         plain = table.filter(pc.is_valid(table.column("before"))).sort_by([(c, "ascending") for c in ("doc", "block", "row", "at")])
         if plain.num_rows:
