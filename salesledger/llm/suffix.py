@@ -8,7 +8,7 @@ anchors, with the bytes before them, finds every repeated string.
    have more than HOT contexts.
 2. A suffix at a repeated anchor is sent with its context, the bytes that any string over it can reach; of equal contexts in one block
    only the first is sent, since the others repeat whatever it holds. Sampled splitters range-partition the suffixes by their
-   leading tokens (the GRAM bytes at the anchor). A bucket sorts suffixes by multikey quicksort, eight bytes at a time, and the
+   leading tokens (the GRAM bytes at the anchor); there are as many buckets as blocks, so buckets don't grow with the input. A bucket sorts suffixes by multikey quicksort, eight bytes at a time, and the
    texts before them likewise; runs of common prefixes in both orders give, for each way to place a string over the
    anchor, the classes of equal strings, of which only the first member stays.
 3. A hot anchor would make a bucket without bound. Each string over it is sent as a suffix of its own; these are range-partitioned by
@@ -284,7 +284,7 @@ def _runs(rows: DataFrame, n_blocks: int, length: int, gram: int, hot: int) -> D
     suffixes = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(contexts, CONTEXT)
     dealt = F.col("before").isNull()
     lead = F.when(dealt, F.col("after")).otherwise(F.substring("after", 1, gram))
-    split = suffixes.repartitionByRange(lead, F.when(dealt, F.col("doc")), F.when(dealt, F.col("at")))
+    split = suffixes.repartitionByRange(n_blocks, lead, F.when(dealt, F.col("doc")), F.when(dealt, F.col("at")))
     return split.mapInArrow(bucket, RUNS)
 
 
