@@ -29,11 +29,25 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, deleted when the process ends."""
+#: Spark deletes the shuffle files of a query at its end, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(frame: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, deleted when the process ends.
+
+    drop_shuffles: the shuffle files behind the table go as soon as it is written, before the next step makes its own.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_drop, spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 

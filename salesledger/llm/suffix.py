@@ -309,7 +309,7 @@ def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """For each document: n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes that stay) if asked for."""
     rows, n_blocks = blocks.blocked(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"], block_bytes)
-    found = written(_runs(rows, n_blocks, length, gram, hot), "runs")
+    found = written(_runs(rows, n_blocks, length, gram, hot), "runs", drop_shuffles=True)
     runs = found.where(F.col("kind") == "run").select("block", "row", "start", "stop")
     firsts, lasts = found.where(F.col("kind") == "first"), found.where(F.col("kind") == "last")
     if not firsts.isEmpty():
