@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesledger.llm import decontam, langid, lm, markup, minhash, mixing, pii, quality, suffix, urls
+from salesledger.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -84,4 +85,3 @@ QUERIES = {
         op6_near_duplicates, op7_suffix_dedup, op8_html_text, op9_mixing, op10_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
