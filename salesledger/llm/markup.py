@@ -2,9 +2,10 @@
 
 A tree builder that knows void elements, raw text and implied end tags turns a page into a tree; a renderer walks it and
 emits all visible text: collapsed inline space, line breaks and blank lines between blocks, bullets and numbers of
-lists with indentation, preformatted text as it is, and table cells padded to aligned columns. Elements are hidden by
+lists with indentation, preformatted text as it is, and table cells padded to aligned columns. Text and elements that stand
+in a table but in no cell (stray text, or what follows a table that is never closed) are lines of their own at their place. Elements are hidden by
 their kind, by the hidden attribute, by inline style, or by a simple rule (tag, .class, #id) of the page's own style
-sheets. Every step is linear in the page, and neither building nor walking recurses on nesting depth
+sheets, whatever the length of the rule. Every step is linear in the page, and neither building nor walking recurses on nesting depth
 (tables nested deeper than MAX_TABLES are laid out as plain blocks).
 
 Defined cases: a null page gives a null text, an empty one an empty text; broken markup is text or closed where it must be; repeated
@@ -33,6 +34,8 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer nav main address form details summary dialog figcaption li dt dd tr caption thead tbody tfoot legend option optgroup center".split()
 )
+#: What a table is made of; anything else directly inside one of these (but a caption or cell) is stray.
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th form".split())
 #: An opening tag closes these open elements, up to the nearest boundary.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -45,7 +48,7 @@ CLOSES_P = (SPACED | frozenset("address article aside details div dl footer form
 NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 ATTR = re.compile(r"[\s/]*([^\s=>/\"'][^\s=>/]*)?(?:\s*=\s*)?")
 BARE = re.compile(r"[^\s>]*")
-STYLE_RULE = re.compile(r"([^{}]{1,500})\{([^{}]{0,2000})\}")
+BRACE = re.compile(r"[{}]")
 SIMPLE = re.compile(r"(?:[A-Za-z][A-Za-z0-9]*|[.#][\w-]+)$")
 GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -165,12 +168,24 @@ def _walk(root: Node) -> Iterator[Node]:
         todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
 
 
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and body of each innermost rule, of any length."""
+    since, opened = 0, -1
+    for m in BRACE.finditer(sheet):
+        if m[0] == "{":
+            since, opened = opened + 1 if opened >= 0 else since, m.start()
+        else:
+            if opened >= 0:
+                yield sheet[since:opened], sheet[opened + 1 : m.start()]
+            since, opened = m.end(), -1
+
+
 def _hidden_names(root: Node) -> set[str]:
     """Selectors that the page's style sheets hide."""
     out: set[str] = set()
     for node in _walk(root):
         if node.tag == "style":
-            for names, body in STYLE_RULE.findall("".join(k for k in node.kids if isinstance(k, str))):
+            for names, body in _rules("".join(k for k in node.kids if isinstance(k, str))):
                 if GONE.search(body):
                     out |= {s for s in map(str.strip, names.split(",")) if SIMPLE.match(s)}
     return out
@@ -222,34 +237,49 @@ class _Lines:
                 self.parts.append(line)
 
 
+def _parts(node: Node, row: list | None) -> list[tuple[Node, list | None]]:
+    """Kids of a part of a table, each with the row it is in; runs of whatever belongs in no table become one #stray node."""
+    out: list[tuple[Node, list | None]] = []
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag in PARTS:
+            out.append((kid, row))
+        else:
+            if not out or out[-1][0].tag != "#stray":
+                out.append((Node("#stray"), row))
+            out[-1][0].kids.append(kid)
+    return out
+
+
 def _table(node: Node, gone: set[str], depth: int) -> list[str]:
-    """Rows of a table with cells padded to the width of their column."""
-    rows: list[list[list[str]]] = []
+    """Rows of a table with cells padded to the width of their column; stray content gives lines of its own, which widen no column."""
+    rows: list[list[list[str]] | tuple[list[str]]] = []
     caption: list[str] = []
-    todo: list[Node] = [node]
+    todo = _parts(node, None)[::-1]
     while todo:
-        at = todo.pop()
-        for_later: list[Node] = []
-        for kid in at.kids:
-            if isinstance(kid, str) or not _visible(kid, gone):
-                continue
-            if kid.tag == "caption":
-                caption += render(kid, gone, depth + 1).split("\n")
-            elif kid.tag in ("td", "th"):
-                if at.tag != "tr" or not rows:
-                    rows.append([])
-                rows[-1].append(render(kid, gone, depth + 1).split("\n"))
-            elif kid.tag in ("thead", "tbody", "tfoot", "tr", "form", "#row"):
-                for_later.append(kid)
-            elif kid.tag not in ("colgroup", "col"):
-                rows.append([render(kid, gone, depth + 1).split("\n")])
-        todo += reversed(for_later)
-        if todo and todo[-1].tag == "tr":
-            rows.append([])
+        kid, row = todo.pop()
+        if kid.tag == "#stray":
+            ahead = row is not None and not row and rows[-1] is row  # of the first cell
+            rows.insert(len(rows) - ahead, (render(kid, gone, depth + 1).split("\n"),))
+        elif not _visible(kid, gone):
+            continue
+        elif kid.tag == "caption":
+            caption += render(kid, gone, depth + 1).split("\n")
+        elif kid.tag in ("td", "th"):
+            if row is None:
+                rows.append(row := [])
+            row.append(render(kid, gone, depth + 1).split("\n"))
+        else:
+            if kid.tag == "tr":
+                rows.append(row := [])
+            todo += _parts(kid, row)[::-1]
     rows = [r for r in rows if any(any(c) for c in r)]
-    width = [max((len(line) for r in rows if len(r) > k for line in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+    grid = [r for r in rows if isinstance(r, list)]
+    width = [max((len(line) for r in grid if len(r) > k for line in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
     out = [c for c in caption if c]
     for r in rows:
+        if isinstance(r, tuple):
+            out += r[0]
+            continue
         for k in range(max(map(len, r))):
             out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width)).rstrip())
     return out

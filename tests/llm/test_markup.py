@@ -46,3 +46,27 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "title", "text"]
     assert sorted((r["page_id"] or 0, r["text"]) for r in out.collect() if r["text"] is not None) == [(1, "a"), (1, "a"), (2, "")]
     assert markup.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+STRAY = [
+    ("<table>text<tr><td>a</table>", "text\na"), ("<table><tr>text<td>a<td>b</table>", "text\na  b"), ("<table><tr><td>a</td></tr> bare <b>text</b> on", "a\nbare text on"),
+    ("<table><tbody>x<tr><td>a</td><td>b</td></tr>y z</tbody></table>w", "x\na  b\ny z\n\nw"), ("<table><form>f<tr><td>a</form></table>", "f\na"),
+    ("<table> <tr> <td>a</td> <td>b</td> </tr> </table>", "a  b"), ("<table><colgroup><col><tr><td>a</table>", "a"), ("<table><tr><form><td>a<td>b</form></table>", "a  b"),
+]
+
+
+@pytest.mark.parametrize("page, text", STRAY)
+def test_stray_text_of_tables(page, text):
+    assert markup.extract(page)[1] == text
+
+
+def test_stray_text_widens_no_column():
+    page = "<table>" + "<tr><td>a<td>b</td></tr>" * 2000 + "word " * 20_000
+    assert len(markup.extract(page)[1]) < 2 * len(page)
+
+
+def test_long_style_rules():
+    names = ",".join(f".a{i}" for i in range(400))
+    page = f"<style>@media x {{ {names} {{ color: red; {'margin: 0; ' * 400} display: none }} }} p{{}}</style>"
+    assert markup.extract(page + "<p class=a0>x<p class=a399>y<p class=b>z")[1] == "z"
+    assert list(markup._rules("a{b}c{d{e}}f{")) == [("a", "b"), ("d", "e")]
