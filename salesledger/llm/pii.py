@@ -4,6 +4,7 @@ An Aho-Corasick automaton finds anchors: at-signs, plus signs, digits, schemes a
 local parser widens to the left and right and checks what it has found: labels of an address, parts and ranges of
 an IP, the Luhn sum of a card, digit counts of a phone, mod 97 of an IBAN, the shape of keys and passwords.
 Every parser looks at a bounded neighbourhood or walks each character once, so a text of any length costs its length.
+Secrets, keys, accounts and URL users have a least length but no greatest one: a span goes on to the last character of its class.
 
 Defined cases: a null or empty text has no spans; offsets count code points and ends are exclusive; kinds may overlap
 each other but a kind does not overlap itself; repeated rows are judged each on its own. Input columns that share a
@@ -43,11 +44,11 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
-SECRET = re.compile(r"""[\t ]{0,3}(?:=|:|\bis\b)[\t ]{0,3}["']?([A-Za-z0-9+/_.~-]{8,200})["']?""")
-ACCOUNT = re.compile(r"[\t ]{0,3}(?:(?:no|nr|number|num)\.?)?[\t ]{0,3}[:#=]?[\t ]{0,3}((?:[A-Z]{0,2}[0-9][0-9 -]{4,22}[0-9]))", re.I)
-KEY = re.compile(r"[A-Za-z0-9_-]{12,80}")
+SECRET = re.compile(r"""[\t ]{0,3}(?:=|:|\bis\b)[\t ]{0,3}["']?([A-Za-z0-9+/_.~-]{8,})["']?""")
+ACCOUNT = re.compile(r"[\t ]{0,3}(?:(?:no|nr|number|num)\.?)?[\t ]{0,3}[:#=]?[\t ]{0,3}((?:[A-Z]{0,2}[0-9][0-9 -]{4,}[0-9]))", re.I)
+KEY = re.compile(r"[A-Za-z0-9_-]{12,}")
 IBAN = re.compile(r"[\t :#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-USER = re.compile(r"[^\s/@:]{1,64}:[^\s/@]{1,64}(?=@)")
+USER = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
 
 
 def luhn(digits: str) -> bool:
@@ -120,6 +121,8 @@ def spans(text: str | None, anchors=None) -> list[tuple[int, int, str]]:
                 if kind == "key":
                     m, a = KEY.match(text, end), at
                     ok = m and any(c.isdigit() for c in m[0]) and any(c.isupper() for c in m[0])
+                    if m:
+                        last[kind] = m.end()  # what a rejected run lacks, its rest lacks too
                 elif kind == "iban":
                     m = IBAN.match(text, end)
                     while m and not iban_ok(m[1]) and " " in m[1]:  # a following word may have been taken in

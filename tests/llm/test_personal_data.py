@@ -54,3 +54,15 @@ def test_masking_and_odd_rows(odd):
         assert (r["masked"] is None) == (r["text"] is None) and r["kept"] == "clash"
     assert pii.masked("a b@c.de f", pii.spans("a b@c.de f")) == "a <EMAIL> f"
     assert pii.find_personal_data(odd.limit(0)).count() == 0
+
+
+def test_long_identifiers_are_taken_whole():
+    whole = "aB3-" * 150
+    for text, kind in [("token=" + whole, "secret"), ("AKIA" + whole, "key"), ("https://" + whole + ":" + whole, "url_user"), ("account " + "12-4" * 150, "account")]:
+        text = f"see {text}@h " if kind == "url_user" else f"see {text}\n"
+        rest = pii.masked(text, [x for x in pii.spans(text) if x[2] == kind])
+        assert f"<{kind.upper()}>" in rest and len(rest) < 40
+
+
+def test_rejected_runs_are_walked_once():
+    assert pii.spans("ghp_aaaaaaaaaaaa-" * 100_000) == []
