@@ -5,7 +5,9 @@ Four sources of evidence are added up as log probabilities for each language:
   markup    the declared language (a lang attribute in the text, else the column), through a confusion table;
   suffix    the last label of the host, or of the source that stands for it;
   host      a prior of the host, smoothed towards its suffix, which is smoothed towards the whole corpus.
-Trigram tables are fitted on a sample of at most SAMPLE different labelled texts, the ones with the smallest hashes. Confusions and
+Every label is a language. The trigram table of each is fitted on a sample of its own: at most SAMPLE different texts, the ones with the
+smallest hashes, whole if they have at most SAMPLE_CHARS characters together, else an equal share of that from the start of each. Tables
+take 128 KB a language in every task; likelihoods are worked out for so many texts at a time that CELLS numbers hold them. Confusions and
 priors come from a grouped aggregation over all documents (of what their text alone says), so they grow with the data and not
 with a task. Priors are sent to all tasks while there are at most MAX_HOSTS hosts, else joined by a shuffle.
 
@@ -18,20 +20,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesledger.llm import textops as ops
-from salesledger.llm.storage import checkpointed, sampled
+from salesledger.llm.storage import checkpointed, small_hashes
 
+#: Sampled texts and characters of one language, at most.
 SAMPLE = 4000
-#: Characters of all sampled texts, at most; a longer sample ends with the document that crosses it.
 SAMPLE_CHARS = 40_000_000
-MAX_LANGUAGES = 64
+#: Likelihoods (texts times languages) that a task holds at once, about.
+CELLS = 1 << 21
 MAX_HOSTS = 50_000
 SLOTS = 1 << 15
 TEMPER = 0.2
@@ -78,42 +83,72 @@ class TextModel:
 def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> TextModel:
     """Trigram tables from labelled texts. The labels of all rows settle which languages there are."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    languages = sorted(r[0] for r in counts)
-    rows = known.where(F.col(lang).isin(languages)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    table = np.full((len(languages), SLOTS), 0.5)
-    used = 0
-    few = sampled(rows, "h", sample).groupBy("h", "l").agg(F.min("t").alias("t"))
-    for r in few.orderBy("h", "l").toLocalIterator():
-        raw = np.frombuffer(r["t"].encode("utf-8", "replace"), np.uint8)
-        slot, _ = _slots(raw, np.array([0, len(raw)]))
-        table[languages.index(r["l"])] += np.bincount(slot, minlength=SLOTS)
-        used += len(raw)
-        if used > SAMPLE_CHARS:
-            break
-    return TextModel(languages, np.log(table / table.sum(axis=1, keepdims=True)))
-
-
-def _evidence(docs: DataFrame, model: TextModel, text: str, lang: str | None, host: str | None) -> DataFrame:
-    """`docs` with _ll (likelihoods), _said (declared language), _host and _suffix."""
-    known = F.array(*(F.lit(x) for x in model.languages)) if model.languages else F.array().cast("array<string>")
+    known = known.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    sizes = known.select("l", "h").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    languages = sorted(r["l"] for r in sizes)
+    if not languages:
+        return TextModel([], np.zeros((0, SLOTS), np.float32))
+    spark = labelled.sparkSession
+    limits = spark.createDataFrame([(r["l"], small_hashes(r["n"], sample)) for r in sizes], "_l string, _most long")
+    few = known.join(F.broadcast(limits), F.col("l") == F.col("_l")).where(F.shiftrightunsigned("h", 1) <= F.col("_most"))
+    few = checkpointed(few.groupBy("h", "l").agg(F.min("t").alias("t")))
+    lengths = few.groupBy("l").agg(F.sum(F.length("t").cast("long")).alias("chars"), F.count(F.lit(1)).alias("n")).collect()
+    over = [(r["l"], SAMPLE_CHARS // r["n"]) for r in lengths if r["chars"] > SAMPLE_CHARS]
+    if over:
+        shares = spark.createDataFrame(over, "_l string, _share int")
+        few = few.join(F.broadcast(shares), F.col("l") == F.col("_l"), "left")
+        few = few.withColumn("t", F.when(F.col("_share").isNull(), F.col("t")).otherwise(F.col("t").substr(F.lit(1), F.col("_share"))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([sums.astype(np.uint32).tobytes()])], ["l", "n"])
+        at, sums = None, np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            data, offs = ops.flat(whole.column(1))
+            for a, b in ops.pieces(offs):
+                slot, row = _slots(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                first = 0
+                for label, run in groupby(whole.column(0).slice(a, b - a).to_pylist()):
+                    if label != at:
+                        if at is not None:
+                            yield done()
+                        at, sums = label, np.zeros(SLOTS, np.int64)
+                    last = first + sum(1 for _ in run)
+                    i, j = np.searchsorted(row, (first, last))
+                    sums += np.bincount(slot[i:j], minlength=SLOTS)
+                    first = last
+        if at is not None:
+            yield done()
+
+    counts = np.zeros((len(languages), SLOTS), np.uint32)
+    place = {x: k for k, x in enumerate(languages)}
+    by_language = few.select("l", "t").repartition("l").sortWithinPartitions("l")
+    for r in by_language.mapInArrow(count, "l string, n binary").toLocalIterator():
+        counts[place[r["l"]]] += np.frombuffer(r["n"], np.uint32)
+    table = np.empty(counts.shape, np.float32)
+    for k, n in enumerate(counts):
+        table[k] = np.log((n + 0.5) / (n.sum() + 0.5 * SLOTS))
+    return TextModel(languages, table)
+
+
+def _evidence(docs: DataFrame, text: str, lang: str | None, host: str | None) -> DataFrame:
+    """`docs` with _said (what is declared, in lower case), _host and _suffix."""
     markup = F.nullif(F.lower(F.regexp_extract(F.col(text), MARKUP, 1)), F.lit(""))
     said = F.coalesce(markup, F.lower(F.col(lang))) if lang else markup
     at = F.col(host) if host else F.lit(None).cast("string")
-    rows = docs.withColumn("_said", F.when(F.array_contains(known, said), said)).withColumn("_host", at)
-    rows = rows.withColumn("_suffix", F.when(F.instr("_host", ".") > 0, F.element_at(F.split("_host", r"\."), -1)))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            data, offs = ops.flat(whole.column(whole.schema.get_field_index(text)))
-            for a, b in ops.pieces(offs):
+    rows = docs.withColumn("_said", said).withColumn("_host", at)
+    return rows.withColumn("_suffix", F.when(F.instr("_host", ".") > 0, F.element_at(F.split("_host", r"\."), -1)))
+
+
+def _judged(batches: Iterator[pa.RecordBatch], model: TextModel, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Pieces of batches with the likelihoods of their texts, and which texts have any."""
+    most = max(1, CELLS // len(model.languages))
+    for whole in batches:
+        data, offs = ops.flat(whole.column(whole.schema.get_field_index(text)))
+        for low, high in ops.pieces(offs):
+            for a in range(low, high, most):
+                b = min(high, a + most)
                 ll = model.likelihood(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                none = np.isnan(ll).any(axis=1) if ll.shape[1] else np.ones(len(ll), bool)
-                col = pa.array([None if skip else row for skip, row in zip(none.tolist(), ll.tolist())], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*whole.slice(a, b - a).columns, col], schema.names)
-
-    return rows.mapInArrow(run, schema)
+                yield whole.slice(a, b - a), np.nan_to_num(ll), ~np.isnan(ll[:, 0])
 
 
 def identify(docs: DataFrame, model: TextModel, text: str = "text", lang: str | None = "lang", host: str | None = "source", least: float = LEAST) -> DataFrame:
@@ -121,50 +156,79 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", lang: str |
     names = model.languages
     made = ["language", "text_language", "posterior", "kept"]
     plain = docs.select(*(c for c in docs.columns if c not in made))
-    rows = _evidence(plain, model, text, lang, host)
     if not names:
         empty = F.lit(None).cast("string")
-        return rows.select(*plain.columns, empty.alias("language"), empty.alias("text_language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
+        return plain.select("*", empty.alias("language"), empty.alias("text_language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
+
+    place = {x: k for k, x in enumerate(names)}
+    rows = _evidence(plain, text, lang, host)
 
-    codes = F.array(*(F.lit(x) for x in names))
-    best_of = lambda a: F.get(codes, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    rows = rows.withColumn("text_language", best_of(F.col("_ll")))
-    voters = rows.where(F.col("text_language").isNotNull())
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ll, some in _judged(batches, model, text):
+            said = pa.array([place.get(x) for x in batch.column(3).to_pylist()], pa.int32())
+            best = pa.array(ll.argmax(axis=1).astype(np.int32), mask=~some)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), said, best], ["_host", "_suffix", "_said", "_best"])
+
+    voters = rows.select(text, "_host", "_suffix", "_said").mapInArrow(vote, "_host string, _suffix string, _said int, _best int").where("_best is not null")
     # one row for each host, suffix and pair of languages: what the text says against what is declared
-    votes = checkpointed(voters.groupBy("_host", "_suffix", "_said", "text_language").agg(F.count(F.lit(1)).alias("n")))
-    said_rows = votes.groupBy("_said", "text_language").agg(F.sum("n").alias("n")).collect()  # at most (languages + 1) * languages rows
-    confusion = {x: {} for x in names}
-    total = dict.fromkeys(names, 0.0)
-    for r in said_rows:
-        total[r["text_language"]] += r["n"]
+    votes = checkpointed(voters.groupBy("_host", "_suffix", "_said", "_best").agg(F.count(F.lit(1)).alias("n")))
+    total, declared = np.zeros(len(names)), np.zeros(len(names))
+    confusion: dict[int, list[tuple[int, int]]] = {}
+    for r in votes.groupBy("_said", "_best").agg(F.sum("n").alias("n")).collect():  # at most (languages + 1) * languages rows
+        total[r["_best"]] += r["n"]
         if r["_said"] is not None:
-            confusion[r["text_language"]][r["_said"]] = r["n"]
-    whole = sum(total.values()) + len(names)
-    overall = [(total[x] + 1) / whole for x in names]
-    said_log = {  # log P(declared d | language x), for each d a list over x
-        d: [float(np.log((confusion[x].get(d, 0) + 1) / (sum(confusion[x].values()) + len(names)))) for x in names] for d in names
-    }
-
-    per = [F.sum(F.when(F.col("text_language") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(names)]
-    hosts = votes.where(F.col("_host").isNotNull()).groupBy("_host", "_suffix").agg(*per)
-    suffixes = votes.where(F.col("_suffix").isNotNull()).groupBy("_suffix").agg(*per)
-    k = range(len(names))
-    sum_of = lambda p: sum((F.col(f"{p}{i}") for i in k[1:]), F.col(f"{p}0"))
-    s_prior = [((F.col(f"c{i}") + SUFFIX_WEIGHT * overall[i]) / (sum_of("c") + SUFFIX_WEIGHT)).alias(f"s{i}") for i in k]
-    suffixes = suffixes.select(F.col("_suffix").alias("_sfx"), *s_prior)
-    both = hosts.join(suffixes, F.col("_suffix") == F.col("_sfx"), "left").withColumns({f"s{i}": F.coalesce(f"s{i}", F.lit(overall[i])) for i in k})
-    priors = both.select(F.col("_host").alias("_h"), F.array(*(F.log((F.col(f"c{i}") + HOST_WEIGHT * F.col(f"s{i}")) / (sum_of("c") + HOST_WEIGHT)) for i in k)).alias("_prior"))
+            declared[r["_best"]] += r["n"]
+            confusion.setdefault(r["_said"], []).append((r["_best"], r["n"]))
+    overall = (total + 1) / (total.sum() + len(names))
+
+    def grouped(key: list[str], name: str) -> DataFrame:
+        """Votes for languages as a list of (_best, n), without the languages that have none."""
+        counts = votes.where(F.col(key[0]).isNotNull()).groupBy(*key, "_best").agg(F.sum("n").alias("n"))
+        return counts.groupBy(*key).agg(F.collect_list(F.struct("_best", "n")).alias(name))
+
+    hosts, suffixes = grouped(["_host", "_suffix"], "_of_host"), grouped(["_suffix"], "_of_suffix")
+    suffixes = suffixes.select(F.col("_suffix").alias("_sfx"), "_of_suffix")
+    priors = hosts.join(suffixes, F.col("_suffix") == F.col("_sfx"), "left").select(F.col("_host").alias("_h"), "_of_host", "_of_suffix")
     few = len(hosts.select("_host").take(MAX_HOSTS + 1)) <= MAX_HOSTS
     rows = rows.join(F.broadcast(priors) if few else priors, F.col("_host") == F.col("_h"), "left")
-
-    said = F.create_map(*(x for d in names for x in (F.lit(d), F.array(*(F.lit(v) for v in said_log[d])))))
-    zero, flat = F.array(*(F.lit(0.0) for _ in names)), F.array(*(F.lit(float(np.log(p))) for p in overall))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    tempered = F.transform("_ll", lambda x: x * TEMPER)
-    score = add(add(tempered, F.coalesce(said[F.col("_said")], zero)), F.coalesce("_prior", flat))
-    rows = rows.withColumn("_score", score)
-    most = F.array_max("_score")
-    norm = F.aggregate(F.transform("_score", lambda x: F.exp(x - F.array_max("_score"))), F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("posterior", F.when(most.isNotNull(), 1 / norm)).withColumn("kept", F.coalesce(F.col("posterior") >= least, F.lit(False)))
-    language = F.when(F.col("kept"), best_of(F.col("_score")))
-    return rows.select(*plain.columns, language.alias("language"), "text_language", "posterior", "kept")
+    rows = rows.select(*plain.columns, "_said", "_host", "_of_host", "_of_suffix")
+    kinds = [T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(c, k) for c, k in zip(made, kinds))])
+    width, out_names = len(plain.columns), schema.names
+
+    def said_log(d: int | None) -> np.ndarray | float:
+        """log P(declared d | language), for all languages."""
+        if d is None:
+            return 0.0
+        n = np.ones(len(names))
+        for k, v in confusion.get(d, ()):
+            n[k] += v
+        return np.log(n / (declared + len(names)))
+
+    def smoothed(found: list[dict] | None, towards: np.ndarray, weight: float) -> np.ndarray:
+        p = weight * towards
+        for x in found or ():
+            p[x["_best"]] += x["n"]
+        return p / p.sum() if found else towards
+
+    def prior(batch: pa.RecordBatch, k: int) -> np.ndarray:
+        of_host, of_suffix = (batch.column(width + c)[k].as_py() for c in (2, 3))
+        return np.log(smoothed(of_host, smoothed(of_suffix, overall, SUFFIX_WEIGHT), HOST_WEIGHT) if of_host else overall)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, ll, some in _judged(batches, model, text):
+            score = TEMPER * ll
+            for c, made_of in ((width, lambda k: said_log(place.get(batch.column(width)[k].as_py()))), (width + 1, lambda k: prior(batch, k))):
+                code = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                _, first, code = np.unique(code, return_index=True, return_inverse=True)
+                order = np.argsort(code, kind="stable")
+                for k, part in zip(first.tolist(), np.split(order, np.cumsum(np.bincount(code))[:-1])):
+                    score[part] += made_of(k)
+            best = score.argmax(axis=1)
+            posterior = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+            kept = some & (posterior >= least)
+            named = lambda which, ok: pa.array([names[k] if yes else None for k, yes in zip(which.tolist(), ok.tolist())], pa.string())
+            cols = [named(best, kept), named(ll.argmax(axis=1), some), pa.array(posterior, mask=~some), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], out_names)
+
+    return rows.mapInArrow(judge, schema)

@@ -60,8 +60,13 @@ def _drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_hashes(n: int, size: int) -> int:
+    """The greatest 63-bit hash to take, so that of n different ones at most about `size` are."""
+    share = min(1.0, max(1.0, size - 6 * size**0.5) / max(n, 1))
+    return min(2**63 - 1, int(share * 2**63))
+
+
 def sampled(frame: DataFrame, key: str, size: int) -> DataFrame:
     """Rows whose 64-bit hash in column `key` is small, for at most about `size` different keys: the same rows on every run."""
     n = frame.select(key).distinct().count()
-    share = min(1.0, max(1.0, size - 6 * size**0.5) / max(n, 1))
-    return frame.where(F.shiftrightunsigned(F.col(key), 1) <= F.lit(min(2**63 - 1, int(share * 2**63))))
+    return frame.where(F.shiftrightunsigned(F.col(key), 1) <= F.lit(small_hashes(n, size)))

@@ -53,3 +53,23 @@ def test_odd_rows(spark, odd):
         assert r["kept"] in (True, False) and r["spans"] is not None
     assert langid.identify(odd.limit(0), model).count() == 0
     assert langid.identify(odd, langid.fit(odd.limit(0))).where("kept").count() == 0
+
+
+def test_every_label_is_a_language(spark):
+    names = [a + b + c for a in "abcde" for b in "aeiou" for c in "klm"]  # 75
+    word = lambda x: " ".join([x * 3, x + x[::-1], x[0] + x * 2] * 3)
+    rows = [(f"{word(x)} {k}", x, f"www.{x}.{x}") for x in names for k in range(3 if x == names[-1] else 5)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    model = langid.fit(docs)
+    assert model.languages == sorted(names)
+    out = langid.identify(docs, model, lang=None).collect()
+    assert all(r["kept"] and r["language"] == r["text_language"] == r["lang"] for r in out)
+
+
+def test_rare_languages_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20_000)
+    rows = [(f"the on er in at {k}", "en") for k in range(3000)] + [("ou es la " * 20_000 + str(k), "fr") for k in range(2)] + [("zu xo qi", "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=200)
+    assert model.languages == ["en", "fr", "xx"] and all(len(set(t.tolist())) > 1 for t in model.table)
+    short = spark.createDataFrame([("zu xo qi", "xx"), ("ou es la", "fr"), ("the on er", "en")], "text string, lang string")
+    assert all(r["text_language"] == r["lang"] for r in langid.identify(short, model, lang=None, host=None).collect())
