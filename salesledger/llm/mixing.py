@@ -7,7 +7,11 @@ each pattern and source, whatever the number of documents. Documents are then ch
 a seeded hash; the last one chosen is taken in part, so that quotas are met to the word.
 
 Running sums are never taken over a whole pattern: words are first added up in hash bins, and only the bin in which the
-quota ends is ordered. Patterns are counted first and refused above MAX_PATTERNS.
+quota ends is ordered.
+
+Where every document has one source (mix_sources, the registered queries), a pattern serves one source only, and the cheapest flow is
+one expression for each source: any number of them is joined by a shuffle, or sent to all tasks up to MAX_PATTERNS. Overlapping
+sources (mix_to_targets) and mix_documents solve the network on the driver; patterns are counted first and refused above MAX_PATTERNS.
 
 Defined cases: null text or size counts 0 words and is taken 0 times; a null source is a source of its own, last in order;
 repeated rows are chosen each on its own, ties in the hash are settled by id and size; an empty table gives an empty table.
@@ -18,13 +22,14 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesledger.llm.storage import checkpointed
+from salesledger.llm.storage import checkpointed, written
 
-#: Membership patterns (and so sources) that the flow network may have.
+#: Membership patterns (and so sources) that the flow network on the driver may have, and sources that are sent to all tasks.
 MAX_PATTERNS = 20_000
 BINS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -123,29 +128,50 @@ def mix_to_targets(
     nets = [(n, [place[s] for s in dict.fromkeys(m) if s in place]) for m, n in sizes]
     flows = min_cost_flow(nets, [int(targets[s]) for s in names], repeats)
     quota = [(m, n, sum(f.values())) for (m, n), f in zip(sizes, flows)]
-    kinds = "m array<string>, words long, want long"
-    wanted = spark.createDataFrame([(m, n, q) for m, n, q in quota], kinds)
+    wanted = _copies(spark.createDataFrame(quota, "m array<string>, words long, want long"))
+    plain = docs.select(*(c for c in docs.columns if c != "taken"))
+    plan = _cuts(plain, wanted, members, size, doc, seed, True)
+    words = F.coalesce(F.col(size), F.lit(0))
+    return _taken(plain, plan, members, words, doc, seed, True).select(*plain.columns, "taken")
+
+
+def _copies(quotas: DataFrame) -> DataFrame:
+    """(m, words, want) with _copies, how often everything in m is used, and _rest, the words beyond that."""
     copies = F.expr("CASE WHEN words > 0 THEN want div words ELSE 0 END")
-    wanted = wanted.select("m", copies.cast("long").alias("_copies"), (F.col("want") - copies * F.col("words")).cast("long").alias("_rest"))
+    return quotas.select("m", copies.cast("long").alias("_copies"), (F.col("want") - copies * F.col("words")).cast("long").alias("_rest"))
 
-    plain = docs.select(*(c for c in docs.columns if c != "taken"))
-    placed = plain.withColumn("_place", _place(seed, doc)).withColumn("_bin", F.floor(F.col("_place") / F.lit((1 << 62) // BINS)))
-    bins = placed.groupBy(F.col(members).alias("m"), F.col("_bin").alias("b")).agg(F.sum(size).alias("words"))
+
+def _placed(docs: DataFrame, doc: str, seed: int) -> DataFrame:
+    return docs.withColumn("_place", _place(seed, doc)).withColumn("_bin", F.floor(F.col("_place") / F.lit((1 << 62) // BINS)))
+
+
+def _sent(frame: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(frame) if few else frame
+
+
+def _cuts(rows: DataFrame, wanted: DataFrame, members: str, size: str, doc: str, seed: int, few: bool) -> DataFrame:
+    """`wanted` with the bin in which the rest ends and the words before it. few: it may be sent to all tasks."""
+    bins = _placed(rows, doc, seed).groupBy(F.col(members).alias("m"), F.col("_bin").alias("b")).agg(F.sum(size).alias("words"))
     upto = F.sum("words").over(Window.partitionBy("m").orderBy("b"))
     bins = bins.select("m", "b", "words", (upto - F.col("words")).alias("before"))
-    same = lambda a, b: a.eqNullSafe(b)
-    ends = bins.alias("x").join(F.broadcast(wanted).alias("w"), same(F.col("x.m"), F.col("w.m")))
+    ends = bins.alias("x").join(_sent(wanted, few).alias("w"), F.col("x.m").eqNullSafe(F.col("w.m")))
     inside = (F.col("before") <= F.col("_rest")) & (F.col("_rest") < F.col("before") + F.col("words"))
     ends = ends.where(inside).groupBy(F.col("x.m").alias("m")).agg(F.max("b").alias("_cut"), F.max("before").alias("_before"))
-    plan = wanted.join(ends, same(wanted["m"], ends["m"]), "left").select(wanted["m"].alias("_m"), "_copies", "_rest", "_cut", "_before")
-    joined = placed.join(F.broadcast(plan), same(F.col(members), F.col("_m")), "left")
-    words = F.coalesce(F.col(size), F.lit(0))
-    full, cut = F.coalesce(F.col("_copies"), F.lit(0)) * words, F.col("_bin").eqNullSafe(F.col("_cut"))
-    plainly = joined.where(~cut).withColumn("taken", full + F.when(F.col("_bin") < F.coalesce("_cut", F.lit(0)), words).otherwise(0))
-    order = Window.partitionBy("_m").orderBy("_place", F.col(doc), F.col(size)).rowsBetween(Window.unboundedPreceding, 0)
-    done = F.col("_before") + F.sum(words).over(order) - words
-    ordered = joined.where(cut).withColumn("taken", full + F.least(words, F.greatest(F.col("_rest") - done, F.lit(0))))
-    return plainly.unionByName(ordered).select(*plain.columns, F.col("taken").cast("long").alias("taken"))
+    return wanted.join(ends, wanted["m"].eqNullSafe(ends["m"]), "left").select(wanted["m"].alias("_m"), *(c for c in wanted.columns if c != "m"), "_cut", "_before")
+
+
+def _taken(docs: DataFrame, plan: DataFrame, members: str, words: Column, doc: str, seed: int, few: bool, tie: tuple[Column, ...] = ()) -> DataFrame:
+    """`docs` and the columns of their plan, with _words and `taken`; only documents of the bin in which a quota ends are ordered."""
+    joined = _placed(docs, doc, seed).join(_sent(plan, few), F.col(members).eqNullSafe(F.col("_m")), "left")
+    if not few:
+        joined = written(joined, "placed", drop_shuffles=True)  # shuffled once, read twice
+    full, n = F.coalesce(F.col("_copies"), F.lit(0)) * F.col("_words"), F.col("_words")
+    plainly = joined.where(~F.col("_bin").eqNullSafe(F.col("_cut"))).withColumn("_words", words)
+    plainly = plainly.withColumn("taken", (full + F.when(F.col("_bin") < F.coalesce("_cut", F.lit(0)), n).otherwise(0)).cast("long"))
+    ordered = joined.where(F.col("_bin") == F.col("_cut")).withColumn("_words", words)
+    order = Window.partitionBy("_m").orderBy("_place", F.col(doc), "_words", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    done = F.col("_before") + F.sum(n).over(order) - n
+    return plainly.unionByName(ordered.withColumn("taken", (full + F.least(n, F.greatest(F.col("_rest") - done, F.lit(0)))).cast("long")))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 7) -> DataFrame:
@@ -161,3 +187,64 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     table = docs.sparkSession.createDataFrame([(s, by[s], float(targets[s])) for s in names], "_s string, source_size long, target double")
     mixed = mixed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")), "left")
     return mixed.select(*keep, *made)
+
+
+def source_quotas(rows: DataFrame, weights: tuple[int, ...], share: Fraction, cap: int) -> tuple[DataFrame, int]:
+    """(m, source_size, target, _copies, _rest) of each source of rows (source, size), and how many there are.
+
+    What water_fill and min_cost_flow give where every document has one source: its pattern is used by that source alone,
+    so that the cheapest flow is the smaller of quota and cap times the size. The driver sees sums by weight, never sources.
+    """
+    sizes = rows.groupBy(F.col("source").alias("m")).agg(F.sum("size").alias("words"))
+    numbered = checkpointed(sizes.orderBy(F.asc_nulls_last("m")).withColumn("_id", F.monotonically_increasing_id()))
+    task = F.shiftright("_id", 33)
+    counts = numbered.groupBy(task.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row for each task
+    n_sources, starts = 0, []
+    for r in counts:
+        starts.append((r["p"], n_sources % len(weights)))
+        n_sources += r["n"]
+    starts = numbered.sparkSession.createDataFrame(starts, "_p long, _start int")
+    kind = F.pmod(F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1), F.lit(len(weights))).cast("int")
+    sources = checkpointed(numbered.join(F.broadcast(starts), task == F.col("_p")).select("m", "words", kind.alias("_kind")))
+
+    by_kind = lambda values, k: F.get(F.array(*(F.lit(v).cast(k) for v in values)), F.col("_kind"))
+    level, below = Fraction(0), [0] * len(weights)  # words for a weight of 1; sources smaller than this stop at cap times their size
+    budget = None
+    while True:
+        full = F.col("words") < by_kind(below, "long")
+        sums = sources.groupBy("_kind").agg(
+            F.sum("words").alias("words"), F.sum(F.when(full, F.col("words")).otherwise(0)).alias("full"), F.sum((~full).cast("long")).alias("open")
+        ).collect()
+        budget = share * sum(int(r["words"]) for r in sums) if budget is None else budget
+        whole = sum(weights[r["_kind"]] * r["open"] for r in sums)
+        if not whole:
+            break
+        level = (budget - cap * sum(int(r["full"]) for r in sums)) / whole
+        before, below = below, [ceil(level * w / cap) for w in weights]
+        if below == before:
+            break
+    most = F.col("words") * cap
+    target = F.when(full, most.cast("double")).otherwise(by_kind([float(level * w) for w in weights], "double"))
+    want = F.least(most, F.when(full, most).otherwise(by_kind([int(level * w) for w in weights], "long")))
+    quotas = sources.select("m", "words", target.alias("target"), want.alias("want"))
+    copies = F.expr("CASE WHEN words > 0 THEN want div words ELSE 0 END")
+    rest = (F.col("want") - copies * F.col("words")).cast("long")
+    return checkpointed(quotas.select("m", F.col("words").alias("source_size"), "target", copies.cast("long").alias("_copies"), rest.alias("_rest"))), n_sources
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), repeats: int = 2, seed: int = 7, texts: bool = False
+) -> DataFrame:
+    """What mix_documents gives, for any number of sources; texts: with the text of each document."""
+    made = ["size", "source_size", "target", "taken"]
+    keep = [c for c in docs.columns if c not in {*made, "text"}]
+    rows = checkpointed(docs.select(*(["doc_id", "source"] if texts else keep), word_count(F.col("text")).alias("size")))
+    quotas, n_sources = source_quotas(rows, weights, share, repeats)
+    few = n_sources <= MAX_PATTERNS
+    plan = _cuts(rows, quotas, "source", "size", "doc_id", seed, few)
+    if texts:
+        keep = [c for c in docs.columns if c not in made]
+        mixed = _taken(docs.select(*keep), plan, "source", word_count(F.col("text")), "doc_id", seed, few, (F.xxhash64("text"),))
+    else:
+        mixed = _taken(rows, plan, "source", F.col("size"), "doc_id", seed, few)
+    return mixed.select(*keep, F.col("_words").alias("size"), "source_size", "target", "taken")

@@ -70,7 +70,7 @@ def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,3 +103,16 @@ def test_too_many_patterns(spark, monkeypatch):
 def test_water_fill():
     got = mixing.water_fill({"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, Fraction(315))
     assert got == {"a": 20, "b": Fraction(295, 3), "c": Fraction(590, 3)}
+
+
+def test_any_number_of_sources(spark, rows, docs, odd, monkeypatch):
+    key = lambda f: sorted(str(tuple(r)) for r in f.collect())
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    many = [(i, "w " * (i * i % 23), str(i % 300) if i % 7 else None) for i in range(1500)]
+    frame = spark.createDataFrame(many, "doc_id long, text string, source string")
+    whole = [key(mixing.mix_documents(x).select(columns)) for x in (docs, frame)]
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    assert [key(mixing.mix_sources(x).select(columns)) for x in (docs, frame)] == whole
+    check(many, [r for r in mixing.mix_sources(frame.select("doc_id", "text", "source")).collect()])
+    check([(r["doc_id"], r["text"], r["source"]) for r in odd.collect()], mixing.mix_sources(odd).collect())
+    assert mixing.mix_sources(odd.limit(0)).count() == 0
