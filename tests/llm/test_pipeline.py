@@ -47,3 +47,19 @@ def test_odd_rows(spark, odd, tmp_path):
             if name != "mixture":
                 assert docs.columns == odd.columns
         assert docs.count() <= frame.count()
+
+
+def test_result_is_a_corpus(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    got, given = out.collect(), {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got and all(r["taken"] > 0 and r["text"] == pii.masked(t, pii.spans(t)) for r in got for t in [given[r["doc_id"]]])
+    sources = {r["source"]: int(r["target"]) for r in got}
+    assert {s: sum(r["taken"] for r in got if r["source"] == s) for s in sources} == sources
+
+
+def test_mixture_keeps_texts(spark, odd):
+    out = corpus_pipeline.mixture(spark, odd, FOLDER)
+    assert set(odd.columns) <= set(out.columns)
+    assert sorted(map(str, odd.select("doc_id", "text").collect())) == sorted(map(str, out.select("doc_id", "text").collect()))
