@@ -136,4 +136,67 @@ select doc_id, cast(n_bytes as bigint) as n_bytes, cast(coalesce(n_removed, 0) a
 from texts left join counted using (n)
 """
 
-ORACLE_SQL = {"op3_quality": QUALITY, "op6_near_duplicates": NEAR_DUPLICATES, "op7_suffix_dedup": REPEATS}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') as terms from documents
+),
+asked as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') as terms from benchmark
+),
+wanted as (select q, item_id, unnest(terms) as term from asked),
+held as (select r, doc_id, cast(len(terms) as bigint) as n, unnest(terms) as term from docs),
+sizes as (select cast(count(*) as bigint) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from docs where len(terms) > 0),
+found as (
+  select r, doc_id, n, term, cast(count(*) as bigint) as tf from held where term in (select term from wanted) group by all
+),
+weights as (
+  select term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+  from found cross join sizes group by term, n_docs
+),
+scores as (
+  select q, item_id, r, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) as bigint) as score
+  from wanted join found using (term) join weights using (term) cross join sizes
+  group by q, item_id, r, doc_id
+)
+select item_id, cast(row_number() over (partition by q order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+from scores where score > 0
+qualify rank <= 20
+"""
+
+
+def _clusters(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> str:
+    far = f"list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) for i in range(1, {dims + 1})])"
+    step = """
+near{r} as (
+  select n, c, d from (select v.n, c.c, {far} as d from kept v cross join cent{r} c)
+  qualify row_number() over (partition by n order by d, c) = 1
+)"""
+    move = """
+sums{r} as (
+  select c, i, sum(v) as s, count(*) as m
+  from (select n, unnest(x) as v, generate_subscripts(x, 1) as i from kept) join near{r} using (n) group by c, i
+),
+means{r} as (select c, list(cast((s - ((s % m) + m) % m) // m as bigint) order by i) as x from sums{r} group by c),
+cent{n} as (select c, coalesce(means{r}.x, cent{r}.x) as x from cent{r} left join means{r} using (c))"""
+    parts = [step.format(r=r, far=far) + ("," + move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+with kept as (
+  select row_number() over () as n, vec_id, [cast(floor({scale} * cast(y as double)) as bigint) for y in embedding] as x
+  from embeddings where len(embedding) = {dims} and len([y for y in embedding if y is not null and isfinite(y)]) = {dims}
+),
+cent0 as (
+  select row_number() over (order by sha256('{seed}:' || vec_id) nulls last, x) - 1 as c, x from kept qualify c < {k}
+),{",".join(parts)}
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(cent{rounds}.x, ',')) as centroid_sha256
+from near{rounds} join kept using (n) join cent{rounds} using (c)
+"""
+
+
+ORACLE_SQL = {
+    "op3_quality": QUALITY, "op6_near_duplicates": NEAR_DUPLICATES, "op7_suffix_dedup": REPEATS,
+    "op11_lexical_search": SEARCH, "op12_clusters": _clusters(),
+}

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesledger.llm import decontam, langid, lm, markup, minhash, mixing, pii, quality, suffix, urls
+from salesledger.llm import centroids, classifier, decontam, langid, lexical, lm, markup, minhash, mixing, pii, quality, suffix, urls
 from salesledger.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: The rules of the URL query.
@@ -78,10 +78,25 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_passages(docs, _table(spark, folder, "benchmark")).select("doc_id", "items", "edits", "contaminated")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lexical.search(docs, _table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return classifier.classify(docs, _table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_personal_data, op2_language_model, op3_quality, op4_language, op5_urls,
         op6_near_duplicates, op7_suffix_dedup, op8_html_text, op9_mixing, op10_decontamination,
+        op11_lexical_search, op12_clusters, op13_quality_classifier,
     )
 }
