@@ -85,9 +85,9 @@ def _order_columns(orders: DataFrame) -> DataFrame:
     )
 
 
-def order_detail_grid(orders: DataFrame, tz: str = "UTC") -> DataFrame:
+def order_detail_grid(orders: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The printed order section: nine columns."""
-    return with_ordinal(_order_columns(orders)).select(
+    return with_ordinal(_order_columns(orders), in_order=in_order).select(
         F.col("no").alias("#"),
         short_date(to_local(F.col("created_at"), tz)).alias("Date"),
         F.col("customer_name").alias("Customer"),
@@ -100,9 +100,9 @@ def order_detail_grid(orders: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def order_detail_sheet(orders: DataFrame, tz: str = "UTC") -> DataFrame:
+def order_detail_sheet(orders: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The order sheet: ten columns, money as numbers, the gross total added."""
-    return with_ordinal(_order_columns(orders)).select(
+    return with_ordinal(_order_columns(orders), in_order=in_order).select(
         F.col("no").alias("#"),
         short_date(to_local(F.col("created_at"), tz)).alias("Date"),
         F.col("customer_name").alias("Customer"),
@@ -116,9 +116,9 @@ def order_detail_sheet(orders: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def expense_detail(expenses: DataFrame, tz: str = "UTC", printed: bool = True) -> DataFrame:
+def expense_detail(expenses: DataFrame, tz: str = "UTC", printed: bool = True, in_order: bool = False) -> DataFrame:
     """The expense section: six columns; text in print, numbers in a sheet."""
-    rows = with_ordinal(expenses.select("id", "created_at", "name", "amount", "price", "notes"))
+    rows = with_ordinal(expenses.select("id", "created_at", "name", "amount", "price", "notes"), in_order=in_order)
     price, notes = F.col("price"), F.col("notes")
     return rows.select(
         F.col("no").alias("#"),
@@ -162,8 +162,8 @@ def export_report(
     return write_report(
         head | {
             "Summary": summary,
-            "Orders": order_rows(report.orders, tz),
-            "Expenses": expense_detail(report.expenses, tz, printed),
+            "Orders": order_rows(report.orders, tz, in_order=True),
+            "Expenses": expense_detail(report.expenses, tz, printed, in_order=True),
         },
         folder,
         period.label,

@@ -1,4 +1,7 @@
-"""The order list and the expense list: period, search, key figures and exports."""
+"""The order list and the expense list: period, search, key figures and exports.
+
+Grids and sheets with in_order come out in the order of their numbers (see ordering.with_ordinal), as write_sheet takes them.
+"""
 
 from __future__ import annotations
 
@@ -57,13 +60,13 @@ def expense_table(listed: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def order_grid(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+def order_grid(listed: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The printed order list: numbered, latest first, all cells as text."""
     listed = listed.select(
         "id", "created_at", "customer_name", "quantity", "total_price",
         "payment_method", "shipping_fee", "status",
     )
-    return with_ordinal(listed).select(
+    return with_ordinal(listed, in_order=in_order).select(
         F.col("no").alias("#"),
         empty_if_null(short_date(to_local(F.col("created_at"), tz))).alias("Date"),
         empty_if_null(F.col("customer_name")).alias("Customer"),
@@ -75,13 +78,13 @@ def order_grid(listed: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def order_sheet(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+def order_sheet(listed: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The order list for a spreadsheet: numbers stay numbers, a missing one is an empty cell."""
     listed = listed.select(
         "id", "created_at", "customer_name", "quantity", "total_price",
         "payment_method", "shipping_fee", "notes", "status",
     )
-    return with_ordinal(listed).select(
+    return with_ordinal(listed, in_order=in_order).select(
         F.col("no").alias("#"),
         empty_if_null(short_date(to_local(F.col("created_at"), tz))).alias("Date"),
         empty_if_null(F.col("customer_name")).alias("Customer"),
@@ -94,9 +97,9 @@ def order_sheet(listed: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def expense_grid(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+def expense_grid(listed: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The printed expense list."""
-    return with_ordinal(listed.select("id", "created_at", "name", "amount", "price", "notes")).select(
+    return with_ordinal(listed.select("id", "created_at", "name", "amount", "price", "notes"), in_order=in_order).select(
         F.col("no").alias("#"),
         empty_if_null(short_date(to_local(F.col("created_at"), tz))).alias("Date"),
         empty_if_null(F.col("name")).alias("Item"),
@@ -106,9 +109,9 @@ def expense_grid(listed: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
-def expense_sheet(listed: DataFrame, tz: str = "UTC") -> DataFrame:
+def expense_sheet(listed: DataFrame, tz: str = "UTC", in_order: bool = False) -> DataFrame:
     """The expense list for a spreadsheet."""
-    return with_ordinal(listed.select("id", "created_at", "name", "amount", "price", "notes")).select(
+    return with_ordinal(listed.select("id", "created_at", "name", "amount", "price", "notes"), in_order=in_order).select(
         F.col("no").alias("#"),
         empty_if_null(short_date(to_local(F.col("created_at"), tz))).alias("Date"),
         empty_if_null(F.col("name")).alias("Item"),
@@ -132,7 +135,7 @@ def export_list(
     grid, sheet = {"orders": (order_grid, order_sheet), "expenses": (expense_grid, expense_sheet)}[table]
     if printed:
         write_sheet(list_head(listed, table, period_name, now), f"{target}/Head")
-        write_sheet(grid(listed, tz), f"{target}/List")
+        write_sheet(grid(listed, tz, in_order=True), f"{target}/List", in_order=True)
     else:
-        write_sheet(sheet(listed, tz), f"{target}/{sheet_title(table.capitalize())}")
+        write_sheet(sheet(listed, tz, in_order=True), f"{target}/{sheet_title(table.capitalize())}", in_order=True)
     return target

@@ -37,16 +37,16 @@ def sheet_title(title: str) -> str:
     return title[:SHEET_TITLE_LENGTH]
 
 
-def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists", in_order: bool = False) -> None:
     """Write columns under a header row; a null becomes an empty cell.
 
-    Every partition writes its own file. Numbered rows are sorted by their number, so the files in
-    name order hold the sheet in order. A frame of lines is written without a header.
+    Every partition writes its own file, and the files in name order hold the sheet in order: numbered rows are
+    sorted by their number, unless they come in order already. A frame of lines is written without a header.
     """
     lines = "line" in df.columns
     if lines:
         df = df.orderBy("line").coalesce(1).drop("line")
-    elif "#" in df.columns:
+    elif "#" in df.columns and not in_order:
         df = df.orderBy("#")
     (
         df.write.mode(mode)
@@ -68,8 +68,8 @@ def head_lines(counted: DataFrame, title: str, now: datetime) -> DataFrame:
 
 
 def write_report(sections: Mapping[str, DataFrame], folder: str, period_label: str) -> str:
-    """Write each section as a sheet under one report folder and return that folder."""
+    """Write each section, its rows in order, as a sheet under one report folder and return that folder."""
     target = f"{folder.rstrip('/')}/{report_file_name(period_label)}"
     for title, rows in sections.items():
-        write_sheet(rows, f"{target}/{sheet_title(title)}")
+        write_sheet(rows, f"{target}/{sheet_title(title)}", in_order=True)
     return target

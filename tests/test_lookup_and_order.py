@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import timedelta
 from decimal import Decimal
 
+import pytest
 from conftest import at
 from salesledger.operators import lookup, ordering
 
@@ -65,6 +66,7 @@ def test_ordinals_over_several_partitions(make, setting, monkeypatch):
     """A third of the rows share one time and a few have none; numbers still have no gap."""
     setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
     monkeypatch.setattr(ordering, "ID_RUN", 100)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
     start = at("2026-01-01")
     times = [
         start if i % 3 == 0 else None if i % 50 == 1 else start + timedelta(minutes=i * 7919 % 5000)
@@ -84,8 +86,42 @@ def test_ordinals_over_several_partitions(make, setting, monkeypatch):
     assert max(sizes) < 1000
 
 
+@pytest.mark.parametrize("rows_in_a_cell", [1 << 20, 40, 1])
+def test_ordinals_inside_a_second(spark, setting, monkeypatch, rows_in_a_cell):
+    """Microseconds, ties and ids far apart: a later row with a low id comes before an earlier one with a high id."""
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(ordering, "CELL_ROWS", rows_in_a_cell)
+    monkeypatch.setattr(ordering, "HOT_SHARE", 1 << 30)
+    rows = [(1, at("2026-01-01 10:00:00.9"), "a"), (2_000_000, at("2026-01-01 10:00:00.1"), "b"), (None, at("2026-01-01 10:00:00.1"), "c")]
+    rows += [(i << 19, at("2026-01-02 00:00:00.5"), "hot") for i in range(-150, 150)]
+    rows += [(1000 + i, at("2026-01-02 00:00:00") + timedelta(microseconds=i * 7919 % 3), "near") for i in range(200)]
+    rows += [(5000 + i, at("1969-12-31 23:59:59") + timedelta(microseconds=i * 104729 % 1_000_000), "old") for i in range(200)]
+    rows += [(9000 + i, None, "never") for i in range(60)]
+    rows += [(20_000 + i, at("2026-01-03") + timedelta(seconds=i * 37 % 90, microseconds=i % 2), "spread") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, created_at timestamp_ntz, `odd {name}` string").repartition(7)
+    low = -(1 << 62)
+    latest = sorted(rows, key=lambda r: (r[1] is None, r[1] or at("1900-01-01"), low if r[0] is None else r[0]), reverse=True)
+    expected = [(n, *r) for n, r in enumerate(latest, 1)]
+    assert sorted(tuple(r) for r in ordering.with_ordinal(frame).collect()) == expected
+    in_order = ordering.with_ordinal(frame, in_order=True)
+    assert [tuple(r) for r in in_order.collect()] == expected  # collect keeps the order of partitions
+    window = frame.selectExpr("row_number() over (order by created_at desc nulls first, id desc) as no", "*")
+    assert sorted(tuple(r) for r in window.collect()) == expected
+
+
+def test_full_cells_are_bounded_by_their_share(spark, monkeypatch):
+    """A cell of many rows is left whole where there are more rows still; the number of cut cells has a bound."""
+    monkeypatch.setattr(ordering, "CELL_ROWS", 1)
+    monkeypatch.setattr(ordering, "HOT_SHARE", 4)
+    frame = spark.range(2000).selectExpr("id", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(cast(id % 40 as int), 0, 0, id % 7) as created_at")
+    rows = sorted(ordering.with_ordinal(frame).collect())
+    assert [r.no for r in rows] == list(range(1, 2001))
+    assert [(r.created_at, r.id) for r in rows] == sorted(((r.created_at, r.id) for r in rows), reverse=True)
+
+
 def test_ordinals_of_nothing(make):
     assert ordering.with_ordinal(make.orders().limit(0)).collect() == []
+    assert ordering.with_ordinal(make.orders().limit(0), in_order=True).collect() == []
 
 
 def test_hot_product_is_split(make, spark, setting):

@@ -47,11 +47,28 @@ def test_aggregates_fold_before_the_shuffle(spark, name):
     assert re.search(r"HashAggregate[^\n]*\n[^\n]*Exchange[^\n]*\n[^\n]*HashAggregate", tree)
 
 
-def test_numbering_uses_no_single_task(spark):
-    """The only single partition holds one count for each day."""
-    plan = plan_of(spark, "order_ordinals")
-    assert plan.count("SinglePartition") == 1 and "Checkpoint" not in plan
-    assert re.search(r"hashpartitioning\(_day#\d+, \d+\)", plan.split("SinglePartition")[0])
+@pytest.mark.parametrize("name", ["order_ordinals", "export_orders_xls", "report_expense_sheet"])
+def test_numbering_uses_no_single_task(spark, name):
+    """A single partition only ever holds one count for each day."""
+    tree = plan_of(spark, name).split("\n\n")[0]
+    assert tree.count("SinglePartition") == 0 and "Checkpoint" not in tree
+    details = plan_of(spark, name)
+    single = re.findall(r"\((\d+)\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: SinglePartition", details)
+    assert single and all(re.fullmatch(r"_day#\d+L, n#\d+L", columns) for _, columns in single)
+
+
+def test_sheets_shuffle_their_rows_once(spark):
+    """Wide rows meet the count of their cell, get their number and come out in order in one exchange."""
+    from salesledger.plans import lists
+    from salesledger.sources.mapped import MappedTables
+
+    listed = lists.order_list(MappedTables(spark, FOLDER).orders("id", "customer_name", "total_price", "quantity", "payment_method", "shipping_fee", "notes", "status", "created_at"), None)
+    for in_order, kind in ((False, "hashpartitioning"), (True, "rangepartitioning")):
+        plan = lists.order_sheet(listed, in_order=in_order)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        wide = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: (\w+)", plan)
+        assert [k for columns, k in wide if "_start#" in columns and "notes" in columns] == [kind]
 
 
 @pytest.mark.parametrize("name", ["expenses_today", "report_by_week", "report_expense_rows", "report_summary_month"])
