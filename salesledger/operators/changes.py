@@ -2,18 +2,19 @@
 
 A change has seq, id, op (insert, update or delete) and patch, a map from column
 name to text. A change that the table could not take (no id or seq, another op, an unknown column, a value that
-cannot be read, null where the table forbids it) is not applied; refused_changes gives it with a reason. Ids are identities: an insert brings a new id, and a deleted id does not
+cannot be read, null where the table forbids it, a product that does not exist, the delete of a product that orders name, two
+different changes of an id under one seq) is not applied; refused_changes gives it with a reason. Ids are identities: an
+insert brings a new id, and a deleted id does not
 come back. Giving an id that exists to an insert changes the row, so a batch may be
-applied again after a failure with the same result.
+applied again after a failure with the same result. The result never hangs on the order of a feed's rows.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..sources.schema import TABLES, default_value
 from .ingest import patch_problem, typed
@@ -23,17 +24,39 @@ from .lookup import priced
 UPDATED, INSERTED, DELETED = 0, 1, 2
 
 
+def said() -> Column:
+    """A hash of what a change says, whatever the order of its columns."""
+    patch = F.when(F.col("op") != "delete", F.array_sort(F.map_entries("patch")))
+    return F.xxhash64("op", patch)
+
+
+def clashing(rows: DataFrame, content: Column) -> DataFrame:
+    """(id, seq) under which rows say different things; rows that only repeat do not clash."""
+    seen = rows.groupBy("id", "seq").agg(F.min(content).alias("_low"), F.max(content).alias("_high"))
+    return seen.where(F.col("_low") != F.col("_high")).select(F.col("id").alias("_id"), F.col("seq").alias("_seq"))
+
+
+def refuse_clashes(rows: DataFrame, content: Column) -> DataFrame:
+    """Rows (id, seq, reason) with a reason also where otherwise acceptable ones clash."""
+    clashes = clashing(rows.where(F.col("reason").isNull()), content)
+    met = rows.join(clashes, (F.col("id") == F.col("_id")) & (F.col("seq") == F.col("_seq")), "left")
+    twice = F.when(F.col("_id").isNotNull(), F.lit("seq is given twice"))
+    return met.withColumn("reason", F.coalesce("reason", twice)).drop("_id", "_seq")
+
+
 def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
     """One row per id: the last value given for each column and what happened to the row.
 
     A column holds a one-field struct, null if no change names it, so that a null
     given on purpose differs from a column left out. Each task folds its own part of an
     id's changes before the shuffle, so an id with very many changes is no hot key.
+    Changes are in the order of seq, then of what they say.
     """
+    place = F.struct(F.col("seq"), said())
     last = [
         F.max_by(
             F.struct(F.try_element_at("patch", F.lit(name)).alias("value")),
-            F.when(F.map_contains_key("patch", name), F.col("seq")),
+            F.when(F.map_contains_key("patch", name), place),
         ).alias(name)
         for name in columns
     ]
@@ -44,9 +67,15 @@ def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
 OPS = ("insert", "update", "delete")
 
 
-def judged(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
-    """The feed with a reason, null for a change that can be applied."""
-    op = F.col("op")
+def judged(
+    feed: DataFrame, table: str, names: list[str] | None = None, products: DataFrame | None = None, orders: DataFrame | None = None
+) -> DataFrame:
+    """The feed with a reason, null for a change that can be applied.
+
+    With products, a change of an order has to name one of them or none. With orders, a product that they name
+    cannot be deleted. Ids on the checking side are made distinct before they are shuffled.
+    """
+    op, rows = F.col("op"), feed
     patch = patch_problem(table, F.col("patch"), op == "insert", names)
     reason = (
         F.when(F.col("id").isNull(), "id is null")
@@ -54,16 +83,31 @@ def judged(feed: DataFrame, table: str, names: list[str] | None = None) -> DataF
         .when(~F.coalesce(op.isin(*OPS), F.lit(False)), "unknown op")
         .when(op != "delete", patch)
     )
-    return feed.withColumn("reason", reason)
+    if table == "orders" and products is not None:
+        known = products.select(F.col("id").alias("_known")).distinct()
+        wanted = F.when(op != "delete", typed(F.try_element_at("patch", F.lit("product_id")), TABLES[table]["product_id"].dataType))
+        rows = rows.withColumn("_wanted", wanted).join(known, F.col("_wanted") == F.col("_known"), "left")
+        reason = F.coalesce(reason, F.when(F.col("_wanted").isNotNull() & F.col("_known").isNull(), "product does not exist"))
+    if table == "products" and orders is not None:
+        rows = rows.join(named_products(orders), F.col("id") == F.col("_used"), "left")
+        reason = F.coalesce(reason, F.when((op == "delete") & F.col("_used").isNotNull(), NAMED))
+    return refuse_clashes(rows.withColumn("reason", reason).select(*feed.columns, "reason"), said())
 
 
-def refused_changes(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
-    """The changes that apply_changes leaves out, and why."""
-    return judged(feed, table, names).where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
+def refused_changes(feed: DataFrame, table: str, names: list[str] | None = None, **against: DataFrame | None) -> DataFrame:
+    """The changes that apply_changes leaves out, and why; against: products or orders, as in judged."""
+    return judged(feed, table, names, **against).where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
 
 
-def accepted_changes(feed: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
-    return judged(feed, table, names).where(F.col("reason").isNull()).drop("reason")
+def accepted_changes(feed: DataFrame, table: str, names: list[str] | None = None, **against: DataFrame | None) -> DataFrame:
+    return judged(feed, table, names, **against).where(F.col("reason").isNull()).drop("reason")
+
+
+NAMED = "orders name this product"
+
+
+def named_products(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("product_id").alias("_used")).where(F.col("_used").isNotNull()).distinct()
 
 
 def split_deletes(feed: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,21 +115,22 @@ def split_deletes(feed: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFr
 
     The products that orders name are made distinct first, so a hot product is sent once by each task.
     """
-    used = orders.select(F.col("product_id").alias("_used")).where(F.col("_used").isNotNull()).distinct()
-    met = feed.join(used, F.col("id") == F.col("_used"), "left")
+    met = feed.join(named_products(orders), F.col("id") == F.col("_used"), "left")
     refused = (F.col("op") == "delete") & F.col("_used").isNotNull()
     kept = met.where(~F.coalesce(refused, F.lit(False))).select(*feed.columns)
-    return kept, met.where(refused).select("seq", "id", F.lit("orders name this product").alias("reason"))
+    return kept, met.where(refused).select("seq", "id", F.lit(NAMED).alias("reason"))
 
 
 def apply_rows(snapshot: DataFrame, edits: DataFrame, table: str) -> DataFrame:
     """The snapshot with the last edit of each id over it.
 
     An edit has seq, id and typed columns of the table. A column that edits lack keeps its stored value, and so
-    does created_at where an edit has none. Edits of unknown ids change nothing.
+    does created_at where an edit has none. Edits of unknown ids change nothing. Edits are in the order of seq, then of
+    their content.
     """
     names = [n for n in TABLES[table].names if n in edits.columns and n != "id"]
-    last = edits.groupBy("id").agg(F.max_by(F.struct(*names), "seq").alias("_new"))
+    place = F.struct(F.col("seq"), F.xxhash64(*names))
+    last = edits.groupBy("id").agg(F.max_by(F.struct(*names), place).alias("_new"))
     new = {n: F.col(f"_new.{n}") for n in names}
     if "created_at" in new:
         new["created_at"] = F.coalesce(new["created_at"], F.col("created_at"))
@@ -97,18 +142,23 @@ def apply_rows(snapshot: DataFrame, edits: DataFrame, table: str) -> DataFrame:
 
 
 def apply_changes(
-    snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, columns: list[str] | None = None
-) -> DataFrame:
-    """The snapshot after the feed.
+    snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, columns: list[str] | None = None,
+    products: DataFrame | None = None, orders: DataFrame | None = None,
+) -> DataFrame:
+    """The snapshot after the feed. products and orders are what the feed is checked against (see judged).
 
     The snapshot meets the folded feed in a left join, so a feed small enough to
     be broadcast never makes Spark shuffle the snapshot. New rows are added
     by a union; both sides read the same columns of the fold, so its shuffle is run once.
     Updates and deletes of unknown ids change nothing.
     """
-    schema: StructType = TABLES[table]
-    names = [n for n in (columns or schema.names) if n != "id"]
-    feed = accepted_changes(feed, table, names)
+    names = [n for n in (columns or TABLES[table].names) if n != "id"]
+    return merged(snapshot, accepted_changes(feed, table, names, products=products, orders=orders), table, now, names)
+
+
+def merged(snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, names: list[str]) -> DataFrame:
+    """The snapshot after a feed of accepted changes."""
+    schema = TABLES[table]
     changes = folded(feed, names)
 
     def value(name: str):
@@ -149,3 +199,13 @@ def repriced(orders: DataFrame, products: DataFrame, feed: DataFrame) -> DataFra
     """Orders that the feed updates, with the total worked out anew from today's price."""
     edited = accepted_changes(feed, "orders").where(F.col("op") == "update").select("id").distinct()
     return priced(orders.join(edited, "id", "left_semi"), products)
+
+
+def apply_both(
+    orders: DataFrame, products: DataFrame, order_feed: DataFrame, product_feed: DataFrame, now: datetime
+) -> tuple[DataFrame, DataFrame]:
+    """Orders and products after a feed for each. Products change first: a delete stays out where a stored order names the
+    product, and changes of orders are checked against the products that are left, new ones included; so no order ends
+    with a product that does not exist."""
+    left = apply_changes(products, product_feed, "products", now, orders=orders)
+    return apply_changes(orders, order_feed, "orders", now, products=left), left

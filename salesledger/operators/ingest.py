@@ -79,6 +79,23 @@ def from_patch(df: DataFrame, table: str, now: datetime, patch: str = "patch", k
     return df.select(*columns)
 
 
+def refuse_taken(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Rows (id, reason) with a reason also where otherwise acceptable ones bring an id that is stored or given twice.
+
+    The stored ids are cut down to those of the rows before anything of them is shuffled. Ids given twice are counted in
+    every task first, so an id that very many rows bring is no hot key.
+    """
+    good = rows.where(F.col("reason").isNull())
+    counts = good.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.where(F.col("_n") > 1).select("_id", F.lit("id is given twice").alias("_why"))
+    if stored is not None:
+        taken = stored.select(F.col("id").alias("_id")).join(counts.select("_id"), "_id", "left_semi")
+        found = found.unionByName(taken.withColumn("_why", F.lit("id is taken")))
+    found = found.groupBy("_id").agg(F.max("_why").alias("_why"))  # taken comes before given twice
+    met = rows.join(found, F.col("id") == F.col("_id"), "left")
+    return met.withColumn("reason", F.coalesce("reason", "_why")).drop("_id", "_why")
+
+
 def product_form_problem(name: Column, price_text: Column) -> Column:
     """Why the product form refuses a row; null for a row it takes."""
     return F.when(F.coalesce(name, F.lit("")) == "", "name is missing").when(

@@ -1,7 +1,8 @@
 """Form input on its way into the tables: numbers, prices, times, checks, rows or changes.
 
 A form row holds text as it was typed, and the id it is saved under. Rows that the tables
-could not take are returned beside the accepted ones with a reason, never dropped silently.
+could not take are returned beside the accepted ones with a reason, never dropped silently. New rows need an id that is
+neither stored nor given twice; edits need a seq, and two different edits of a row under one seq are refused.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql.types import IntegerType, LongType
 
 from ..functions.dates import expense_instant, iso_day, order_instant
 from ..functions.text import number_from_text
-from ..operators.ingest import product_form_problem, with_defaults
+from ..operators.changes import refuse_clashes
+from ..operators.ingest import product_form_problem, refuse_taken, with_defaults
 from ..operators.lookup import priced
 from ..sources.schema import conform, ntz
 
@@ -34,6 +36,14 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(F.col("reason").isNotNull()).select("id", "reason")
 
 
+def _edits(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Edits of judged forms with their seq, and (seq, id, reason) of the others."""
+    rows = rows.withColumn("reason", F.coalesce("reason", _is_null("seq", "seq is null")))
+    rows = refuse_clashes(rows, F.xxhash64(*columns))
+    good = rows.where(F.col("reason").isNull()).select("seq", "id", *columns)
+    return good, rows.where(F.col("reason").isNotNull()).select("seq", "id", "reason")
+
+
 def judged_orders(forms: DataFrame, products: DataFrame, open_dates: DataFrame | None = None) -> DataFrame:
     """Order forms with typed values, the total from the product price, and a reason, null for a form that can be saved.
 
@@ -75,10 +85,11 @@ def judged_orders(forms: DataFrame, products: DataFrame, open_dates: DataFrame |
 
 
 def save_orders(
-    forms: DataFrame, products: DataFrame, now: datetime, open_dates: DataFrame | None = None
+    forms: DataFrame, products: DataFrame, now: datetime, open_dates: DataFrame | None = None, stored: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """New order rows, and the refused forms. Without a date an order gets the time of the write."""
-    accepted, refused = _halves(judged_orders(forms, products, open_dates))
+    """New order rows, and the refused forms. Without a date an order gets the time of the write. stored: the orders
+    whose ids are taken."""
+    accepted, refused = _halves(refuse_taken(judged_orders(forms, products, open_dates), stored))
     dated = accepted.withColumn("created_at", F.coalesce(F.col("created_at"), ntz(now)))
     return conform(dated, "orders"), refused
 
@@ -93,7 +104,12 @@ def order_edits(forms: DataFrame, products: DataFrame, open_dates: DataFrame | N
 
     The total follows today's product price. The stored time stays unless a date was chosen.
     """
-    return _halves(judged_orders(forms, products, open_dates))[0].select("seq", "id", *ORDER_EDIT)
+    return _edits(judged_orders(forms, products, open_dates), ORDER_EDIT)[0]
+
+
+def order_edits_refused(forms: DataFrame, products: DataFrame, open_dates: DataFrame | None = None) -> DataFrame:
+    """(seq, id, reason) of the forms that order_edits leaves out."""
+    return _edits(judged_orders(forms, products, open_dates), ORDER_EDIT)[1]
 
 
 def judged_expenses(forms: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -117,16 +133,26 @@ def judged_expenses(forms: DataFrame, tz: str = "UTC") -> DataFrame:
     return rows.withColumn("reason", problem)
 
 
-def save_expenses(forms: DataFrame, now: datetime, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+def save_expenses(
+    forms: DataFrame, now: datetime, tz: str = "UTC", stored: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """New expense rows, and the refused forms."""
-    accepted, refused = _halves(judged_expenses(forms, tz))
+    accepted, refused = _halves(refuse_taken(judged_expenses(forms, tz), stored))
     dated = accepted.withColumn("created_at", F.coalesce(F.col("created_at"), ntz(now)))
     return conform(dated.withColumn("category", F.lit(None).cast("string")), "expenses"), refused
 
 
 def expense_edits(forms: DataFrame, tz: str = "UTC") -> DataFrame:
     """Typed edits of expenses. The stored time stays unless a date was chosen; the category is not on the form."""
-    return _halves(judged_expenses(forms, tz))[0].select("seq", "id", "name", "amount", "price", "notes", "created_at")
+    return _edits(judged_expenses(forms, tz), EXPENSE_EDIT)[0]
+
+
+EXPENSE_EDIT = ["name", "amount", "price", "notes", "created_at"]
+
+
+def expense_edits_refused(forms: DataFrame, tz: str = "UTC") -> DataFrame:
+    """(seq, id, reason) of the forms that expense_edits leaves out."""
+    return _edits(judged_expenses(forms, tz), EXPENSE_EDIT)[1]
 
 
 def judged_products(forms: DataFrame) -> DataFrame:
@@ -140,13 +166,21 @@ def judged_products(forms: DataFrame) -> DataFrame:
     return rows.withColumn("reason", problem)
 
 
-def save_products(forms: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+def save_products(forms: DataFrame, now: datetime, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New product rows, and the refused forms."""
-    accepted, refused = _halves(judged_products(forms))
+    accepted, refused = _halves(refuse_taken(judged_products(forms), stored))
     return with_defaults(accepted, "products", now), refused
 
 
 def product_edits(forms: DataFrame) -> DataFrame:
     """Typed edits of products: what the form has, and nothing else."""
-    accepted = _halves(judged_products(forms))[0]
-    return accepted.select("seq", "id", "name", "price", *[c for c in ("description",) if c in forms.columns])
+    return _edits(judged_products(forms), _product_edit(forms))[0]
+
+
+def _product_edit(forms: DataFrame) -> list[str]:
+    return ["name", "price", *[c for c in ("description",) if c in forms.columns]]
+
+
+def product_edits_refused(forms: DataFrame) -> DataFrame:
+    """(seq, id, reason) of the forms that product_edits leaves out."""
+    return _edits(judged_products(forms), _product_edit(forms))[1]
