@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from math import ceil
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,40 +14,58 @@ from ..functions.money import net_revenue, or_zero
 from .periods import Period
 
 
-def zero_filled(facts: DataFrame, bucket: Column, buckets: int, name: Column, measures: Mapping[str, Column]) -> DataFrame:
-    """Sum the measures per bucket 1..buckets and add the empty buckets.
+class Buckets(NamedTuple):
+    """Buckets 1..count: the number of a fact's bucket, and the name of bucket `bucket`."""
 
-    The facts fold to at most `buckets` rows per task before the shuffle. The fold,
-    no larger than 31 rows, is what gets broadcast to the list of buckets.
-    """
-    folded = facts.groupBy(bucket.alias("bucket")).agg(
-        *[F.sum(measure).alias(key) for key, measure in measures.items()]
-    )
-    spine = facts.sparkSession.range(1, buckets + 1, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    number: Column
+    count: int
+    name: Column
+
+
+def days(period: Period, tz: str) -> Buckets:
+    """The days of a month."""
+    return Buckets(F.dayofmonth(to_local(F.col("created_at"), tz)), period.days, F.col("bucket").cast("string"))
+
+
+def weeks(period: Period, tz: str) -> Buckets:
+    """W1, W2, ... for days 1-7, 8-14, ... of a month."""
+    week = week_of_month(to_local(F.col("created_at"), tz)) + 1
+    return Buckets(week, ceil(period.days / 7), F.concat(F.lit("W"), F.col("bucket").cast("string")))
+
+
+def months(tz: str) -> Buckets:
+    """Jan to Dec of one year. The year itself is not looked at, so filter the period first."""
+    return Buckets(F.month(to_local(F.col("created_at"), tz)), 12, month_name(F.col("bucket")))
+
+
+def folded(facts: DataFrame, buckets: Buckets, measures: Mapping[str, Column]) -> DataFrame:
+    """Sums of the measures in each bucket that has facts, at most 31 rows. Every task folds its facts before the shuffle."""
+    return facts.groupBy(buckets.number.alias("bucket")).agg(*[F.sum(m).alias(key) for key, m in measures.items()])
+
+
+def filled(sums: DataFrame, buckets: Buckets, measures: Iterable[str]) -> DataFrame:
+    """A row for every bucket. The sums, no more than 31 rows, are what gets broadcast to the list of buckets."""
+    spine = sums.sparkSession.range(1, buckets.count + 1, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     return (
-        spine.join(F.broadcast(folded), "bucket", "left")
-        .select("bucket", name.alias("name"), *[or_zero(F.col(key)).alias(key) for key in measures])
+        spine.join(F.broadcast(sums), "bucket", "left")
+        .select("bucket", buckets.name.alias("name"), *[or_zero(F.col(key)).alias(key) for key in measures])
         .orderBy("bucket")
     )
 
 
-def by_day(facts: DataFrame, period: Period, tz: str, measures: Mapping[str, Column]) -> DataFrame:
-    """One row per day of a month."""
-    day = F.dayofmonth(to_local(F.col("created_at"), tz))
-    return zero_filled(facts, day, period.days, F.col("bucket").cast("string"), measures)
+def zero_filled(facts: DataFrame, buckets: Buckets, measures: Mapping[str, Column]) -> DataFrame:
+    """Sum the measures in each bucket and add the empty buckets."""
+    return filled(folded(facts, buckets, measures), buckets, measures)
 
 
-def by_week(facts: DataFrame, period: Period, tz: str, measures: Mapping[str, Column]) -> DataFrame:
-    """W1, W2, ... for days 1-7, 8-14, ... of a month."""
-    week = week_of_month(to_local(F.col("created_at"), tz)) + 1
-    name = F.concat(F.lit("W"), F.col("bucket").cast("string"))
-    return zero_filled(facts, week, ceil(period.days / 7), name, measures)
+def by_day(facts: DataFrame, period: Period, tz: str, measures: Mapping[str, Column]) -> DataFrame:
+    """One row per day of a month."""
+    return zero_filled(facts, days(period, tz), measures)
 
 
 def by_month(facts: DataFrame, tz: str, measures: Mapping[str, Column]) -> DataFrame:
-    """Jan to Dec of one year. The year itself is not looked at, so filter the period first."""
-    number = F.month(to_local(F.col("created_at"), tz))
-    return zero_filled(facts, number, 12, month_name(F.col("bucket")), measures)
+    """One row per month of a year."""
+    return zero_filled(facts, months(tz), measures)
 
 
 def revenue_series(orders: DataFrame, period: Period, tz: str = "UTC") -> DataFrame:
@@ -57,9 +76,18 @@ def revenue_series(orders: DataFrame, period: Period, tz: str = "UTC") -> DataFr
     return by_day(orders, period, tz, measures)
 
 
+REPORT = ("revenue", "expenses")
+
+
+def report_buckets(period: Period, tz: str = "UTC") -> Buckets:
+    return months(tz) if period.kind == "year" else weeks(period, tz)
+
+
+def report_sums(flows: DataFrame, period: Period, tz: str = "UTC") -> DataFrame:
+    """Revenue and expenses of each bucket of a report that has any."""
+    return folded(flows, report_buckets(period, tz), {n: F.col(n) for n in REPORT})
+
+
 def report_series(flows: DataFrame, period: Period, tz: str = "UTC") -> DataFrame:
     """Revenue and expenses per week of a month, or per month of a year."""
-    measures = {"revenue": F.col("revenue"), "expenses": F.col("expenses")}
-    if period.kind == "year":
-        return by_month(flows, tz, measures)
-    return by_week(flows, period, tz, measures)
+    return filled(report_sums(flows, period, tz), report_buckets(period, tz), REPORT)

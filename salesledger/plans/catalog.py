@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..functions import dates, money, text
-from ..operators import calendar, changes, ingest, lookup, metrics, ordering, periods, series
+from ..operators import calendar, changes, ingest, lookup, metrics, ordering, periods, search_index, series
 from ..operators.search import search
-from ..session import drop_at_exit, shared_folder
+from ..session import drop_at_exit, folders_in, shared_folder
 from ..sources.mapped import MappedTables
-from ..sources.schema import conform
-from ..sources.tables import append_rows, read_table
-from . import dashboard, financial, lists, saving
+from ..sources.schema import ORDERS, conform
+from ..sources.tables import append_batch, append_rows, newest_months, read_table
+from . import dashboard, financial, lists, merging, saving
 
 AS_OF = datetime(1998, 8, 15, 10, 0, 0)
 TODAY = periods.today(AS_OF)
@@ -36,6 +37,11 @@ ITEM_QUERY = "RiNg"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Queries that write before they read.
+SINKS = [
+    "sink_roundtrip", "sink_one_month", "append_twice", "output_names", "search_orders_indexed", "recent_orders_stored",
+    "merge_months", "kpis_after_changes", "report_staged", "dashboard_staged",
+]
 
 
 def plain_numbers(df: DataFrame) -> DataFrame:
@@ -101,14 +107,44 @@ def sink_one_month(t: MappedTables) -> DataFrame:
     return periods.filter_period(read_table(t.spark, stored_orders(t), "orders"), CHOSEN)
 
 
-def stored_orders(t: MappedTables) -> str:
-    """A folder with all orders, deleted when the process ends. A sink has to write before it is read."""
-    folder = f"{shared_folder(t.spark)}/orders-{uuid4().hex}"
+def new_folder(t: MappedTables, name: str) -> str:
+    """A folder that is deleted when the process ends. A sink has to write before it is read."""
+    folder = f"{shared_folder(t.spark)}/{name}-{uuid4().hex}"
     drop_at_exit(t.spark, folder)
+    return folder
+
+
+def stored_orders(t: MappedTables) -> str:
+    """A folder with all orders."""
+    folder = new_folder(t, "orders")
     append_rows(t.orders(), folder)
     return folder
 
 
+@query("append_twice")
+def append_twice(t: MappedTables) -> DataFrame:
+    """All orders sent in two batches, each of them twice: the second time adds nothing."""
+    folder = new_folder(t, "batches")
+    early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for _ in range(2):
+        append_batch(t.orders().where(early), folder, "orders", "early")
+        append_batch(t.orders().where(~early), folder, "orders", "late")
+    return read_table(t.spark, folder, "orders")
+
+
+@query("output_names")
+def output_names(t: MappedTables) -> DataFrame:
+    """The folders and sheets that the exports of a month write, and the rows in each."""
+    folder = new_folder(t, "exports")
+    orders, expenses = t.orders(period=MONTH), t.expenses(period=MONTH)
+    lists.export_list(orders, "orders", "This Month", folder, AS_OF)
+    lists.export_list(expenses, "expenses", "This Month", folder, AS_OF)
+    financial.export_report(orders, expenses, MONTH, folder)
+    sheets = [(f"{target}/{sheet}") for target in folders_in(t.spark, folder) for sheet in folders_in(t.spark, f"{folder}/{target}")]
+    counts = [t.spark.read.csv(f"{folder}/{s}", header=True, multiLine=True).agg(F.lit(s).alias("sheet"), F.count(F.lit(1)).alias("rows")) for s in sheets]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("ingest_defaults")
 def ingest_defaults(t: MappedTables) -> DataFrame:
     return ingest.from_patch(t.order_payloads(), "orders", AS_OF)
@@ -127,7 +163,7 @@ def export_list_head(t: MappedTables) -> DataFrame:
 
 @query("report_head")
 def report_head(t: MappedTables) -> DataFrame:
-    return financial.report_head(report_summary_month(t), MONTH, AS_OF)
+    return financial.report_head(flows(t, MONTH), MONTH, AS_OF)
 
 
 @query("export_orders_pdf")
@@ -190,6 +226,14 @@ def search_expenses(t: MappedTables) -> DataFrame:
     return search(t.expenses("id", "name"), "name", ITEM_QUERY)
 
 
+@query("search_orders_indexed")
+def search_orders_indexed(t: MappedTables) -> DataFrame:
+    """The search of the order list by an index of the stored table."""
+    stored, index = read_table(t.spark, stored_orders(t), "orders"), new_folder(t, "index")
+    search_index.write_index(stored, "customer_name", index)
+    return search_index.search_indexed(stored, "customer_name", CUSTOMER_QUERY, index).select("id", "customer_name")
+
+
 @query("net_revenue")
 def net_revenue(t: MappedTables) -> DataFrame:
     return t.orders("id", *SOLD).select("id", money.net_revenue().alias("net_revenue"))
@@ -296,6 +340,14 @@ def order_ordinals(t: MappedTables) -> DataFrame:
     return ordering.with_ordinal(t.orders("id", "created_at"))
 
 
+@query("order_ordinals_fractions")
+def order_ordinals_fractions(t: MappedTables) -> DataFrame:
+    """Numbers where orders of a day share a second and differ in microseconds, and some have no time."""
+    day = F.col("created_at").cast("date").cast("timestamp_ntz")
+    time = F.when(F.col("id") % 97 != 0, F.timestamp_add("MICROSECOND", F.col("id") * 104729 % 1_000_000, day))
+    return ordering.with_ordinal(t.orders("id", "created_at").select("id", time.alias("created_at")))
+
+
 @query("expense_ordinals")
 def expense_ordinals(t: MappedTables) -> DataFrame:
     """Numbers are given after the search."""
@@ -328,6 +380,12 @@ def recent(t: MappedTables) -> DataFrame:
 query("recent_orders")(recent)
 
 
+@query("recent_orders_stored")
+def recent_orders_stored(t: MappedTables) -> DataFrame:
+    """The latest orders of the stored table: its newest months are read, no others."""
+    return dashboard.recent_rows(newest_months(t.spark, stored_orders(t), "orders", dashboard.RECENT))
+
+
 @query("recent_orders_text")
 def recent_orders_text(t: MappedTables) -> DataFrame:
     return dashboard.recent_text(recent(t))
@@ -481,6 +539,45 @@ def delete_products_refused(t: MappedTables) -> DataFrame:
     return changes.split_deletes(feed, t.orders("product_id"))[1]
 
 
+@query("changes_unknown_product")
+def changes_unknown_product(t: MappedTables) -> DataFrame:
+    """Changes of orders refused after a feed of products: their product does not exist, is deleted or no number."""
+    left = changes.apply_changes(t.products(), t.product_changes(), "products", AS_OF, orders=t.orders("product_id"))
+    return changes.refused_changes(t.product_choices(), "orders", products=left)
+
+
+@query("changes_known_product")
+def changes_known_product(t: MappedTables) -> DataFrame:
+    """The product of each order after both feeds."""
+    orders, _ = changes.apply_both(t.orders(), t.products(), t.product_choices(), t.product_changes(), AS_OF)
+    return orders.select("id", "product_id")
+
+
+@query("products_after_changes")
+def products_after_changes(t: MappedTables) -> DataFrame:
+    return changes.apply_changes(t.products(), t.product_changes(), "products", AS_OF, orders=t.orders("product_id"))
+
+
+def merged_orders(t: MappedTables) -> tuple[str, merging.Merge]:
+    """A stored table of all orders into which the change feed was merged."""
+    folder = stored_orders(t)
+    return folder, merging.merge_changes(t.spark, folder, "orders", t.change_feed(), AS_OF)
+
+
+@query("merge_months")
+def merge_months(t: MappedTables) -> DataFrame:
+    return read_table(t.spark, merged_orders(t)[0], "orders").select(*ORDERS.names)
+
+
+@query("kpis_after_changes")
+def kpis_after_changes(t: MappedTables) -> DataFrame:
+    """Key figures of a year from day sums that were kept up by what a merge changed."""
+    sums = new_folder(t, "days")
+    merging.write_day_sums(merging.day_sums(t.orders(*SOLD_PCS)), sums)
+    merging.write_day_sums(merging.day_sums(merged_orders(t)[1].log), sums)
+    return merging.kpis_of_days(merging.read_day_sums(t.spark, sums), YEAR)
+
+
 @query("reprice_touched")
 def reprice_touched(t: MappedTables) -> DataFrame:
     rows = changes.repriced(
@@ -513,6 +610,20 @@ def save_orders_closed_date(t: MappedTables) -> DataFrame:
     return saving.save_orders(t.order_forms(), t.products(), AS_OF, t.open_dates())[1]
 
 
+@query("save_orders_taken_id")
+def save_orders_taken_id(t: MappedTables) -> DataFrame:
+    """Forms refused because their id is stored already or given twice, besides the others."""
+    stored = t.orders("id", "created_at").where(F.year("created_at") >= 1998).select("id")
+    forms = t.order_forms()
+    return saving.save_orders(forms.unionByName(forms.where("id % 10 = 0")), t.products(), AS_OF, stored=stored)[1]
+
+
+@query("edit_null_seq")
+def edit_null_seq(t: MappedTables) -> DataFrame:
+    """Edits refused for want of a seq, or because two different ones have the same."""
+    return saving.order_edits_refused(t.clashing_edits(), t.products())
+
+
 @query("save_expenses")
 def save_expenses(t: MappedTables) -> DataFrame:
     return saving.save_expenses(t.expense_forms(), AS_OF, ZONE)[0]
@@ -569,6 +680,22 @@ def report_overview(t: MappedTables) -> DataFrame:
     return financial.report_overview(orders, expenses, YEAR)
 
 
+@query("report_staged")
+def report_staged(t: MappedTables) -> DataFrame:
+    """Totals (bucket 0) and series of a report that reads orders and expenses once for both."""
+    report = financial.financial_report(t.orders(*SOLD, period=YEAR), t.expenses(*SPENT, period=YEAR), YEAR, stage=True)
+    totals = report.totals.select(F.lit(0).alias("bucket"), F.col("period").alias("name"), "revenue", "expenses")
+    return totals.unionByName(report.series)
+
+
+@query("dashboard_staged")
+def dashboard_staged(t: MappedTables) -> DataFrame:
+    """Key figures (bucket 0) and series of a dashboard that reads the orders of its period once for both."""
+    page = dashboard.dashboard(t.orders(period=MONTH), t.open_dates(), AS_OF, stage=True)
+    kpis = page.kpis.select(F.lit(0).alias("bucket"), F.col("pcs").cast("string").alias("name"), "revenue")
+    return kpis.unionByName(page.series)
+
+
 @query("report_counts")
 def report_counts(t: MappedTables) -> DataFrame:
     return metrics.report_counts(flows(t, YEAR))

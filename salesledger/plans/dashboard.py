@@ -5,17 +5,18 @@ from __future__ import annotations
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import long_date, short_date, to_local
 from ..functions.money import net_revenue, rupiah
 from ..functions.text import status_label
 from ..operators.calendar import month_grid
-from ..operators.metrics import dashboard_kpis
+from ..operators.metrics import total
 from ..operators.ordering import latest
 from ..operators.periods import Period, filter_period, local_now, this_month, this_year
-from ..operators.series import by_day, by_month, revenue_series
+from ..operators.series import Buckets, days, filled, folded, months, zero_filled
+from ..session import staged
 from ..sources.schema import ntz
 
 # Fixed value: how many orders the dashboard lists.
@@ -53,16 +54,31 @@ def dashboard_period(view: str, now: datetime) -> Period:
     return this_month(now) if view == "month" else this_year(now)
 
 
+def _measures() -> dict[str, Column]:
+    return {"pcs": F.col("quantity"), "revenue": net_revenue()}
+
+
+def dashboard_buckets(period: Period, tz: str) -> Buckets:
+    return months(tz) if period.kind == "year" else days(period, tz)
+
+
 def dashboard(
-    orders: DataFrame, open_dates: DataFrame, as_of: datetime, view: str = "month", tz: str = "UTC"
+    orders: DataFrame, open_dates: DataFrame, as_of: datetime, view: str = "month", tz: str = "UTC", stage: bool = False
 ) -> Dashboard:
-    """Key figures, revenue series, latest orders and the calendar of the current month."""
+    """Key figures, revenue series, latest orders and the calendar of the current month.
+
+    Key figures are sums of the buckets of the series. With stage, these sums (31 rows at most) are written to the shared folder by
+    one job, and both read them there: one pass over the orders of the period.
+    """
     now = local_now(as_of, tz)
     period = dashboard_period(view, now)
-    sold = filter_period(orders, period, tz)
+    buckets = dashboard_buckets(period, tz)
+    sums = folded(filter_period(orders, period, tz), buckets, _measures())
+    if stage:
+        sums = staged(sums, "figures")
     return Dashboard(
-        kpis=dashboard_kpis(sold),
-        series=revenue_series(sold, period, tz),
+        kpis=sums.agg(*[total(F.col(n)).alias(n) for n in _measures()]),
+        series=filled(sums, buckets, ["revenue"]),
         recent=recent_rows(orders),
         calendar=month_grid(open_dates, this_month(now), now),
     )
@@ -73,11 +89,7 @@ def dashboard_overview(orders: DataFrame, as_of: datetime, view: str = "month",
     now = local_now(as_of, tz)
     period = dashboard_period(view, now)
     sold = filter_period(orders, period, tz)
-    measures = {"pcs": F.col("quantity"), "revenue": net_revenue()}
-    if view == "month":
-        series = by_day(sold, period, tz, measures)
-    else:
-        series = by_month(sold, tz, measures)
+    series = zero_filled(sold, dashboard_buckets(period, tz), _measures())
     # The window holds the whole series, which has at most 31 rows.
     whole = Window.partitionBy(F.lit(0))
     return series.select(

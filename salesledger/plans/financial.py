@@ -14,7 +14,8 @@ from ..functions.text import dash_if_blank, empty_if_null, payment_code, status_
 from ..operators.metrics import money_flows, report_totals
 from ..operators.ordering import with_ordinal
 from ..operators.periods import Period, filter_period
-from ..operators.series import report_series
+from ..operators.series import REPORT, filled, report_buckets, report_series, report_sums
+from ..session import staged
 from ..sources.sinks import head_lines, report_title, write_report
 
 
@@ -30,12 +31,20 @@ def flows_of(orders: DataFrame, expenses: DataFrame, period: Period, tz: str = "
     return money_flows(filter_period(orders, period, tz), filter_period(expenses, period, tz))
 
 
-def financial_report(orders: DataFrame, expenses: DataFrame, period: Period, tz: str = "UTC") -> FinancialReport:
-    """Totals, series and the rows of both detail sections, each a plan of its own."""
-    flows = flows_of(orders, expenses, period, tz)
+def financial_report(
+    orders: DataFrame, expenses: DataFrame, period: Period, tz: str = "UTC", stage: bool = False
+) -> FinancialReport:
+    """Totals, series and the rows of both detail sections, each a plan of its own.
+
+    Totals are sums of the buckets of the series. With stage, these sums (31 rows at most) are written to the shared folder by
+    one job, and totals and series read them there: one pass over orders and expenses for both.
+    """
+    sums = report_sums(flows_of(orders, expenses, period, tz), period, tz)
+    if stage:
+        sums = staged(sums, "figures")
     return FinancialReport(
-        totals=report_totals(flows).withColumn("period", F.lit(period.label)),
-        series=report_series(flows, period, tz),
+        totals=report_totals(sums).withColumn("period", F.lit(period.label)),
+        series=filled(sums, report_buckets(period, tz), REPORT),
         orders=filter_period(orders, period, tz),
         expenses=filter_period(expenses, period, tz),
     )
@@ -130,9 +139,9 @@ def expense_detail(expenses: DataFrame, tz: str = "UTC", printed: bool = True, i
     )
 
 
-def report_head(totals: DataFrame, period: Period, now: datetime) -> DataFrame:
-    """Title and day of printing, above the printed report."""
-    return head_lines(totals, report_title(period.label), now)
+def report_head(flows: DataFrame, period: Period, now: datetime) -> DataFrame:
+    """Title and day of printing, above the printed report, and how many rows its sections have."""
+    return head_lines(flows.agg(F.count(F.lit(1)).alias("rows")), report_title(period.label), now)
 
 
 def report_overview(orders: DataFrame, expenses: DataFrame, period: Period, tz: str = "UTC") -> DataFrame:
@@ -155,7 +164,7 @@ def export_report(
     if printed:
         if now is None:
             raise ValueError("a printed report needs the time of printing")
-        head = {"Head": report_head(report.totals, period, now)}
+        head = {"Head": report_head(flows_of(orders, expenses, period, tz), period, now)}
         summary = summary_grid(report.totals).coalesce(1).select(F.col("metric").alias("Metric"), F.col("value").alias("Value"))
     else:
         summary = summary_sheet(report.totals, period)

@@ -144,6 +144,9 @@ MONTHS_ID = [
 WEEKDAYS_ID = ["Min", "Sen", "Sel", "Rab", "Kam", "Jum", "Sab"]
 
 STATUS = "case when status = 'done' then 'Done' else 'In Progress' end"
+# Products after every fifth was deleted, but for those that orders name, and some were added.
+PRODUCTS_LEFT = """select p_partkey from part where p_partkey % 5 <> 0 or p_partkey in (select product_id from d_orders)
+          union all select -p_partkey from part where p_partkey % 50 = 1"""
 
 PRODUCT_COLUMNS = f"id, name, {money('price', 'price')}, description, created_at"
 ORDER_COLUMNS = (
@@ -228,10 +231,47 @@ SQL = {
         case when o_orderstatus = 'P' then timestamp '1998-08-15 10:00:00' else o_orderdate end as created_at
         from d_payloads where reason is null""",
     "ingest_refused": "select o_orderkey as id, reason from d_payloads where reason is not null",
-    "export_list_head": """select cast(unnest([1, 2]) as integer) as line,
-        unnest(['Orders — This Month', 'Generated: 15/08/1998']) as text from (select count(*) from d_orders) c""",
-    "report_head": """select cast(unnest([1, 2]) as integer) as line,
-        unnest(['Financial Report — Aug 1998', 'Generated: 15/08/1998']) as text from (select count(*) from d_orders) c""",
+    "export_list_head": f"""select cast(unnest([1, 2]) as integer) as line,
+        unnest(['Orders — This Month', 'Generated: 15/08/1998']) as text, rows
+        from (select count(*) as rows from d_orders where {MONTH} and customer_name is not null)""",
+    "report_head": f"""select cast(unnest([1, 2]) as integer) as line,
+        unnest(['Financial Report — Aug 1998', 'Generated: 15/08/1998']) as text, rows
+        from (select count(*) as rows from {flows(MONTH)})""",
+    "append_twice": f"select {ORDER_COLUMNS}, strftime(created_at, '%Y-%m') as created_month from d_orders",
+    "output_names": f"""select 'orders_this_month/Orders' as sheet, count(*) as rows from d_orders where {MONTH}
+        union all select 'expenses_this_month/Expenses', count(*) from d_expenses where {MONTH}
+        union all select 'report_Aug_1998/Orders', count(*) from d_orders where {MONTH}
+        union all select 'report_Aug_1998/Expenses', count(*) from d_expenses where {MONTH}
+        union all select 'report_Aug_1998/Summary', 6""",
+    "search_orders_indexed": f"select id, customer_name from d_orders where {ORDER_SEARCH}",
+    "order_ordinals_fractions": f"""select row_number() over ({LATEST}) as no, id, created_at from (
+        select id, case when id % 97 <> 0 then cast(cast(created_at as date) as timestamp)
+          + to_microseconds((id * 104729) % 1000000) end as created_at from d_orders)""",
+    "changes_unknown_product": f"""select o_orderkey as seq, o_orderkey as id, 'update' as op,
+        case when o_orderkey % 4 = 3 then 'product_id cannot be read' else 'product does not exist' end as reason
+        from orders where o_orderkey % 4 = 3
+          or (o_orderkey % 4 = 0 and o_custkey * 2 not in ({PRODUCTS_LEFT}))
+          or (o_orderkey % 4 = 1 and -o_custkey not in ({PRODUCTS_LEFT}))""",
+    "changes_known_product": f"""select id, case
+          when o_orderkey % 4 = 0 and o_custkey * 2 in ({PRODUCTS_LEFT}) then o_custkey * 2
+          when o_orderkey % 4 = 1 and -o_custkey in ({PRODUCTS_LEFT}) then -o_custkey
+          when o_orderkey % 4 = 2 then null else product_id end as product_id
+        from d_orders join orders on id = o_orderkey""",
+    "products_after_changes": f"""select {PRODUCT_COLUMNS} from d_products where id in ({PRODUCTS_LEFT})
+        union all select -p_partkey, 'New', 100, null, timestamp '1998-08-15 10:00:00' from part where p_partkey % 50 = 1""",
+    "save_orders_taken_id": """select f.id, case when reason is not null then reason when year(o.created_at) >= 1998 then 'id is taken'
+          else 'id is given twice' end as reason
+        from d_order_forms f join d_orders o on f.id = o.id join (select unnest([1, 2]) as copy) on copy = 1 or f.id % 10 = 0
+        where reason is not null or year(o.created_at) >= 1998 or f.id % 10 = 0""",
+    "edit_null_seq": """select case when id % 5 = 1 then null when id % 5 in (2, 3) then 7 else id * 10 + copy - 1 end as seq, id,
+          coalesce(reason, case when id % 5 = 1 then 'seq is null' else 'seq is given twice' end) as reason
+        from d_order_forms join (select unnest([1, 2]) as copy) on true
+        where reason is not null or id % 5 in (1, 2)""",
+    "report_staged": f"""select 0 as bucket, period as name, revenue, expenses from ({summary(YEAR, "Year 1998")})
+        union all select * from ({spine(12, MONTH_NAME, flows(YEAR), "month(created_at)", BY_REPORT)})""",
+    "dashboard_staged": f"""select 0 as bucket, cast(cast(coalesce(sum(quantity), 0) as bigint) as varchar) as name, {total(REV, 'revenue')}
+        from d_orders where {MONTH}
+        union all select * from ({spine(31, "cast(bucket as varchar)", f"(select * from d_orders where {MONTH})", "day(created_at)", {"revenue": REV})})""",
     "export_orders_pdf": f"""select {NUMBER}, {short_date()} as "Date", customer_name as "Customer",
         cast(quantity as varchar) as "Qty", {rupiah('total_price')} as "Total",
         coalesce(upper(payment_method), '') as "Payment", {rupiah('shipping_fee')} as "Shipping",
@@ -464,4 +504,11 @@ SQL = {
     "dashboard_overview_year": overview(12, MONTH_NAME, YEAR, "month(created_at)"),
 }
 
+SQL["merge_months"] = SQL["apply_changes"]
+SQL["recent_orders_stored"] = SQL["recent_orders"]
+SQL["kpis_after_changes"] = f"""select count(*) as orders, cast(sum(quantity) as bigint) as pcs,
+    {total("cast(total_price as decimal(18,2)) - coalesce(cast(shipping_fee as decimal(18,2)), 0)", "revenue")},
+    {total("coalesce(cast(shipping_fee as decimal(18,2)), 0)", "shipping")}, {total("cast(total_price as decimal(18,2))", "gross")}
+    from ({SQL["apply_changes"]}) where {YEAR}"""
+
 ORACLE_SQL = {name: DOMAIN + body for name, body in SQL.items()}

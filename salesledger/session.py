@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 from collections.abc import Mapping
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,13 +45,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, folder: str):
+    """A folder and the file system that holds it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders right below a folder, none if it does not exist."""
+    path, files = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()) if files.exists(path) else []
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
 def drop_at_exit(spark: SparkSession, folder: str) -> None:
     """Delete a staged folder when the process ends, if the session still lives then."""
 
     def drop() -> None:
         context = spark.sparkContext
         if context._jsc is not None and not context._jsc.sc().isStopped():
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(spark, folder)
 
     atexit.register(drop)
+
+
+def staged(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there; deleted when the process ends."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    drop_at_exit(spark, folder)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)

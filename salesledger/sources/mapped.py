@@ -182,6 +182,32 @@ class MappedTables:
         ])
         return self.raw("orders").selectExpr(f"inline(array_compact(array({changes})))")
 
+    def product_changes(self) -> DataFrame:
+        """Changes of products: every fifth is deleted, and every fiftieth place brings a new one under a negative id."""
+        change = "named_struct('seq', p_partkey, 'id', {id}, 'op', '{op}', 'patch', cast({patch} as map<string,string>))"
+        changes = ", ".join([
+            f"if(p_partkey % 5 = 0, {change.format(id='p_partkey', op='delete', patch='null')}, null)",
+            f"if(p_partkey % 50 = 1, {change.format(id='-p_partkey', op='insert', patch="map('name', 'New', 'price', '100')")}, null)",
+        ])
+        return self.raw("part").selectExpr(f"inline(array_compact(array({changes})))")
+
+    def product_choices(self) -> DataFrame:
+        """A change of the product of every order: one that may not exist or be deleted, a new one, none, or no number."""
+        return self.raw("orders").selectExpr(
+            "o_orderkey as seq",
+            "o_orderkey as id",
+            "'update' as op",
+            """map('product_id', case o_orderkey % 4 when 0 then cast(o_custkey * 2 as string) when 1 then cast(-o_custkey as string)
+                when 3 then 'abc' end) as patch""",
+        )
+
+    def clashing_edits(self) -> DataFrame:
+        """Two order edits of every order: without a seq, both under one seq, or with the same content under one seq, by the key."""
+        forms = self.order_forms()
+        later = forms.withColumn("notes", F.expr("if(id % 5 = 3, notes, 'other')"))
+        seq = F.expr("case when id % 5 = 1 then null when id % 5 in (2, 3) then 7 else seq end")
+        return forms.withColumn("seq", seq).unionByName(later.withColumn("seq", F.coalesce(seq + F.expr("if(id % 5 in (2, 3), 0, 1)"), seq)))
+
     def order_payloads(self) -> DataFrame:
         """New orders as maps that leave some columns out and set others to null."""
 

@@ -45,7 +45,7 @@ def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists", in_orde
     """
     lines = "line" in df.columns
     if lines:
-        df = df.orderBy("line").coalesce(1).drop("line")
+        df = df.orderBy("line").coalesce(1).drop("line", "rows")
     elif "#" in df.columns and not in_order:
         df = df.orderBy("#")
     (
@@ -61,10 +61,11 @@ def write_sheet(df: DataFrame, folder: str, mode: str = "errorifexists", in_orde
 
 
 def head_lines(counted: DataFrame, title: str, now: datetime) -> DataFrame:
-    """The two lines above a printed grid: title and day of printing. counted has one row."""
+    """The two lines above a printed grid, title and day of printing, with the number of rows below them. counted has
+    that number in its one row."""
     stamp = F.concat(F.lit("Generated: "), day_stamp(ntz(now)))
     lines = [F.struct(F.lit(i).alias("line"), text.alias("text")) for i, text in ((1, F.lit(title)), (2, stamp))]
-    return counted.select(F.inline(F.array(*lines)))
+    return counted.select(F.inline(F.array(*lines)), "rows")
 
 
 def write_report(sections: Mapping[str, DataFrame], folder: str, period_label: str) -> str:
