@@ -26,20 +26,24 @@ UPDATED, INSERTED, DELETED = 0, 1, 2
 
 def said() -> Column:
     """A hash of what a change says, whatever the order of its columns."""
-    patch = F.when(F.col("op") != "delete", F.array_sort(F.map_entries("patch")))
+    patch = F.when(F.col("op") != "delete", F.sort_array(F.map_entries("patch")))
     return F.xxhash64("op", patch)
 
 
 def clashing(rows: DataFrame, content: Column) -> DataFrame:
-    """(id, seq) under which rows say different things; rows that only repeat do not clash."""
+    """(_id, _seq) under which rows say different things; rows that only repeat do not clash. Every task folds its own rows
+    first, so a change that is sent very often is no hot key."""
     seen = rows.groupBy("id", "seq").agg(F.min(content).alias("_low"), F.max(content).alias("_high"))
     return seen.where(F.col("_low") != F.col("_high")).select(F.col("id").alias("_id"), F.col("seq").alias("_seq"))
 
 
-def refuse_clashes(rows: DataFrame, content: Column) -> DataFrame:
-    """Rows (id, seq, reason) with a reason also where otherwise acceptable ones clash."""
-    clashes = clashing(rows.where(F.col("reason").isNull()), content)
-    met = rows.join(clashes, (F.col("id") == F.col("_id")) & (F.col("seq") == F.col("_seq")), "left")
+def same_place() -> Column:
+    return (F.col("id") == F.col("_id")) & (F.col("seq") == F.col("_seq"))
+
+
+def refuse_clashes(rows: DataFrame, clashes: DataFrame) -> DataFrame:
+    """Rows (id, seq, reason) with a reason also where they clash."""
+    met = rows.join(clashes, same_place(), "left")
     twice = F.when(F.col("_id").isNotNull(), F.lit("seq is given twice"))
     return met.withColumn("reason", F.coalesce("reason", twice)).drop("_id", "_seq")
 
@@ -50,13 +54,12 @@ def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
     A column holds a one-field struct, null if no change names it, so that a null
     given on purpose differs from a column left out. Each task folds its own part of an
     id's changes before the shuffle, so an id with very many changes is no hot key.
-    Changes are in the order of seq, then of what they say.
+    Accepted changes of an id have a seq of their own, so their order is never open.
     """
-    place = F.struct(F.col("seq"), said())
     last = [
         F.max_by(
             F.struct(F.try_element_at("patch", F.lit(name)).alias("value")),
-            F.when(F.map_contains_key("patch", name), place),
+            F.when(F.map_contains_key("patch", name), F.col("seq")),
         ).alias(name)
         for name in columns
     ]
@@ -70,7 +73,7 @@ OPS = ("insert", "update", "delete")
 def judged(
     feed: DataFrame, table: str, names: list[str] | None = None, products: DataFrame | None = None, orders: DataFrame | None = None
 ) -> DataFrame:
-    """The feed with a reason, null for a change that can be applied.
+    """The feed with a reason, null for a change that the table could take by itself.
 
     With products, a change of an order has to name one of them or none. With orders, a product that they name
     cannot be deleted. Ids on the checking side are made distinct before they are shuffled.
@@ -91,16 +94,18 @@ def judged(
     if table == "products" and orders is not None:
         rows = rows.join(named_products(orders), F.col("id") == F.col("_used"), "left")
         reason = F.coalesce(reason, F.when((op == "delete") & F.col("_used").isNotNull(), NAMED))
-    return refuse_clashes(rows.withColumn("reason", reason).select(*feed.columns, "reason"), said())
+    return rows.withColumn("reason", reason).select(*feed.columns, "reason")
 
 
 def refused_changes(feed: DataFrame, table: str, names: list[str] | None = None, **against: DataFrame | None) -> DataFrame:
     """The changes that apply_changes leaves out, and why; against: products or orders, as in judged."""
-    return judged(feed, table, names, **against).where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
+    rows = refuse_clashes(judged(feed, table, names, **against), clashing(feed, said()))
+    return rows.where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
 
 
 def accepted_changes(feed: DataFrame, table: str, names: list[str] | None = None, **against: DataFrame | None) -> DataFrame:
-    return judged(feed, table, names, **against).where(F.col("reason").isNull()).drop("reason")
+    rows = judged(feed, table, names, **against).where(F.col("reason").isNull()).drop("reason")
+    return rows.join(clashing(feed, said()), same_place(), "left_anti")
 
 
 NAMED = "orders name this product"
@@ -153,11 +158,15 @@ def apply_changes(
     Updates and deletes of unknown ids change nothing.
     """
     names = [n for n in (columns or TABLES[table].names) if n != "id"]
-    return merged(snapshot, accepted_changes(feed, table, names, products=products, orders=orders), table, now, names)
+    accepted = accepted_changes(feed, table, names, products=products, orders=orders)
+    return merged(snapshot, accepted, table, now, names, feed)
 
 
-def merged(snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, names: list[str]) -> DataFrame:
-    """The snapshot after a feed of accepted changes."""
+def merged(
+    snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, names: list[str], arriving: DataFrame | None = None
+) -> DataFrame:
+    """The snapshot after a feed of accepted changes. arriving: changes among which are all inserts of the feed, if
+    they are cheaper to read than the feed."""
     schema = TABLES[table]
     changes = folded(feed, names)
 
@@ -176,8 +185,8 @@ def merged(snapshot: DataFrame, feed: DataFrame, table: str, now: datetime, name
             ],
         )
     )
-    arriving = feed.where(F.col("op") == "insert").select("id")
-    present = snapshot.select("id").join(arriving, "id", "left_semi")
+    inserts = (feed if arriving is None else arriving).where(F.col("op") == "insert").select("id")
+    present = snapshot.select("id").join(inserts, "id", "left_semi")
     added = (
         changes.where(F.col("_fate") == INSERTED)
         .join(present, "id", "left_anti")

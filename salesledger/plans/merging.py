@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import to_local
 from ..functions.money import net_revenue, or_zero
-from ..operators.changes import judged, merged
+from ..operators.changes import accepted_changes, merged, refused_changes
 from ..operators.ingest import typed
 from ..operators.metrics import total
 from ..operators.periods import MILLISECOND, SECOND, Period
@@ -54,9 +54,9 @@ def merge_changes(
     time, and a reader may meet a month while it is replaced.
     """
     stored = read_table(spark, folder, table)
-    seen = staged(judged(feed, table, products=products, orders=orders), "feed")
-    accepted = seen.where(F.col("reason").isNull()).drop("reason")
-    refused = seen.where(F.col("reason").isNotNull()).select("seq", "id", "op", "reason")
+    against = {"products": products, "orders": orders}
+    accepted = staged(accepted_changes(feed, table, **against), "feed")
+    refused = staged(refused_changes(feed, table, **against), "refused")
     months = touched_months(stored, accepted, table, now)
     names = TABLES[table].names
     before = in_months(stored, months).select(*names)

@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegerType, LongType
 
 from ..functions.dates import expense_instant, iso_day, order_instant
 from ..functions.text import number_from_text
-from ..operators.changes import refuse_clashes
+from ..operators.changes import clashing, refuse_clashes
 from ..operators.ingest import product_form_problem, refuse_taken, with_defaults
 from ..operators.lookup import priced
 from ..sources.schema import conform, ntz
@@ -39,7 +39,8 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _edits(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Edits of judged forms with their seq, and (seq, id, reason) of the others."""
     rows = rows.withColumn("reason", F.coalesce("reason", _is_null("seq", "seq is null")))
-    rows = refuse_clashes(rows, F.xxhash64(*columns))
+    content = F.xxhash64(*[c for c in columns if c != "total_price"])  # which follows from the others
+    rows = refuse_clashes(rows, clashing(rows, content))
     good = rows.where(F.col("reason").isNull()).select("seq", "id", *columns)
     return good, rows.where(F.col("reason").isNotNull()).select("seq", "id", "reason")
 

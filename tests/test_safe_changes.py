@@ -31,10 +31,12 @@ def test_clashing_changes_are_refused(make):
         assert sorted((r.id, r.status, r.notes) for r in after.collect()) == [(1, "a", None), (2, "z", "last"), (3, "kept", None)]
 
 
-def test_a_refused_change_clashes_with_nothing(make):
-    feed = make.feed((1, 1, "update", {"status": "x"}), (1, 1, "update", {"colour": "red"}), (1, 1, "update", {"quantity": "many"}))
-    assert [r[2] for r in reasons(changes.refused_changes(feed, "orders"))] == ["quantity cannot be read", "unknown column colour"]
-    assert changes.apply_changes(make.orders({}), feed, "orders", NOW).first().status == "x"
+def test_a_refused_change_clashes_too(make):
+    """What was meant under a seq is open where one of two changes cannot be read; each keeps its own reason."""
+    feed = make.feed((1, 1, "update", {"status": "x"}), (1, 1, "update", {"colour": "red"}), (2, 1, "update", {"quantity": "many"}))
+    found = [r[2] for r in reasons(changes.refused_changes(feed, "orders"))]
+    assert found == ["seq is given twice", "unknown column colour", "quantity cannot be read"]
+    assert changes.apply_changes(make.orders({}), feed, "orders", NOW).first().status == "process"
 
 
 def test_unknown_products(make):
