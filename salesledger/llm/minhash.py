@@ -225,8 +225,9 @@ def _inner_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, plan: P
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") -> DataFrame:
-    """`docs` without the text, with n_shingles, component_id, kept and _key = xxhash64(doc_id, text)."""
-    made = ["n_shingles", "component_id", "kept", "_key", "_digest", "_sig"]
+    """`docs` without the text, with n_shingles, component_id, kept, _key = xxhash64(doc_id, text) and _class, which is the same
+    for all rows of a class whatever their ids (null: no set, a class of its own)."""
+    made = ["n_shingles", "component_id", "kept", "_key", "_class", "_digest", "_sig"]
     docs = docs.select(*(c for c in docs.columns if c not in made))
     keep = [c for c in docs.columns if c != text]
     rows = written(sketches(docs, plan, text), "sketches")
@@ -263,10 +264,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") ->
 
     named = _labelled(first, labels, "_digest", "_label")
     smallest = named.groupBy("_label").agg(F.min("first_id").alias("component_id"))
-    named = named.select("_digest", "_label").join(smallest, "_label").select(F.col("_digest").alias("_d"), "component_id")
+    named = named.select("_digest", "_label").join(smallest, "_label").select(F.col("_digest").alias("_d"), "component_id", F.col("_label").alias("_class"))
     out = rows.join(named, F.col("_digest") == F.col("_d"), "left")
     component = F.when(F.col("_digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(*keep, "n_shingles", component.alias("component_id"), "_key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select(*keep, "n_shingles", component.alias("component_id"), "_key", "_class").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -276,9 +277,15 @@ def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
 
 
 def one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of `docs` that stay when one document of each class is kept, all columns."""
-    marks = near_duplicates(docs, plan).where("kept").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    marks = checkpointed(marks)
+    """The rows of `docs` that stay when one document of each class is kept, all columns.
+
+    Of a class stays the row with the smallest id (null ids come last), of several texts under that id one: so one row stays also
+    where members share an id or have none. A document without words is a class of its own and stays, once for each id and text.
+    """
+    found = near_duplicates(docs, plan).groupBy("_class", "_key").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_n")).alias("_least")
+    marks = found.where(F.col("_class").isNotNull()).groupBy("_class").agg(least).select("_least._key", "_least._n")
+    marks = checkpointed(marks.unionAll(found.where(F.col("_class").isNull()).select("_key", "_n")))
     key = F.xxhash64("doc_id", "text")
     kept = docs.join(marks, key == F.col("_key"))
     if not marks.where("_n > 1").isEmpty():  # rows that repeat, id and text alike

@@ -71,3 +71,16 @@ def test_one_of_each(odd):
     sets = [frozenset(brute.shingle_set(t, 5)) for _, t in rows]
     full = [s for s in sets if s]
     assert len(full) == len(set(full))
+
+
+def test_one_of_each_without_ids_of_their_own(spark):
+    """Near copies under null ids, under one id, and repeated rows: one row of each class stays, with the smallest id there is."""
+    base, other = prose(200, 11), prose(200, 12)
+    near = [" ".join([*base.split()[:k], f"new{k}", *base.split()[k + 1 :]]) for k in (20, 90, 150)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (7, other), (7, other + " tail"), (7, other), (3, base), (9, ""), (9, ""), (None, None), (8, other)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.one_of_each(frame).collect()), key=str)
+    full = [r for r in kept if r[1]]
+    assert [d for d, _ in full] == [3, 7] and sorted(str(r) for r in kept if not r[1]) == ["(9, '')", "(None, None)"]
+    untitled = frame.where("doc_id is null")
+    assert minhash.one_of_each(untitled).where("text is not null").count() == 1
