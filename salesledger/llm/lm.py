@@ -36,7 +36,10 @@ ROUNDS = 60
 SLICE = 1 << 18
 #: Bytes of a hash that travel; a part is a range of hashes, so the leading bits go without saying.
 WORD_BYTES, PAIR_BYTES = 6, 5
-COUNTS = "doc_id long, held_out boolean, word_counts array<int>, pair_counts array<int>, vocabulary long"
+COUNTS = "doc_id long, held_out boolean, word_counts array<int>, pair_counts array<int>, word_big array<long>, pair_big array<long>, vocabulary long"
+LISTS = ["word_counts", "pair_counts", "word_big", "pair_big"]
+#: Beyond MOST a text holds -k in place of a count, for the k-th of its big counts; from WIDE on a part sends 64 bits.
+MOST, WIDE = (1 << 31) - 1, 1 << 32
 
 
 def held_out(doc: Column) -> Column:
@@ -69,6 +72,32 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(token or none), np.concatenate(pair or none), np.concatenate(first)
 
 
+def narrowed(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[list[int] | None]]:
+    """Counts in 32 bits, and the big counts of each text, which stand as -1, -2, ... in their places."""
+    out, over = counts.astype(np.int32), [None] * (len(first) - 1)
+    at = np.flatnonzero(counts > MOST)
+    for k in np.unique(np.searchsorted(first, at, "right") - 1).tolist():
+        mine = at[(at >= first[k]) & (at < first[k + 1])]
+        values, place = np.unique(counts[mine], return_inverse=True)
+        out[mine] = -1 - place
+        over[k] = values.tolist()
+    return out, over
+
+
+def widened(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The whole counts of all texts of a batch, and the first one of each text."""
+    column = lambda c: batch.column(batch.schema.get_field_index(f"{name}_{c}"))
+    lists, big = column("counts"), column("big")
+    offs = lists.offsets.to_numpy().astype(np.int64)
+    counts = lists.values.to_numpy()[offs[0] : offs[-1]].astype(np.int64)
+    first = offs - offs[0]
+    at = np.flatnonzero(counts < 0)
+    if len(at):
+        text = np.searchsorted(first, at, "right") - 1
+        counts[at] = big.values.to_numpy()[big.offsets.to_numpy()[text] - counts[at] - 1]
+    return counts, first
+
+
 def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """For each document the training counts of its tokens and pairs, in order; rows with `vocabulary` add up to V."""
     rows, n_blocks = blocks.blocked(docs, [F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"], block_bytes)
@@ -103,7 +132,7 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
         back = [blocks.summed(words, read("word_n")), blocks.summed(pairs, read("pair_n"))]
         known = len(np.unique(np.concatenate([w[c > 0] for w, c in zip(words, back[0])])))
         part, block = table.column("part")[0].as_py(), table.column("block").to_pylist()
-        cols = [[x.astype(np.uint32).tobytes() for x in side] for side in back]
+        cols = [[x.astype(np.int64 if len(x) and x.max() >= WIDE else np.uint32).tobytes() for x in side] for side in back]
         return pa.table({
             "block": pa.array(block, pa.int32()), "part": pa.array([part] * len(block), pa.int32()),
             "word_n": pa.array(cols[0], pa.binary()), "pair_n": pa.array(cols[1], pa.binary()),
@@ -113,17 +142,19 @@ def count_tokens(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> Data
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         table, answers = blocks.ordered(table), answers.sort_by("part")
         token, pair, first = _tokens(table)
-        counts = []
+        lists, big = [], []
         for keys, c in ((token, "word_n"), (pair, "pair_n")):
-            place = blocks.deal(keys, n_parts)[1]
-            values = np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint32)
-            counts.append(values[place].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(pa.array(np.append(first, first[-1]), pa.int32()), pa.array(c)) for c in counts]
+            _, place, bounds = blocks.deal(keys, n_parts)
+            sizes = np.diff(bounds)[answers.column("part").to_numpy()]
+            values = [np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.int64).astype(np.int64) for x, n in zip(answers.column(c).to_pylist(), sizes)]
+            counts, over = narrowed(np.concatenate(values or [np.zeros(0, np.int64)])[place], first)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(first, first[-1]), pa.int32()), pa.array(counts)))
+            big.append(pa.array([*over, None], pa.list_(pa.int64())))
         n = table.num_rows
         return pa.table({
             "doc_id": pa.concat_arrays([table.column("doc_id").combine_chunks(), pa.nulls(1, pa.int64())]),
             "held_out": pa.array([*table.column("held_out").to_pylist(), None], pa.bool_()),
-            "word_counts": lists[0], "pair_counts": lists[1],
+            "word_counts": lists[0], "pair_counts": lists[1], "word_big": big[0], "pair_big": big[1],
             "vocabulary": pa.array([None] * n + [sum(answers.column("vocabulary").to_pylist())], pa.int64()),
         })
 
@@ -142,12 +173,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """c(w), c(u) and c(u w) of all tokens of a batch, and the first token of each text."""
-    words, pairs = (batch.column(batch.schema.get_field_index(c)) for c in ("word_counts", "pair_counts"))
-    offs = words.offsets.to_numpy().astype(np.int64)
-    w = words.values.to_numpy()[offs[0] : offs[-1]].astype(np.int64)
-    o = pairs.offsets.to_numpy()
-    x = pairs.values.to_numpy()[o[0] : o[-1]].astype(np.int64)
-    first = offs - offs[0]
+    w, first = widened(batch, "word")
+    x, _ = widened(batch, "pair")
     u = np.empty_like(w)
     u[1:] = w[:-1]
     full = first[:-1][first[:-1] < first[1:]]
@@ -176,7 +203,7 @@ def _cells(counts: DataFrame, tokens: int) -> list[tuple[int, int, int, int]]:
                 total[k] = total.get(k, 0) + v
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
 
-    rows = counts.where("vocabulary is null").select("held_out", "word_counts", "pair_counts").mapInArrow(run, "key long, n long")
+    rows = counts.where("vocabulary is null").select("held_out", *LISTS).mapInArrow(run, "key long, n long")
     rows = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").collect()  # the grid bounds the number of rows
     return [(r["key"] >> 40, ((r["key"] >> 20) & 0xFFFFF) - 1, (r["key"] & 0xFFFFF) - 1, r["n"]) for r in rows]
 
@@ -222,5 +249,5 @@ def score_documents(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES) -> D
             cols += [pa.array(np.full(b.num_rows, tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, fields)
 
-    texts = counts.where("vocabulary is null").select("doc_id", "held_out", "word_counts", "pair_counts")
+    texts = counts.where("vocabulary is null").select("doc_id", "held_out", *LISTS)
     return texts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

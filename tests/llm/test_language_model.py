@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from salesledger.llm import lm, queries
@@ -71,3 +72,20 @@ def test_parts_cover_all_keys():
     assert (unique[place] == keys).all() and len(unique) == 5000 and bounds[0] == 0 and bounds[-1] == 5000 and (np.diff(bounds) > 500).all()
     assert (blocks.unpacked(blocks.packed(unique, 5), 5) == unique & np.uint64((1 << 40) - 1)).all()
     assert [s.tolist() for s in blocks.summed([unique[:3], unique[1:2]], [np.array([1, 2, 3]), np.array([5])])] == [[1, 7, 3], [7]]
+
+
+def test_counts_beyond_32_bits(odd, monkeypatch):
+    """Counts that do not fit travel and are stored whole; here everything above 2 counts as such."""
+
+    def scores(**how):
+        rows = lm.score_documents(odd, **how).collect()
+        return sorted(((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+
+    plain = scores()
+    monkeypatch.setattr(lm, "MOST", 2)
+    monkeypatch.setattr(lm, "WIDE", 3)
+    for how in ({}, {"block_bytes": 4000}):
+        for found, expected in zip(scores(**how), plain, strict=True):
+            assert found[:3] == expected[:3] and found[3:] == pytest.approx(expected[3:])
+    counts, over = lm.narrowed(np.array([1, 3_000_000_000, 5, 1 << 40, 3_000_000_000, 2]), np.array([0, 3, 3, 6]))
+    assert counts.tolist() == [1, -2, -1, -2, -1, 2] and over == [[5, 3_000_000_000], None, [3_000_000_000, 1 << 40]]
