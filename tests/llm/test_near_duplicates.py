@@ -2,6 +2,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salesledger.llm import graph, minhash, queries
 from tests.llm import brute
@@ -84,3 +85,40 @@ def test_one_of_each_without_ids_of_their_own(spark):
     assert [d for d, _ in full] == [3, 7] and sorted(str(r) for r in kept if not r[1]) == ["(9, '')", "(None, None)"]
     untitled = frame.where("doc_id is null")
     assert minhash.one_of_each(untitled).where("text is not null").count() == 1
+
+
+def page(i, own=40):
+    """A page of a template that makes most of it, with words of its own."""
+    words = [f"own{i}x{k}" for k in range(own)]
+    return " ".join([*prose(220, 21).split(), *words])
+
+
+def test_pages_of_a_template(spark):
+    """Pages that share a bucket and don't link: links among them are found, and no two pages meet for the template alone."""
+    texts = [(i, page(i)) for i in range(0, 300)] + [(1000 + i, page(i) + " tail") for i in range(0, 300, 5)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    plan = minhash.Plan(threshold=Fraction(9, 10))
+    check(frame, plan)
+    rows = minhash.sketches(frame, plan)
+    texts = rows.join(frame, "doc_id").selectExpr("_digest", "text as _text")
+    involved = rows.selectExpr("_digest as node", "_digest as label", "true as outsider")
+    rare = minhash._rare_tokens(minhash._token_sets(involved, texts, plan), plan)
+    met = rare.groupBy("token").agg(F.count("*").alias("n"), F.max("short").alias("short")).where("short")
+    assert met.count() > 0 and met.agg({"n": "max"}).first()[0] == 2
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Sets over few tokens: each pair that reaches the threshold shares a rare token."""
+    r = np.random.default_rng(4)
+    sets = [sorted(set(r.integers(0, 60, r.integers(5, 50)).tolist())) for _ in range(120)]
+    sets += [sorted({*s[:-1], int(r.integers(60))}) for s in sets]
+    frame = spark.createDataFrame([(bytes([i]), bytes([i]), True, s) for i, s in enumerate(sets)], "node binary, label binary, outsider boolean, tokens array<bigint>")
+    for t in (Fraction(4, 5), Fraction(17, 20)):
+        held, short = {}, {}
+        for row in minhash._rare_tokens(frame, minhash.Plan(threshold=t)).collect():
+            held.setdefault(row["node"][0], set()).add(row["token"])
+            if row["short"]:
+                short.setdefault(row["node"][0], set()).add(row["token"])
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= t * len({*sets[i]} | {*sets[j]})]
+        pairs = [(i, j) if len(sets[i]) <= len(sets[j]) else (j, i) for i, j in pairs]
+        assert len(pairs) > 50 and all(short[i] & held[j] for i, j in pairs)
