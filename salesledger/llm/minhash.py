@@ -10,8 +10,9 @@
 5. Members that ended outside their centre's component may still link with each other. They and the members of their stars are
    joined by prefix filtering: two sets that reach the threshold share one of the rarest few shingles of each, rarest by
    the number of these sets that hold it. So what a template repeats on every page brings no two of its pages together.
-   Only sets that share such a shingle are compared, in tiles of signatures; texts are fetched for the survivors. No link
-   inside a bucket is lost. The cost is linear but for sets whose rarest shingles are themselves shared by many.
+   Members that share such a shingle with another component are compared with all such members of their stars, in square tiles,
+   by the same batches and the same verification. No link inside a bucket is lost. Finding these members is linear; a star in
+   which very many of them share rare shingles and yet don't link still costs the square of their number.
 6. Components of the verified links give each document its class.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words (null, empty, blank) it has no set and is its own
@@ -37,8 +38,8 @@ from salesledger.llm.graph import components
 from salesledger.llm.storage import checkpointed, written
 
 PIECE_BYTES = 1 << 20
-#: Most outsiders and most others in a tile of signatures, about.
-TILE = 1024
+#: Most outsiders and most members in a tile, about.
+TILE = 128
 
 
 @dataclass(frozen=True)
@@ -200,7 +201,7 @@ def _token_sets(involved: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _rare_tokens(sets: DataFrame, plan: Plan) -> DataFrame:
-    """(token, node, label, outsider, size, short): of each set the rarest tokens, as many as a set of the same threshold must
+    """(token, node, label, outsider, short): of each set the rarest tokens, as many as a set of the same threshold must
     meet, without those that no other set holds. A set as large or larger must meet one of the fewer `short` ones.
 
     Tokens go by the number of sets that hold them, then by value: one order for all sets. Two sets x and y of similarity t
@@ -216,17 +217,17 @@ def _rare_tokens(sets: DataFrame, plan: Plan) -> DataFrame:
     long, short = (f"cast(size(shared) - ({n} * size + {d - 1}) div {d} + 1 as int)" for n, d in ((num, den), (2 * num, num + den)))
     each = each.withColumn("long", F.expr(long)).where("long > 0")
     tokens = F.posexplode(F.slice("shared.token", F.lit(1), F.col("long"))).alias("at", "token")
-    return each.select(tokens, "node", "label", "outsider", "size", F.expr(short).alias("first")).select(
-        "token", "node", "label", "outsider", "size", (F.col("at") < F.col("first")).alias("short")
+    return each.select(tokens, "node", "label", "outsider", F.expr(short).alias("first")).select(
+        "token", "node", "label", "outsider", (F.col("at") < F.col("first")).alias("short")
     )
 
 
 def _inner_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """Links (u, v) between an outsider and another member of its star. members: centre, node, label, middle.
 
-    Buckets of a rare token without an outsider, of one component or with no short prefix are left out. In the others the
-    short prefixes and all are dealt to blocks, and each pair of blocks is a tile that prunes by signatures: no task sees a
-    whole bucket.
+    Members that share no rare token with another component are left out first. Of the others outsiders and members of a star
+    are dealt to blocks, and each pair of blocks is a tile: no task sees a whole star. A tile prunes by signatures, verifies on
+    full sets and returns one link of an outsider to each component it meets.
     """
     out = F.col("label") != F.col("middle")
     stars = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.max(out).alias("any"))
@@ -234,34 +235,45 @@ def _inner_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, plan: P
     rows = members.where(F.col("node") != F.col("centre")).join(stars, F.col("centre") == F.col("_c"))
     involved = rows.groupBy("node", "label").agg(F.max(out).alias("outsider"))
     rare = written(_rare_tokens(written(_token_sets(involved, texts, plan), "tokens"), plan), "rare")
-
-    mixed = F.max("outsider") & (F.min("label") != F.max("label"))
-    counts = rare.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("n"), F.count_if("short").alias("n_short"), mixed.alias("mixed"))
-    counts = counts.where("mixed and n_short > 0").drop("mixed")
-    sig = nodes.select(F.col("_digest").alias("_d"), "_sig")
-    rows = rare.join(counts, F.col("token") == F.col("_t")).join(sig, F.col("node") == F.col("_d"))
+    mixed = rare.groupBy(F.col("token").alias("_t")).agg((F.max("outsider") & F.max("short") & (F.min("label") != F.max("label"))).alias("mixed"))
+    live = rare.join(mixed.where("mixed"), F.col("token") == F.col("_t")).select(F.col("node").alias("_live")).distinct()
+    rows = checkpointed(rows.join(live, F.col("node") == F.col("_live")).select("centre", "node", "label", "middle"))
+
+    counts = rows.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum(out.cast("long")).alias("n_out"))
+    counts = counts.where("n_out > 0 and n > 1").select(F.col("centre").alias("_c"), "n", "n_out")
+    rows = rows.join(counts, F.col("centre") == F.col("_c"))
+    rows = rows.join(nodes.select(F.col("_digest").alias("_d"), "_sig"), F.col("node") == F.col("_d"))
+    rows = rows.join(texts.select(F.col("_digest").alias("_t"), "_text"), F.col("node") == F.col("_t"))
     blocks = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    same = ["node", "label", "outsider", "size", "_sig"]
-    left = rows.where("short").select("token", mine("n_short").alias("o"), every("n").alias("m"), F.lit(True).alias("side"), *same)
-    right = rows.select("token", every("n_short").alias("o"), mine("n").alias("m"), F.lit(False).alias("side"), *same)
-    steps = plan.least_matches()
+    left = rows.where(out).select("centre", mine("n_out").alias("o"), every("n").alias("m"), F.lit(True).alias("outsider"), "node", "label", "_sig", "_text")
+    right = rows.select("centre", every("n_out").alias("o"), mine("n").alias("m"), F.lit(False).alias("outsider"), "node", "label", "_sig", "_text")
+    steps, n = plan.least_matches(), plan.words
+    num, den = plan.threshold.numerator, plan.threshold.denominator
 
     def compare(table: pa.Table) -> pa.Table:
-        side, outsider, size = (table.column(c).to_numpy() for c in ("side", "outsider", "size"))
+        side = np.array(table.column("outsider").to_pylist(), bool)
         node, label = (np.array(table.column(c).to_pylist(), object) for c in ("node", "label"))
         sig = _signatures(table.column("_sig"))
-        inside, pairs = np.flatnonzero(~side), set()
+        keys, offs = shingles(*ops.flat(table.column("_text")), n)
+        size = np.diff(offs)
+        inside, links = np.flatnonzero(~side), set()
         for k in np.flatnonzero(side):
-            rest = inside[(size[inside] >= size[k]) & (outsider[inside] | outsider[k]) & (label[inside] != label[k])]
-            if len(rest):
-                rest = rest[go_on(np.broadcast_to(sig[k], (len(rest), sig.shape[1])), sig[rest], steps)]
-            pairs.update((max(node[k], node[j]), min(node[k], node[j])) for j in rest)
-        return pa.table({"u": pa.array([u for u, _ in pairs], pa.binary()), "v": pa.array([v for _, v in pairs], pa.binary())})
-
-    pairs = left.unionAll(right).groupBy("token", "o", "m").applyInArrow(compare, "u binary, v binary").distinct()
-    return _verified(pairs, texts, plan)
+            rest = inside[label[inside] != label[k]]
+            rest = rest[go_on(np.broadcast_to(sig[k], (len(rest), sig.shape[1])), sig[rest], steps)] if len(rest) else rest
+            if not len(rest):
+                continue
+            mine = keys[offs[k] : offs[k + 1]]
+            theirs = np.concatenate([keys[offs[j] : offs[j + 1]] for j in rest])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            good = rest[den * both >= num * (size[k] + size[rest] - both)]
+            met = {label[j]: j for j in good}.values()
+            links.update((max(node[k], node[j]), min(node[k], node[j])) for j in met)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+
+    return left.unionAll(right).groupBy("centre", "o", "m").applyInArrow(compare, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text") -> DataFrame:
