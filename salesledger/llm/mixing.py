@@ -9,29 +9,36 @@ a seeded hash; the last one chosen is taken in part, so that quotas are met to t
 Running sums are never taken over a whole pattern: words are first added up in hash bins, and only the bin in which the
 quota ends is ordered.
 
-Where every document has one source (mix_sources, the registered queries), a pattern serves one source only, and the cheapest flow is
-one expression for each source: any number of them is joined by a shuffle, or sent to all tasks up to MAX_PATTERNS. Overlapping
-sources (mix_to_targets) and mix_documents solve the network on the driver; patterns are counted first and refused above MAX_PATTERNS.
+Patterns that share no source, not even through others, have nothing to settle with each other: each connected component of the graph is a
+network of its own, solved in a task (mix_overlapping for any membership; mix_sources, of the registered queries, where every
+document has one source and so every source is a network). Quotas are joined by a shuffle, or sent to all tasks up to MAX_PATTERNS. One
+network is never split: a task holds the patterns and sources of it, and no documents. mix_to_targets and mix_documents are the same for few
+patterns: they solve one network on the driver and refuse more than MAX_PATTERNS.
 
 Defined cases: null text or size counts 0 words and is taken 0 times; a null source is a source of its own, last in order;
-repeated rows are chosen each on its own, ties in the hash are settled by id and size; an empty table gives an empty table.
+repeated rows are chosen each on its own, ties in the hash (of id and text, if there is a text) are settled by id, size and text; an empty table gives an empty table.
 Input columns that share a name with a result column are replaced by the result.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from salesledger.llm.graph import components
 from salesledger.llm.storage import checkpointed, written
 
-#: Membership patterns (and so sources) that the flow network on the driver may have, and sources that are sent to all tasks.
+#: Membership patterns (and so sources) that a flow network on the driver may have, and quotas of patterns that are sent to all tasks.
 MAX_PATTERNS = 20_000
 BINS = 1 << 12
+MARK = "_mark"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,9 +108,64 @@ def min_cost_flow(patterns: list[tuple[int, list[int]]], quotas: list[int], repe
     return [{b - s0: graph[b][r][1] for b, _, _, r in graph[p0 + p] if s0 <= b < sink and graph[b][r][1]} for p in range(len(patterns))]
 
 
-def _place(seed: int, doc: str) -> Column:
-    """A seeded place of a document in [0, 2^62)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc)), 2)
+def _routed(networks: DataFrame, repeats: int) -> DataFrame:
+    """`networks` and flow: the words that each of its patterns (m, words) gives to its quotas (s, quota) on the cheapest way."""
+    schema = T.StructType([*networks.schema.fields, T.StructField("flow", T.ArrayType(T.LongType()))])
+    names = schema.names
+    p, q = names.index("patterns"), names.index("quotas")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flows = []
+            for patterns, quotas in zip(batch.column(p), batch.column(q)):
+                wanted = quotas.as_py() or []
+                place = {x["s"]: k for k, x in enumerate(wanted)}
+                nets = [(x["words"] or 0, [place[s] for s in dict.fromkeys(x["m"] or ()) if s in place]) for x in patterns.as_py()]
+                flows.append([sum(f.values()) for f in min_cost_flow(nets, [x["quota"] for x in wanted], repeats)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flows, pa.list_(pa.int64()))], names)
+
+    return networks.mapInArrow(solve, schema)
+
+
+def _networks(patterns: DataFrame, quotas: DataFrame) -> DataFrame:
+    """A row for each connected component: patterns (m, words) and quotas (s, quota), both in order."""
+    node = lambda name: F.xxhash64(name.isNull(), name)  # noqa: E731  (of equal hashes, two networks are solved as one)
+    patterns = patterns.withColumn("_node", node(F.get("m", F.lit(0))))
+    quotas = quotas.withColumn("_node", node(F.col("s")))
+    links = patterns.select(F.col("_node").alias("u"), F.explode("m").alias("s")).select("u", node(F.col("s")).alias("v"))
+    label = components(links)
+
+    def gathered(frame: DataFrame, columns: tuple[str, str], name: str) -> DataFrame:
+        frame = frame.join(label, F.col("_node") == F.col("node"), "left").withColumn("_network", F.coalesce("label", "_node"))
+        return frame.groupBy("_network").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    return gathered(patterns, ("m", "words"), "patterns").join(gathered(quotas, ("s", "quota"), "quotas"), "_network", "left")
+
+
+def mix_overlapping(
+    docs: DataFrame, targets: DataFrame, members: str, size: str, doc: str = "doc_id", repeats: int = 2, seed: int = 7
+) -> DataFrame:
+    """`docs` with `taken`, the words that the mix takes of each document, for any number of sources and patterns.
+
+    `targets` has the words wanted (quota) of each source (s). members is an array of sources; its order and repeats don't matter, and
+    documents without a source of targets are taken 0 times.
+    """
+    made = ["taken"]
+    keep = [c for c in docs.columns if c not in made]
+    rows = checkpointed(docs.select(*keep).withColumn("_m", F.array_sort(F.array_distinct(members))))
+    patterns = checkpointed(rows.groupBy(F.col("_m").alias("m")).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("words")))
+    flows = _routed(_networks(patterns, targets.select("s", F.col("quota").cast("long"))), repeats)
+    each = flows.select(F.inline(F.arrays_zip(F.col("patterns").alias("p"), F.col("flow").alias("want")))).select("p.m", "p.words", "want")
+    wanted = checkpointed(_copies(each))
+    few = len(wanted.select("_copies").take(MAX_PATTERNS + 1)) <= MAX_PATTERNS
+    rows = rows.withColumnRenamed("_m", "_pattern")
+    plan = _cuts(rows, wanted, "_pattern", size, doc, seed, few)
+    return _taken(rows, plan, "_pattern", F.coalesce(F.col(size), F.lit(0)), doc, seed, few).select(*keep, "taken")
+
+
+def _place(seed: int, doc: str, columns: list[str]) -> Column:
+    """A seeded place of a document in [0, 2^62), by its id and the mark of its text, if it has one."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc), *(F.col(c) for c in columns if c == MARK)), 2)
 
 
 def pattern_sizes(docs: DataFrame, members: str, size: str) -> list[tuple[list, int]]:
@@ -135,14 +197,14 @@ def mix_to_targets(
     return _taken(plain, plan, members, words, doc, seed, True).select(*plain.columns, "taken")
 
 
-def _copies(quotas: DataFrame) -> DataFrame:
-    """(m, words, want) with _copies, how often everything in m is used, and _rest, the words beyond that."""
+def _copies(quotas: DataFrame, *more: Column | str) -> DataFrame:
+    """(m, words, want) with _copies, how often everything in m is used, and _rest, the words beyond that; and more."""
     copies = F.expr("CASE WHEN words > 0 THEN want div words ELSE 0 END")
-    return quotas.select("m", copies.cast("long").alias("_copies"), (F.col("want") - copies * F.col("words")).cast("long").alias("_rest"))
+    return quotas.select("m", *more, copies.cast("long").alias("_copies"), (F.col("want") - copies * F.col("words")).cast("long").alias("_rest"))
 
 
 def _placed(docs: DataFrame, doc: str, seed: int) -> DataFrame:
-    return docs.withColumn("_place", _place(seed, doc)).withColumn("_bin", F.floor(F.col("_place") / F.lit((1 << 62) // BINS)))
+    return docs.withColumn("_place", _place(seed, doc, docs.columns)).withColumn("_bin", F.floor(F.col("_place") / F.lit((1 << 62) // BINS)))
 
 
 def _sent(frame: DataFrame, few: bool) -> DataFrame:
@@ -160,7 +222,7 @@ def _cuts(rows: DataFrame, wanted: DataFrame, members: str, size: str, doc: str,
     return wanted.join(ends, wanted["m"].eqNullSafe(ends["m"]), "left").select(wanted["m"].alias("_m"), *(c for c in wanted.columns if c != "m"), "_cut", "_before")
 
 
-def _taken(docs: DataFrame, plan: DataFrame, members: str, words: Column, doc: str, seed: int, few: bool, tie: tuple[Column, ...] = ()) -> DataFrame:
+def _taken(docs: DataFrame, plan: DataFrame, members: str, words: Column, doc: str, seed: int, few: bool) -> DataFrame:
     """`docs` and the columns of their plan, with _words and `taken`; only documents of the bin in which a quota ends are ordered."""
     joined = _placed(docs, doc, seed).join(_sent(plan, few), F.col(members).eqNullSafe(F.col("_m")), "left")
     if not few:
@@ -169,7 +231,7 @@ def _taken(docs: DataFrame, plan: DataFrame, members: str, words: Column, doc: s
     plainly = joined.where(~F.col("_bin").eqNullSafe(F.col("_cut"))).withColumn("_words", words)
     plainly = plainly.withColumn("taken", (full + F.when(F.col("_bin") < F.coalesce("_cut", F.lit(0)), n).otherwise(0)).cast("long"))
     ordered = joined.where(F.col("_bin") == F.col("_cut")).withColumn("_words", words)
-    order = Window.partitionBy("_m").orderBy("_place", F.col(doc), "_words", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_m").orderBy("_place", F.col(doc), "_words", *(c for c in docs.columns if c == MARK)).rowsBetween(Window.unboundedPreceding, 0)
     done = F.col("_before") + F.sum(n).over(order) - n
     return plainly.unionByName(ordered.withColumn("taken", (full + F.least(n, F.greatest(F.col("_rest") - done, F.lit(0)))).cast("long")))
 
@@ -178,7 +240,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     """Documents (doc_id, text, source) with size, source_size, target and taken; weights repeat over the ordered sources."""
     made = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in {*made, "text"}]
-    rows = checkpointed(docs.select(*keep, word_count(F.col("text")).alias("size"), F.array("source").alias("_members")))
+    rows = docs.select(*keep, word_count(F.col("text")).alias("size"), F.array("source").alias("_members"), F.xxhash64("text").alias(MARK))
+    rows = checkpointed(rows)
     sizes = pattern_sizes(rows, "_members", "size")
     names = [m[0] for m, _ in sizes]
     by = {m[0]: n for m, n in sizes}
@@ -192,8 +255,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 def source_quotas(rows: DataFrame, weights: tuple[int, ...], share: Fraction, cap: int) -> tuple[DataFrame, int]:
     """(m, source_size, target, _copies, _rest) of each source of rows (source, size), and how many there are.
 
-    What water_fill and min_cost_flow give where every document has one source: its pattern is used by that source alone,
-    so that the cheapest flow is the smaller of quota and cap times the size. The driver sees sums by weight, never sources.
+    What water_fill gives, by sums of sources of each weight, which are all that the driver sees; and the flow of the network of each
+    source, which is all that its documents belong to.
     """
     sizes = rows.groupBy(F.col("source").alias("m")).agg(F.sum("size").alias("words"))
     numbered = checkpointed(sizes.orderBy(F.asc_nulls_last("m")).withColumn("_id", F.monotonically_increasing_id()))
@@ -225,11 +288,13 @@ def source_quotas(rows: DataFrame, weights: tuple[int, ...], share: Fraction, ca
             break
     most = F.col("words") * cap
     target = F.when(full, most.cast("double")).otherwise(by_kind([float(level * w) for w in weights], "double"))
-    want = F.least(most, F.when(full, most).otherwise(by_kind([int(level * w) for w in weights], "long")))
-    quotas = sources.select("m", "words", target.alias("target"), want.alias("want"))
-    copies = F.expr("CASE WHEN words > 0 THEN want div words ELSE 0 END")
-    rest = (F.col("want") - copies * F.col("words")).cast("long")
-    return checkpointed(quotas.select("m", F.col("words").alias("source_size"), "target", copies.cast("long").alias("_copies"), rest.alias("_rest"))), n_sources
+    quota = F.when(full, most).otherwise(by_kind([int(level * w) for w in weights], "long")).cast("long")
+    pattern = F.struct(F.array("m").alias("m"), "words")
+    networks = sources.select(
+        "m", "words", target.alias("target"), F.array(pattern).alias("patterns"), F.array(F.struct(F.col("m").alias("s"), quota.alias("quota"))).alias("quotas")
+    )
+    wanted = _copies(_routed(networks, cap).withColumn("want", F.get("flow", F.lit(0))), "target", F.col("words").alias("source_size"))
+    return checkpointed(wanted), n_sources
 
 
 def mix_sources(
@@ -238,13 +303,14 @@ def mix_sources(
     """What mix_documents gives, for any number of sources; texts: with the text of each document."""
     made = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in {*made, "text"}]
-    rows = checkpointed(docs.select(*(["doc_id", "source"] if texts else keep), word_count(F.col("text")).alias("size")))
+    mark = F.xxhash64("text").alias(MARK)
+    rows = checkpointed(docs.select(*(["doc_id", "source"] if texts else keep), word_count(F.col("text")).alias("size"), mark))
     quotas, n_sources = source_quotas(rows, weights, share, repeats)
     few = n_sources <= MAX_PATTERNS
     plan = _cuts(rows, quotas, "source", "size", "doc_id", seed, few)
     if texts:
         keep = [c for c in docs.columns if c not in made]
-        mixed = _taken(docs.select(*keep), plan, "source", word_count(F.col("text")), "doc_id", seed, few, (F.xxhash64("text"),))
+        mixed = _taken(docs.select(*keep, mark), plan, "source", word_count(F.col("text")), "doc_id", seed, few)
     else:
         mixed = _taken(rows, plan, "source", F.col("size"), "doc_id", seed, few)
     return mixed.select(*keep, F.col("_words").alias("size"), "source_size", "target", "taken")

@@ -116,3 +116,57 @@ def test_any_number_of_sources(spark, rows, docs, odd, monkeypatch):
     check(many, [r for r in mixing.mix_sources(frame.select("doc_id", "text", "source")).collect()])
     check([(r["doc_id"], r["text"], r["source"]) for r in odd.collect()], mixing.mix_sources(odd).collect())
     assert mixing.mix_sources(odd.limit(0)).count() == 0
+
+
+def routes(frame, targets):
+    spark = frame.sparkSession
+    wanted = spark.createDataFrame(list(targets.items()), "s string, quota long")
+    out = mixing.mix_overlapping(frame, wanted, "members", "size")
+    assert out.columns == [c for c in frame.columns if c != "taken"] + ["taken"]
+    return {r["doc_id"]: r["taken"] for r in out.collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_networks_in_tasks(spark, seed, monkeypatch):
+    """Components are solved apart, and give as many words at the same cost as one network of all."""
+    r = random.Random(seed)
+    names = [*"abcdefgh", None]
+    rows = [(i, r.sample(names[:3] if i % 2 else names[3:], r.choice([1, 1, 2, 3])), r.randint(0, 9), "clash") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, members array<string>, size long, taken string")
+    targets = {s: r.randint(0, 400) for s in names}
+    taken = routes(frame, targets)
+    by = {}
+    for i, m, n, _ in rows:
+        by.setdefault(frozenset(m), []).append((i, n))
+    patterns = [(sum(n for _, n in v), [names.index(s) for s in k]) for k, v in by.items()]
+    whole = mixing.min_cost_flow(patterns, [targets[s] for s in names], 2)
+    assert sum(taken.values()) == sum(sum(f.values()) for f in whole)
+    repeated = lambda got, size: max(0, got - size)
+    cost = sum(repeated(sum(taken[i] for i, _ in v), sum(n for _, n in v)) for v in by.values())
+    assert cost == sum(repeated(sum(f.values()), n) for f, (n, _) in zip(whole, patterns))
+    assert all(0 <= taken[i] <= 2 * n for i, _, n, _ in rows)
+    assert taken == routes(frame.repartition(7, F.rand(1)), targets)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    assert taken == routes(frame, targets)
+
+
+def test_odd_memberships(spark):
+    rows = [(1, None, 5), (2, [], 5), (3, ["z"], 5), (4, ["a", "a"], None), (None, ["a", None], 4), (None, [None, "a"], 4), (6, ["a"], 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, members array<string>, size long")
+    out = mixing.mix_overlapping(frame, spark.createDataFrame([("a", 7), ("b", 3)], "s string, quota long"), "members", "size").collect()
+    assert sorted(r["taken"] for r in out if r["doc_id"] is None) == [3, 4]
+    assert all(r["taken"] == 0 for r in out if r["doc_id"] is not None) and len(out) == 7
+    assert mixing.mix_overlapping(frame.limit(0), spark.createDataFrame([], "s string, quota long"), "members", "size").count() == 0
+
+
+def test_query_routes_through_the_flow(spark, docs, monkeypatch):
+    """Without its solver the query gives nothing: quotas come from the networks alone."""
+    whole = mixing._routed
+    monkeypatch.setattr(mixing, "_routed", lambda n, repeats: whole(n, repeats).withColumn("flow", F.transform("flow", lambda x: x * 0)))
+    assert {r["taken"] for r in queries.op9_mixing(spark, FOLDER).collect()} == {0}
+
+
+def test_equal_ids_are_placed_by_text(spark):
+    rows = spark.createDataFrame([(None, "w " * (i % 90), "s") for i in range(2000)], "doc_id long, text string, source string")
+    placed = mixing._placed(rows.withColumn(mixing.MARK, F.xxhash64("text")), "doc_id", 7)
+    assert placed.select("_bin").distinct().count() > 80
