@@ -2,7 +2,8 @@
 
 Four sources of evidence are added up as log probabilities for each language:
   text      likelihood of the byte trigrams of the whole text, tempered because trigrams overlap;
-  markup    the declared language (a lang attribute in the text, else the column), through a confusion table;
+  markup    the declared language (the lang attribute of an html tag in the text, else the column), through a confusion table; the tag is
+            read whole, up to its end or the next "<";
   suffix    the last label of the host, or of the source that stands for it;
   host      a prior of the host, smoothed towards its suffix, which is smoothed towards the whole corpus.
 Every label is a language. The trigram table of each is fitted on a sample of its own: at most SAMPLE different texts, the ones with the
@@ -25,12 +26,14 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesledger.llm import textops as ops
-from salesledger.llm.storage import checkpointed, small_hashes
+from salesledger.llm.markup import extract_text
+from salesledger.llm.storage import checkpointed, small_hashes, written
+from salesledger.llm.urls import host_of
 
 #: Sampled texts and characters of one language, at most.
 SAMPLE = 4000
@@ -44,7 +47,7 @@ TEMPER = 0.2
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 #: Least posterior probability of the best language.
 LEAST = 0.6
-MARKUP = r"(?i)<html[^>]{0,200}?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
+MARKUP = r"(?i)<html\b[^<>]*?(?<![\w-])lang\s*=\s*[\"']?([a-z]{2,3})\b"
 
 
 def _slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +133,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str
     return TextModel(languages, table)
 
 
+def declared(page: Column) -> Column:
+    """The language that an html tag declares, in lower case, or null."""
+    return F.nullif(F.lower(F.regexp_extract(page, MARKUP, 1)), F.lit(""))
+
+
 def _evidence(docs: DataFrame, text: str, lang: str | None, host: str | None) -> DataFrame:
     """`docs` with _said (what is declared, in lower case), _host and _suffix."""
-    markup = F.nullif(F.lower(F.regexp_extract(F.col(text), MARKUP, 1)), F.lit(""))
+    markup = declared(F.col(text))
     said = F.coalesce(markup, F.lower(F.col(lang))) if lang else markup
     at = F.col(host) if host else F.lit(None).cast("string")
     rows = docs.withColumn("_said", said).withColumn("_host", at)
@@ -232,3 +240,16 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", lang: str |
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], out_names)
 
     return rows.mapInArrow(judge, schema)
+
+
+def identify_pages(pages: DataFrame, model: TextModel, url: str = "url", html: str = "html", least: float = LEAST) -> DataFrame:
+    """`pages` without the markup, with title, text, declared, host and what identify adds, by all four kinds of evidence.
+
+    The text is what the page shows, declared the language of its html tag and host that of its address, without a port (empty if there is
+    none, then null). No label of the pages is needed: the model comes from other rows. A null page has no text and is rejected.
+    """
+    made = ["title", "text", "declared", "host", "language", "text_language", "posterior", "kept"]
+    keep = [c for c in pages.columns if c not in {*made, html}]
+    host = F.nullif(F.regexp_replace(host_of(F.col(url)), r":[0-9]*$", ""), F.lit(""))
+    rows = extract_text(pages.select(*keep, declared(F.col(html)).alias("declared"), host.alias("host"), html), html)
+    return identify(written(rows, "shown"), model, lang="declared", host="host", least=least)  # rendered once, read twice

@@ -41,6 +41,13 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", "lang", "language", "text_language", "posterior", "kept")
 
 
+def page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """op4's operator on pages, which have markup and hosts; fitted on documents, so that no label of a page is evidence."""
+    model = langid.fit(_table(spark, folder, "documents").select("text", "lang"))
+    pages = langid.identify_pages(_table(spark, folder, "pages").select("page_id", "url", "html"), model)
+    return pages.select("page_id", "host", "declared", "language", "text_language", "posterior", "kept")
+
+
 def seed_labels(pages: DataFrame) -> DataFrame:
     """(url, label): 1 where the host has one of the seed words between its marks, else 0."""
     host = F.concat(F.lit("-"), F.regexp_replace(urls.host_of(F.col("url")), r"[^a-z0-9]+", "-"), F.lit("-"))
@@ -97,6 +104,6 @@ QUERIES = {
     for f in (
         op1_personal_data, op2_language_model, op3_quality, op4_language, op5_urls,
         op6_near_duplicates, op7_suffix_dedup, op8_html_text, op9_mixing, op10_decontamination,
-        op11_lexical_search, op12_clusters, op13_quality_classifier,
+        op11_lexical_search, op12_clusters, op13_quality_classifier, page_language,
     )
 }

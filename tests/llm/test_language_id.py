@@ -73,3 +73,36 @@ def test_rare_languages_are_sampled(spark, monkeypatch):
     assert model.languages == ["en", "fr", "xx"] and all(len(set(t.tolist())) > 1 for t in model.table)
     short = spark.createDataFrame([("zu xo qi", "xx"), ("ou es la", "fr"), ("the on er", "en")], "text string, lang string")
     assert all(r["text_language"] == r["lang"] for r in langid.identify(short, model, lang=None, host=None).collect())
+
+
+def test_pages_by_all_evidence(spark):
+    """Held out: paths of the pages tell their language and are no evidence, and the tables come from documents."""
+    out = queries.page_language(spark, BIG).collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{BIG}/pages.parquet").select("page_id", F.regexp_extract("url", r"/(de|en|es|fr)/", 1).alias("path")).collect()}
+    assert sorted(r["page_id"] for r in out) == sorted(pages)
+    truth = [(r, pages[r["page_id"]]["path"]) for r in out if pages[r["page_id"]]["path"]]
+    assert len(truth) > 0.9 * len(out)
+    assert sum(r["text_language"] == t for r, t in truth) >= 0.95 * len(truth)
+    assert sum(r["language"] == t for r, t in truth) >= 0.99 * len(truth)
+    assert all(r["host"] and "/" not in r["host"] for r in out)
+
+
+def test_html_tags_are_read_whole(spark):
+    tags = [
+        (f'<html class="{"x " * 5000}" lang="FR-ca">', "fr"), ("<html\n\tdata-lang=de lang = 'en'><html lang=es>", "en"), ("<HTML xml:lang=es>", "es"),
+        ("<html class=a><p lang=de>", None), ("<html lang=english>", None), ("<htmlx lang=de>", None), ("", None), (None, None), ("<html " * 50_000, None),
+    ]
+    frame = spark.createDataFrame([(k, page, tag) for k, (page, tag) in enumerate(tags)], "k int, page string, tag string")
+    for r in frame.withColumn("found", langid.declared(F.col("page"))).collect():
+        assert r["found"] == r["tag"], r["k"]
+
+
+def test_odd_pages(spark, odd):
+    model = langid.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    rows = [(1, "http://a.b.fr:80/x", "<p>the one and other", "clash", 1.0), (1, "http://a.b.fr:80/x", "<p>the one and other", "clash", 1.0), (None, None, None, None, None),
+            (2, "no address", "", None, None), (3, "x://", "<html lang=fr>", None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string, posterior double")
+    out = langid.identify_pages(frame, model).collect()
+    assert sorted((r["page_id"] or 0, r["host"], r["declared"]) for r in out if r["page_id"] != 2 and r["page_id"]) == [(1, "a.b.fr", None)] * 2 + [(3, None, "fr")]
+    assert all(r["text_language"] is None and not r["kept"] for r in out if r["page_id"] != 1) and len(out) == 5
+    assert langid.identify_pages(frame.limit(0), model).count() == 0
