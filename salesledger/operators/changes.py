@@ -67,6 +67,18 @@ def folded(feed: DataFrame, columns: list[str]) -> DataFrame:
     return feed.groupBy("id").agg(F.max(fate).alias("_fate"), *last)
 
 
+def checked(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows with _key, the id that a row is checked by or null, and _met, the same id if ids (one column) have it.
+
+    Rows without a key meet nothing, yet as nulls they would all go to one task: they are dealt by their seq and id. The
+    join asks for two equal columns, which the distinct ids are not dealt by, so both sides get an exchange of their own
+    and AQE can split a hot id.
+    """
+    known = ids.toDF("_met").distinct()
+    place = F.coalesce(F.col("_key"), F.xxhash64("seq", "id"))
+    return rows.withColumn("_key", key).join(known, (place == F.col("_met")) & (F.col("_key") == F.col("_met")), "left")
+
+
 OPS = ("insert", "update", "delete")
 
 
@@ -87,13 +99,12 @@ def judged(
         .when(op != "delete", patch)
     )
     if table == "orders" and products is not None:
-        known = products.select(F.col("id").alias("_known")).distinct()
         wanted = F.when(op != "delete", typed(F.try_element_at("patch", F.lit("product_id")), TABLES[table]["product_id"].dataType))
-        rows = rows.withColumn("_wanted", wanted).join(known, F.col("_wanted") == F.col("_known"), "left")
-        reason = F.coalesce(reason, F.when(F.col("_wanted").isNotNull() & F.col("_known").isNull(), "product does not exist"))
+        rows = checked(rows, wanted, products.select("id"))
+        reason = F.coalesce(reason, F.when(F.col("_key").isNotNull() & F.col("_met").isNull(), "product does not exist"))
     if table == "products" and orders is not None:
-        rows = rows.join(named_products(orders), F.col("id") == F.col("_used"), "left")
-        reason = F.coalesce(reason, F.when((op == "delete") & F.col("_used").isNotNull(), NAMED))
+        rows = checked(rows, deleted_id(), named_products(orders))
+        reason = F.coalesce(reason, F.when(F.col("_met").isNotNull(), NAMED))
     return rows.withColumn("reason", reason).select(*feed.columns, "reason")
 
 
@@ -111,8 +122,12 @@ def accepted_changes(feed: DataFrame, table: str, names: list[str] | None = None
 NAMED = "orders name this product"
 
 
+def deleted_id() -> Column:
+    return F.when(F.col("op") == "delete", F.col("id"))
+
+
 def named_products(orders: DataFrame) -> DataFrame:
-    return orders.select(F.col("product_id").alias("_used")).where(F.col("_used").isNotNull()).distinct()
+    return orders.select("product_id").where(F.col("product_id").isNotNull())
 
 
 def split_deletes(feed: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,10 +135,9 @@ def split_deletes(feed: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFr
 
     The products that orders name are made distinct first, so a hot product is sent once by each task.
     """
-    met = feed.join(named_products(orders), F.col("id") == F.col("_used"), "left")
-    refused = (F.col("op") == "delete") & F.col("_used").isNotNull()
-    kept = met.where(~F.coalesce(refused, F.lit(False))).select(*feed.columns)
-    return kept, met.where(refused).select("seq", "id", F.lit(NAMED).alias("reason"))
+    met = checked(feed, deleted_id(), named_products(orders))
+    kept = met.where(F.col("_met").isNull()).select(*feed.columns)
+    return kept, met.where(F.col("_met").isNotNull()).select("seq", "id", F.lit(NAMED).alias("reason"))
 
 
 def apply_rows(snapshot: DataFrame, edits: DataFrame, table: str) -> DataFrame:

@@ -59,6 +59,68 @@ def test_unknown_products(make):
     assert after.join(left, after.product_id == left.id, "left_anti").where("product_id is not null").count() == 0
 
 
+def sizes(frame):
+    return frame.rdd.glom().map(len).collect()
+
+
+def merging_joins(setting):
+    for key in ("autoBroadcastJoinThreshold", "adaptive.autoBroadcastJoinThreshold"):
+        setting(f"spark.sql.{key}", "-1")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+def test_changes_without_a_product_are_spread(spark, make, setting):
+    """Most changes name no product, or one that cannot be read: they don't meet in one task, and keep their reasons."""
+    merging_joins(setting)
+    feed = spark.range(0, 8000, 1, 4).selectExpr(
+        "id as seq", "id", "'update' as op",
+        "map('product_id', case when id % 10 = 0 then cast(id % 7 as string) when id % 10 < 4 then 'abc' end) as patch",
+    )
+    judged = changes.judged(feed, "orders", products=make.products({"id": 1}, {"id": 2}, {"id": 2}, {"id": 3}))
+    assert max(sizes(judged)) < 2000 and judged.count() == 8000
+    reasons = {i: "product does not exist" for i in range(0, 8000, 10) if i % 7 not in (1, 2, 3)}
+    reasons |= {i: "product_id cannot be read" for i in range(8000) if 0 < i % 10 < 4}
+    assert {r.id: r.reason for r in judged.collect() if r.reason} == reasons
+
+
+def test_product_changes_other_than_deletes_are_spread(spark, make, setting):
+    """Very many updates of one product, and changes without an id, need no look at the orders."""
+    merging_joins(setting)
+    feed = spark.range(0, 8000, 1, 4).selectExpr(
+        "id as seq", "case when id % 10 = 0 then id % 4 when id % 2 = 0 then 1L end as id",
+        "if(id % 10 = 0 or id % 2 = 1, 'delete', 'update') as op", "map('name', 'x') as patch",
+    )
+    orders = make.orders({"product_id": 1}, {"product_id": 2}, {"product_id": 2}, {"product_id": None})
+    judged = changes.judged(feed, "products", orders=orders)
+    kept, refused = changes.split_deletes(feed, orders)
+    assert max(sizes(judged)) < 2000 and max(sizes(kept)) < 2000
+    named = {i for i in range(0, 8000, 10) if i % 4 in (1, 2)}
+    assert {r.seq for r in judged.collect() if r.reason == "orders name this product"} == named
+    assert sorted(r.seq for r in refused.collect()) == sorted(named)
+    assert sorted(r.seq for r in kept.collect()) == sorted(set(range(8000)) - named)
+
+
+def test_a_number_that_an_unchecked_change_is_dealt_by_meets_nothing(spark, make):
+    """An id may equal the hash by which a change without one is dealt."""
+    place = spark.sql("select xxhash64(5L, cast(null as bigint)) as h").first().h
+    feed = make.feed((5, None, "delete", None))
+    orders = make.orders({"product_id": place})
+    assert [r[2] for r in changes.judged(feed, "products", orders=orders).select("seq", "id", "reason").collect()] == ["id is null"]
+    assert changes.split_deletes(feed, orders)[1].count() == 0 and changes.split_deletes(feed, orders)[0].count() == 1
+
+
+def test_hot_product_of_changes_is_split(spark, make, setting):
+    merging_joins(setting)
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
+    setting("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10KB")
+    feed = spark.range(0, 60000, 1, 8).selectExpr("id as seq", "id", "'update' as op", "map('product_id', if(id % 2 = 0, '7', cast(id % 1000 as string))) as patch")
+    judged = changes.judged(feed, "orders", products=make.products(*[{"id": i} for i in range(900)]))
+    plan = judged._jdf.queryExecution()
+    assert sorted(r.id for r in judged.collect() if r.reason) == [i for i in range(60000) if i % 2 and i % 1000 >= 900]
+    assert "skew=true" in plan.executedPlan().toString()
+
+
 def form(spark, *rows):
     names = ["seq", "id", "customer_name", "product_id", "quantity", "payment_method", "shipping_fee", "notes", "status", "order_date"]
     plain = dict(seq=1, customer_name="Ani", product_id=None, quantity="1", payment_method="cash", shipping_fee="0", notes="", status="process", order_date="")
